@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import chat, langid, mixing, tokens, url_filter
 
-_MODULES = {"op8_mix_sources": mixing, "op9_url_filter": url_filter}
+_MODULES = {"op3_language_id": langid, "op5_token_counts": tokens, "op8_mix_sources": mixing, "op9_url_filter": url_filter, "op10_chat_format": chat}
 
 
 def queries() -> dict:
