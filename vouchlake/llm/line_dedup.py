@@ -182,11 +182,11 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, distance: i
     return lines.join(settled, ["h1", "h2"]).where(place != F.col("root")).select("doc_id", "line_no", F.col("root.doc_id").alias("first_doc"), F.col("root.line_no").alias("first_line")).distinct()
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs``, all columns, with ``text`` without the duplicate lines, and ``n_lines`` and ``n_removed``.
+def dedup_lines(docs: DataFrame, text: str = "text", prefix: str = "", **options) -> DataFrame:
+    """``docs``, all columns, with ``text`` without the duplicate lines, and ``n_lines`` and ``n_removed`` (after ``prefix``).
 
     A text keeps its other lines in order. Null texts stay null (0 lines); an empty text is one empty line. Rows
-    without a doc_id keep their text. Columns called n_lines or n_removed are replaced.
+    without a doc_id keep their text. Columns of the two names are replaced.
     """
     gone = duplicate_lines(docs.select("doc_id", F.col(text).alias("text")), **options)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("line_no", F.lit(64)))
@@ -196,7 +196,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     out = lambda i: F.call_function("shiftright", F.coalesce(F.try_element_at("__gone", F.floor(i / 64).cast("int")), F.lit(0).cast("bigint")), F.pmod(i, F.lit(64))).bitwiseAND(F.lit(1)) == 0
     lines = F.split(F.col(text), "\n", -1)
     kept = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: out(i)), "\n"))
-    return both.withColumns({"n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"), "n_removed": F.coalesce("__removed", F.lit(0)).cast("long"), text: kept}).drop("__doc", "__gone", "__removed")
+    return both.withColumns({f"{prefix}n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"), f"{prefix}n_removed": F.coalesce("__removed", F.lit(0)).cast("long"), text: kept}).drop("__doc", "__gone", "__removed")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
