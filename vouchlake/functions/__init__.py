@@ -1 +1 @@
-
+"""Scalar functions, Column to Column."""

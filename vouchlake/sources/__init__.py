@@ -1 +1 @@
-
+"""Sources and sinks: files, documents, workbooks, result files."""
