@@ -75,11 +75,12 @@ class Index:
 
 
 def _doubles(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column])
+    """Vectors of doubles, each scaled by a power of two (which changes no cosine, not even its rounding), so that squares neither overflow nor vanish."""
+    x = np.stack([np.asarray(v, np.float64) for v in column])
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -134,12 +135,7 @@ def similar_pairs(vectors: DataFrame, dimension: int, rows: int, threshold: floa
             q, m = np.nonzero(maybe)
             for k in range(0, len(q), 20_000):
                 a, b = q[k : k + 20_000], m[k : k + 20_000]
-                with np.errstate(over="ignore", invalid="ignore"):
-                    cos = np.einsum("ij,ij->i", y[a], x[b]) / (np.linalg.norm(y[a], axis=1) * norms[b])
-                    odd = ~np.isfinite(cos)
-                    if odd.any():
-                        cos[odd] = np.einsum("ij,ij->i", _unit(y[a][odd]), _unit(x[b][odd]))
-                hit = cos >= threshold
+                hit = np.einsum("ij,ij->i", y[a], x[b]) / (np.linalg.norm(y[a], axis=1) * norms[b]) >= threshold
                 s, t = part["id"].to_numpy()[a[hit]], ids[b[hit]]
                 out.append(pd.DataFrame({"a": np.minimum(s, t), "b": np.maximum(s, t)}))
         return pd.concat(out, ignore_index=True).drop_duplicates() if out else None
