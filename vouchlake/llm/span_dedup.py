@@ -23,13 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_runs, checkpointed, runs, table
+from .common import by_runs, checkpointed, runs, small_batches, table
 from .minhash_dedup import _mix
 from .suffix_array import shares_prefix, sort_suffixes
 
 LENGTH, GRAM = 100, 32
 #: Bytes that are hashed at once (at most 2**20), anchors that are packed at once, and text bytes of a bucket and of a shard, about.
-CHUNK, PACK, BUCKET_BYTES, SHARD_BYTES = 1 << 18, 1 << 19, 4 << 20, 8 << 20
+CHUNK, PACK, BUCKET_BYTES, SHARD_BYTES = 1 << 18, 1 << 17, 4 << 20, 2 << 20
 #: No UTF-8 text has this byte.
 END = b"\xff"
 _R = 0x9E3779B97F4A7C15
@@ -318,6 +318,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows that repeat a doc_id are one document. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(docs.sparkSession)
     windows, buckets = find_repeats(docs, length)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
