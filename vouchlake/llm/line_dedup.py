@@ -1,7 +1,7 @@
 """Fuzzy line deduplication.
 
 Lines are normalised (lower case, white space collapsed) and equal ones counted as one class. A class has a
-64-bit SimHash of its words. Two hashes that differ in at most 3 bits agree in at least 2 of 5 blocks, so the
+64-bit SimHash of its distinct words. Two hashes that differ in at most 3 bits agree in at least 2 of 5 blocks, so the
 classes are joined on every pair of blocks (10 keys of 25 or 26 bits), and pairs within 3 bits are kept if the
 edit similarity of the normalised lines is high enough. Of each connected group of lines the first occurrence
 (smallest document, then line) stays.
@@ -44,12 +44,12 @@ _POWERS: list = []
 
 
 def simhashes(lines: list[bytes]) -> np.ndarray:
-    """The SimHash of each normalised line: every bit is the majority of that bit in its words' hashes (0 on a tie)."""
+    """The SimHash of each normalised line: every bit is the majority of that bit in the hashes of its distinct words (0 on a tie)."""
     out = np.zeros(len(lines), np.uint64)
     i = 0
     while i < len(lines):
         j, size = i, 0
-        while j < len(lines) and (j == i or size + len(lines[j]) < CHUNK):
+        while j < len(lines) and j - i < 1 << 17 and (j == i or size + len(lines[j]) < CHUNK):
             size, j = size + len(lines[j]) + 1, j + 1
         out[i:j] = _simhashes(lines[i:j])
         i = j
@@ -70,8 +70,14 @@ def _simhashes(lines: list[bytes]) -> np.ndarray:
         h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)
-    line_ends = np.cumsum([len(x) + 1 for x in lines])
-    words = np.diff(np.r_[0, np.searchsorted(starts, line_ends)])
+    # each distinct word of a line counts once, or a word that separates all others would decide its hash
+    line = np.searchsorted(np.cumsum([len(x) + 1 for x in lines]), starts, "right").astype(np.uint64)
+    own = np.unique(line << np.uint64(46) | h >> np.uint64(18))
+    words = np.bincount((own >> np.uint64(46)).astype(np.int64), minlength=len(lines))
+    with np.errstate(over="ignore"):
+        h = ((own & np.uint64((1 << 46) - 1)) + np.uint64(1)) * _STEP
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
     out = np.zeros(len(lines), np.uint64)
     some = words > 0
     if some.any():
