@@ -175,3 +175,13 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
 
 def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM s a JOIN s b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x), c AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, coalesce(least(c.m, v.vec_id), v.vec_id) AS component_id, coalesce(least(c.m, v.vec_id), v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN n ON v.vec_id = n.x LEFT JOIN c ON v.vec_id = c.x"""
