@@ -72,15 +72,46 @@ def test_simhash_is_the_same_alone_and_in_a_batch(monkeypatch):
     assert alone[0] == int(ld.simhashes([b"c b a"])[0])
 
 
-def test_blocks_find_every_pair_within_the_distance(spark):
+def test_blocks_connect_every_pair_within_the_distance(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(-(2**62), 2**62, 30)
     near = [int(x) ^ sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for x in base for k in (1, 3, 4)]
+    near += [int(base[0]) ^ (1 << i) ^ (1 << (i + 9)) for i in range(30)]
     values = sorted({*map(int, base), *near})
-    want = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
-    frame = spark.createDataFrame([(v,) for v in values], "sim long")
+    want = [(i, j) for i, a in enumerate(values) for j in range(i + 1, len(values)) if ((a ^ values[j]) & (2**64 - 1)).bit_count() <= 3]
+
+    def parts(links):
+        root = list(range(len(values)))
+        for i, j in links:
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    frame = spark.createDataFrame(list(enumerate(values)), "h1 long, sim long")
     for blocks in (4, 5, 6):
-        assert {tuple(r) for r in ld.near_hashes(frame, 3, blocks).collect()} == want
+        got = {tuple(sorted((r.a, r.b))) for r in ld.near_links(frame, 3, blocks).collect()}
+        assert got <= set(want) and parts(got) == parts(want)
+
+
+def test_links_that_fail_are_replaced(spark):
+    """Many lines with one bag of words, some too far from one another: groups still are those of all pairs."""
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(8)]
+    docs = {}
+    for d in range(24):
+        w = list(words)
+        rng.shuffle(w) if d % 3 == 0 else None
+        docs[d] = " ".join(w) + (" word1" * (d % 4))
+    got = ld.dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == _brute(docs)
+
+
+def test_edits_equal_plain_ones():
+    rng = random.Random(5)
+    for _ in range(400):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(90)))
+        b = "".join(c if rng.random() < 0.8 else rng.choice(["", "x", "ab"]) for c in a) if rng.random() < 0.7 else a[::-1]
+        assert ld.edits(a, b) == _edits(a, b)
 
 
 def test_nulls_ties_repeats_and_other_columns(spark):

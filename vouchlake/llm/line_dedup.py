@@ -2,8 +2,8 @@
 
 Lines are normalised (lower case, white space collapsed) and equal ones counted as one class. A class has a
 64-bit SimHash of its distinct words. Two hashes that differ in at most 3 bits agree in at least 2 of 5 blocks, so the
-classes are joined on every pair of blocks (10 keys of 25 or 26 bits), and pairs within 3 bits are kept if the
-edit similarity of the normalised lines is high enough. Of each connected group of lines the first occurrence
+classes meet on every pair of blocks (10 keys of 25 or 26 bits), and pairs within 3 bits are linked if the edit
+similarity of the normalised lines is high enough. Of each connected group of lines the first occurrence
 (smallest document, then line) stays.
 """
 
@@ -18,11 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, table
+from .common import by_runs, checkpointed, connected_components, table
+from .minhash_dedup import _forest
 
 SIMILARITY = 0.8
 DISTANCE = 3
 BLOCKS = 5
+#: Members of a key of which all pairs are listed; of more only pairs that span them.
+SMALL = 8
 #: So many candidate lines at most are broadcast when their texts are fetched; more are joined by shuffle.
 BROADCAST_LINES = 200_000
 #: Bytes of normalised lines that are hashed at once.
@@ -130,14 +133,133 @@ def _keys(sim: Column, distance: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
-def near_hashes(hashes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """``(s, t)``, s < t: all pairs of the distinct ``hashes(sim)`` that differ in at most ``distance`` bits.
+def _keyed(classes: DataFrame, distance: int, blocks: int) -> DataFrame:
+    return classes.select("sim", F.col("h1").alias("node"), F.explode(_keys(F.col("sim"), distance, blocks)).alias("key"))
 
-    ``blocks`` changes the work only: more blocks make longer keys, with fewer chance meetings.
+
+def _spanning(key: int, sim: np.ndarray, node: np.ndarray, distance: int, norm: list[str] | None = None, similarity: float = 0.0) -> list[tuple]:
+    """Rows (a, b, key) that span what the members of a key have within the distance; all pairs (key null) of up to SMALL members. With ``norm``, the lines, pairs have to be similar enough too."""
+    if norm is None and len(sim) <= SMALL:
+        i, j = np.triu_indices(len(sim), 1)
+        hit = np.bitwise_count(sim[i] ^ sim[j]) <= distance
+        return [(x, y, None) for x, y in zip(node[i[hit]].tolist(), node[j[hit]].tolist(), strict=True)]
+
+    def linked(i: int, others: np.ndarray) -> np.ndarray:
+        hit = np.bitwise_count(sim[others] ^ sim[i]) <= distance
+        if norm is not None:
+            hit[hit] = [similar(norm[i], norm[j], similarity) for j in others[hit].tolist()]
+        return hit
+
+    return [(int(node[i]), int(node[j]), key) for i, j in _forest(linked, len(sim))]
+
+
+def near_links(classes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """``(a, b, key)``: links that span, within each key, all pairs of ``classes(h1, sim)`` that differ in at most ``distance`` bits.
+
+    ``blocks`` changes the work only: more blocks make longer keys, with fewer chance meetings. Streams over
+    sorted partitions; keys with one member, nearly all, are passed over without a loop.
+    """
+
+    def work(k: np.ndarray, s: np.ndarray, n: np.ndarray) -> list[tuple]:
+        cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        size = np.diff(np.r_[cut, len(k)])
+        two = cut[size == 2]
+        two = two[np.bitwise_count(s[two] ^ s[two + 1]) <= distance]
+        out = [(x, y, None) for x, y in zip(n[two].tolist(), n[two + 1].tolist(), strict=True)]
+        for i, m in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            out += _spanning(int(k[i]), s[i : i + m], n[i : i + m], distance)
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        frame = lambda rows: pd.DataFrame(rows, columns=["a", "b", "key"]).astype({"a": "int64", "b": "int64", "key": "Int64"})
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            k, s, n = (np.concatenate([x, y]) for x, y in zip(rest, (pdf["key"].to_numpy(), pdf["sim"].to_numpy().view(np.uint64), pdf["node"].to_numpy()), strict=True))
+            open_ = int(np.searchsorted(k, k[-1]))
+            rest = [k[open_:], s[open_:], n[open_:]]
+            got = work(k[:open_], s[:open_], n[:open_]) if open_ else []
+            if got:
+                yield frame(got)
+        if len(rest[0]):
+            got = work(*rest)
+            if got:
+                yield frame(got)
+
+    return _keyed(classes, distance, blocks).repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, key long")
+
+
+def edits(a: str, b: str) -> int:
+    """Edit distance, bit-parallel over what differs between the common ends."""
+    n = min(len(a), len(b))
+    i = next((i for i in range(n) if a[i] != b[i]), n)
+    a, b, n = a[i:], b[i:], n - i
+    j = next((j for j in range(n) if a[-1 - j] != b[-1 - j]), n)
+    a, b = a[: len(a) - j], b[: len(b) - j]
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0
+    for c in b:
+        same = where.get(c, 0)
+        step = same | down
+        across = (((same & up) + up) ^ up) | same
+        plus, minus = down | ~(across | up) & full, up & across
+        score += 1 if plus & last else -1 if minus & last else 0
+        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
+        up, down = minus | ~(step | plus) & full, plus & step
+    return score
+
+
+def similar(x: str, y: str, similarity: float) -> bool:
+    most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+    return abs(len(x) - len(y)) <= most and edits(x, y) <= most
+
+
+def _norms(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(h1, norm)`` of the classes named."""
+    wanted = checkpointed(nodes.distinct().join(classes.select("h1", "first"), "h1"))
+    texts = _texts(wanted.select("first.*"), docs).select(F.struct("doc_id", "line_no").alias("first"), "norm")
+    return checkpointed(wanted.join(texts, "first").select("h1", "norm"))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """``pairs(a, b, key)`` with ``ok``: whether the lines are similar enough."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = [similar(x, y, similarity) for x, y in zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True)]
+            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "key": pdf["key"].astype("Int64"), "ok": ok})
+
+    pairs = checkpointed(pairs.distinct())
+    texts = _norms(pairs.select(F.explode(F.array("a", "b")).alias("h1")), classes, docs)
+    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("norm").alias("y")), "b")
+    return checkpointed(both.mapInPandas(run, "a long, b long, key long, ok boolean"))
+
+
+def line_links(classes: DataFrame, docs: DataFrame, similarity: float, distance: int, blocks: int) -> DataFrame:
+    """``(a, b)``: links that connect what all links between ``classes(h1, sim, first)`` connect.
+
+    A key's spanning links may fail the edit similarity where others would not: the members of such keys meet once
+    more, with their texts. So no pair inside a large group is listed without need, and none is lost.
     """
-    keyed = hashes.select("sim", F.explode(_keys(F.col("sim"), distance, blocks)).alias("key"))
-    left, right = keyed.select("key", F.col("sim").alias("s")), keyed.select("key", F.col("sim").alias("t"))
-    return left.join(right, "key").where((F.col("s") < F.col("t")) & (F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= distance)).select("s", "t").distinct()
+    done = _verified(near_links(classes, distance, blocks), classes, docs, similarity)
+    links = done.where("ok").select("a", "b")
+    failed = checkpointed(done.where("not ok and key is not null").select("key").distinct())
+    if not failed.limit(1).count():
+        return links
+    again = checkpointed(_keyed(classes, distance, blocks).join(failed, "key"))
+    norms = _norms(again.select(F.col("node").alias("h1")), classes, docs).withColumnRenamed("h1", "node")
+
+    def span(g: pd.DataFrame) -> pd.DataFrame | None:
+        rows = _spanning(int(g["key"].iloc[0]), g["sim"].to_numpy().view(np.uint64), g["node"].to_numpy(), distance, g["norm"].tolist(), similarity)
+        return pd.DataFrame(rows, columns=["a", "b", "key"]) if rows else None
+
+    return links.unionByName(by_runs(again.join(norms, "node").select("key", "sim", "node", "norm"), ["key"], span, "a long, b long, key long").select("a", "b"))
 
 
 def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -168,21 +290,10 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, distance: i
     place = F.struct("doc_id", "line_no")
     classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"))
     classes = checkpointed(classes)
-    pairs = checkpointed(near_hashes(classes.select("sim").distinct(), distance, blocks))
-    same = classes.groupBy("sim").agg(F.count("*").alias("c")).where("c > 1").select(F.col("sim").alias("s"), F.col("sim").alias("t"))
-    pairs = pairs.unionByName(same)
-    # a hash of several classes (equal bags of words) stands for all of them
-    a = classes.select(F.col("sim").alias("s"), F.col("first").alias("a"))
-    b = classes.select(F.col("sim").alias("t"), F.col("first").alias("b"))
-    meet = checkpointed(pairs.join(a, "s").join(b, "t").where((F.col("s") != F.col("t")) | (F.col("a") < F.col("b"))).select("a", "b"))
-    texts = _texts(meet.select("a.*").unionByName(meet.select("b.*")), docs)
-    texts = checkpointed(texts.select(place.alias("at"), "norm"))
-    both = meet.join(texts.select(F.col("at").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("at").alias("b"), F.col("norm").alias("y")), "b")
-    longer = F.greatest(F.length("x"), F.length("y"))
-    most = F.floor((1 - similarity) * longer + 1e-9).cast("int")
-    edits = F.call_function("levenshtein", F.col("x"), F.col("y"))
-    links = both.where((F.abs(F.length("x") - F.length("y")) <= most) & (edits <= most)).select("a", "b")
-    groups = connected_components(links).select(F.col("id").alias("first"), "component")
+    links = line_links(classes, docs, similarity, distance, blocks)
+    groups = connected_components(links).join(classes.select(F.col("h1").alias("id"), "first"), "id")
+    roots = groups.groupBy("component").agg(F.min("first").alias("lowest"))
+    groups = groups.join(roots, "component").groupBy("first").agg(F.min("lowest").alias("component"))
     root = F.coalesce("component", "first")
     settled = classes.join(groups, "first", "left").where((F.col("n") > 1) | (root != F.col("first"))).select("h1", "h2", root.alias("root"))
     return lines.join(settled, ["h1", "h2"]).where(place != F.col("root")).select("doc_id", "line_no", F.col("root.doc_id").alias("first_doc"), F.col("root.line_no").alias("first_line")).distinct()
