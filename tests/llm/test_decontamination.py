@@ -58,3 +58,13 @@ def test_main_path_is_native(spark):
     docs, bench = spark.createDataFrame([(1, ITEM)], "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     plan = dc.find_contamination(docs, bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_items_that_share_windows_are_judged_each_by_itself(spark):
+    first = "A farmer has 5 red apples and sells them for 5 green pears at the market before noon"
+    second = first.replace("5 green", "7 green")
+    short = "the quick brown fox jumps over lazy dogs"
+    items = [(1, first), (2, second), (3, "long ago " + short + " that sleep all day beside an old stone wall"), (4, short)]
+    docs = [(1, f"so {second} it goes"), (2, f"so {first} it goes"), (3, f"we saw {short} today"), (4, "nothing of that kind is in here at all you see")]
+    assert _find(spark, docs, items) == {(1, 2), (2, 1), (2, 2), (3, 4)}
+    assert _find(spark, docs, items, broadcast_rows=5) == {(1, 2), (2, 1), (2, 2), (3, 4)}

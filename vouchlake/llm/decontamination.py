@@ -44,55 +44,62 @@ def _once(value: Column, use) -> Column:
     return F.flatten(F.transform(F.array(value), use))
 
 
-def _windows(words: Column, k: int) -> Column:
-    """A hash of every ``k`` neighbouring words' templates."""
+def _windows(words: Column, k) -> Column:
+    """A hash of the templates of the ``k`` words from each word on; the last ones have fewer words and hash as such."""
 
     def windows(hashes: Column) -> Column:
-        n = F.size(hashes) - k + 1
+        n = F.size(hashes)
         return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, k)))).otherwise(F.array().cast("array<bigint>"))
 
     return _once(_hashes(words), windows)
 
 
+def _variants(benchmark: DataFrame, k: int) -> DataFrame:
+    """``(v, item_id, words, k, slots)``: the items, those that judge every document alike (the same literals, kinds of slots and equal slots) as one.
+
+    Of such items the smallest item_id stands for all. ``slots`` has ``(at, c)`` for each slot whose value the item has more than once: c is the value's first place.
+    """
+    items = benchmark.where("item_id is not null").select("item_id", template_words(F.col("text")).alias("words"))
+    items = items.where(F.size("words") >= k)
+    shape = F.transform("words", lambda w: F.when(_is_slot(w), F.concat(F.substring(w, 1, 1), F.array_position("words", w).cast("string"))).otherwise(w))
+    items = items.groupBy(F.xxhash64(shape).alias("v")).agg(F.min(F.struct("item_id", "words")).alias("x")).select("v", "x.*")
+    many = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), F.array_position("words", w).alias("c"), (_is_slot(w) & (F.size(F.filter("words", lambda x: x == w)) > 1)).alias("many"))), lambda s: s["many"])
+    return checkpointed(items.select("v", "item_id", "words", F.least(F.lit(k), F.size("words")).alias("k"), F.transform(many, lambda s: F.struct(s["at"].alias("at"), s["c"].alias("c"))).alias("slots")))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, literals: int = LITERALS, matches: int = MATCHES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(doc_id, item_id, n_windows)`` for each document that holds a passage of an item's template.
 
     An alignment counts if at least ``matches`` windows of ``k`` words match along it (or all of the item's), each
-    with ``literals`` words that are no slots, and its slots are consistent. Several items with one window share
-    it: the smallest item_id stands for them. Reads ``docs(doc_id, text)`` and ``benchmark(item_id, text)`` only.
+    with ``literals`` words that are no slots, and its slots are consistent. Every item is judged with its own
+    windows and slots; only items that no document can tell apart (see :func:`_variants`) are reported by the
+    smallest item_id. Reads ``docs(doc_id, text)`` and ``benchmark(item_id, text)`` only.
 
     Null or short texts (fewer than ``k`` words) match nothing, on either side; rows without a doc_id are not
     reported; repeated documents or items count once; empty tables give an empty result.
     """
-    items = benchmark.where("item_id is not null").select("item_id", template_words(F.col("text")).alias("words"))
-    items = items.select("item_id", "words", F.posexplode(_windows(F.col("words"), k)).alias("pos", "h"))
-    items = items.select("item_id", "pos", "h", F.slice("words", F.col("pos") + 1, k).alias("ws"))
-    items = items.where(F.size(F.filter("ws", lambda w: ~_is_slot(w))) >= literals)
-    items = items.groupBy("h").agg(F.min(F.struct("item_id", "pos", "ws")).alias("x"))
-    slots = F.filter(F.transform("x.ws", lambda w, i: F.struct(i.alias("at"), w.alias("v"))), lambda s: _is_slot(s["v"]))
-    items = items.select("h", "x.item_id", F.col("x.pos").alias("item_pos"), slots.alias("slots"))
-    items = checkpointed(items)
-    total = items.count()
+    variants = _variants(benchmark, k)
+    windows = variants.select("v", "k", "words", F.posexplode(_windows(F.col("words"), F.col("k"))).alias("item_pos", "h")).where(F.col("item_pos") <= F.size("words") - F.col("k"))
+    windows = windows.where(F.size(F.filter(F.slice("words", F.col("item_pos") + 1, F.col("k")), lambda w: ~_is_slot(w))) >= F.least(F.lit(literals), F.col("k")))
+    windows = checkpointed(windows.select("h", "v", "item_pos"))
+    total = windows.count()
     if total == 0:
         return _empty(docs, benchmark)
     passes = -(-total // broadcast_rows)
 
-    words = docs.where("doc_id is not null and text is not null").select("doc_id", template_words(F.col("text")).alias("words"))
-    seen = words.select("doc_id", F.posexplode(_windows(F.col("words"), k)).alias("pos", "h"))
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("t"), template_words(F.col("text")).alias("words"))
+    seen = texts.select("doc_id", "t", F.posexplode(_windows(F.col("words"), k)).alias("pos", "h"))
     found = None
     for i in range(passes):
-        part = items.where(F.pmod("h", F.lit(passes)) == i)
-        got = seen.join(F.broadcast(part), "h")
+        part = windows.where(F.pmod("h", F.lit(passes)) == i)
+        got = seen.join(F.broadcast(part), "h").select("doc_id", "t", "v", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos")
         found = got if found is None else found.unionByName(got)
-    found = checkpointed(found.select("doc_id", "pos", "item_id", "item_pos", "slots", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
-
-    found = found.withColumn("hold", F.lit(True))
-    if items.where(F.size("slots") > 0).limit(1).count():
-        found = _consistent(found, docs, k)
-    runs = found.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("item_pos").alias("n"), F.min("hold").alias("hold"))
-    size = items.groupBy("item_id").agg(F.count("*").alias("windows"))
-    need = F.least(F.lit(matches), F.col("windows"))
-    return runs.join(F.broadcast(size) if total <= broadcast_rows else size, "item_id").where(F.col("hold") & (F.col("n") >= need)).groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"))
+    runs = found.groupBy("doc_id", "t", "v", "shift").agg(F.collect_set("item_pos").alias("at"))
+    need = windows.groupBy("v").agg(F.least(F.lit(matches), F.count("*")).alias("need"))
+    known = variants.join(need, "v").select("v", "item_id", "k", "slots", "need")
+    runs = checkpointed(runs.join(F.broadcast(known) if total <= broadcast_rows else known, "v").where(F.size("at") >= F.col("need")))
+    good = _consistent(runs, texts, broadcast_rows)
+    return good.groupBy("doc_id", "item_id").agg(F.max(F.size("at")).cast("long").alias("n_windows"))
 
 
 def _empty(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -100,15 +107,20 @@ def _empty(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, n_windows bigint")
 
 
-def _consistent(found: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """``found`` with ``hold``: whether each of the item's slot values has one value in the document, along the alignment."""
-    held = found.where(F.size("slots") > 0)
-    wanted = held.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift", "pos", "slots")).alias("hits"))  # a document's own matches
-    words = docs.where("text is not null").join(wanted, "doc_id").select("doc_id", "hits", template_words(F.col("text")).alias("words"))
-    pairs = _once(F.col("words"), lambda ours: F.flatten(F.transform("hits", lambda m: F.transform(m["slots"], lambda s: F.struct(m["item_id"].alias("item_id"), m["shift"].alias("shift"), s["v"].alias("theirs"), F.try_element_at(ours, m["pos"] + s["at"] + 1).alias("ours"))))))
-    values = words.select("doc_id", F.explode(F.array_distinct(pairs)).alias("p")).select("doc_id", "p.*")
-    bad = values.groupBy("doc_id", "item_id", "shift", "theirs").agg(F.count_distinct("ours").alias("n")).where("n > 1").select("doc_id", "item_id", "shift", F.lit(True).alias("bad")).distinct()
-    return found.join(bad, ["doc_id", "item_id", "shift"], "left").withColumn("hold", F.col("bad").isNull()).drop("bad")
+def _consistent(runs: DataFrame, texts: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``runs`` in which each of the item's slot values has one value in the document, over the windows that match along the alignment."""
+    covered = F.filter("slots", lambda s: F.exists("at", lambda p: (s["at"] >= p) & (s["at"] < p + F.col("k"))))
+    asked = runs.select("doc_id", "t", "v", "shift", F.explode(covered).alias("s")).select("doc_id", "t", "v", "shift", "s.c", (F.col("shift") + F.col("s.at")).alias("place"))
+    asked = checkpointed(asked)
+    wanted = asked.select("doc_id", "t").distinct()
+    n = wanted.count()
+    if n == 0:
+        return runs
+    words = texts.join(F.broadcast(wanted) if n <= broadcast_rows else wanted, ["doc_id", "t"], "left_semi")
+    words = words.select("doc_id", "t", F.posexplode("words").alias("place", "ours"))
+    values = asked.join(words, ["doc_id", "t", "place"])
+    bad = values.groupBy("doc_id", "t", "v", "shift", "c").agg(F.count_distinct("ours").alias("n")).where("n > 1")
+    return runs.join(bad, ["doc_id", "t", "v", "shift"], "left_anti")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
