@@ -68,3 +68,11 @@ def test_items_that_share_windows_are_judged_each_by_itself(spark):
     docs = [(1, f"so {second} it goes"), (2, f"so {first} it goes"), (3, f"we saw {short} today"), (4, "nothing of that kind is in here at all you see")]
     assert _find(spark, docs, items) == {(1, 2), (2, 1), (2, 2), (3, 4)}
     assert _find(spark, docs, items, broadcast_rows=5) == {(1, 2), (2, 1), (2, 2), (3, 4)}
+
+
+def test_names_that_start_sentences_are_slots(spark):
+    item = "Tom has 3 apples. Sara has 5 pears. Tom buys 4 more. How many in all?"
+    other = _swap(item, ("Tom", "Ben"), ("Sara", "Lily"), ("3", "6"), ("5", "8"), ("4", "9"))
+    uneven = other.replace("Ben buys", "Max buys")
+    docs = [(1, f"Here it is. {other} And so on."), (2, f"Here it is. {uneven} And so on."), (3, item), (4, "Tom has no apples and Sara has no pears. He buys more of them all. How many in the end?")]
+    assert _find(spark, docs, [(1, item)]) == {(1, 1), (3, 1)}

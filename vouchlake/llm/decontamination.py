@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-Numbers, units after numbers and names (capitalised words within a sentence) become typed placeholders, so
+Numbers, units after numbers and names (capitalised words; those that start a sentence in one of two forms) become typed placeholders, so
 that a question with other parameters keeps its template. Windows of template words are hashed and joined with
 those of the benchmark; matches along one alignment of a document and an item must then be consistent: equal
 slots of the item hold equal values in the document.
@@ -17,16 +17,19 @@ from .common import checkpointed, table
 WINDOW, LITERALS, MATCHES = 8, 4, 3
 #: So many benchmark windows are broadcast at a time (24 bytes each); more are joined in further passes.
 BROADCAST_ROWS = 1_000_000
-NAME, NUMBER, UNIT = "", "", ""
+NAME, NUMBER, UNIT, FIRST = "", "", "", ""
+#: How capitalised words that start a sentence are read: as they are, or as names.
+FORMS = ("written", "names")
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "miles", "mile", "feet", "foot", "inches", "inch", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "euros", "euro", "cents", "percent", "liters", "litres", "liter", "litre", "ml", "pounds", "pound", "grams", "gram", "meters", "metres", "meter", "metre", "degrees", "mph", "kmh")
 
 
 def template_words(text: Column) -> Column:
-    """The words of a text in lower case; names, numbers and units carry a mark in front of their value. Null gives an empty array."""
+    """The words of a text in lower case; names, numbers, units and other capitalised words carry a mark in front of their value. Null gives an empty array."""
     s = F.regexp_replace(text, r"(?<=[^\s.!?:]\s)(\p{Lu}[\p{L}\p{M}'’-]*)", NAME + "$1")
+    s = F.regexp_replace(s, rf"(?<![\p{{L}}\p{{M}}\p{{N}}'’{NAME}-])(\p{{Lu}}[\p{{L}}\p{{M}}'’-]*)", FIRST + "$1")
     s = F.regexp_replace(F.lower(s), r"(\d+(?:[.,:/]\d+)*)", f" {NUMBER}$1 ")
     s = F.regexp_replace(s, rf"({NUMBER}\S+ ) ?({'|'.join(UNITS)})\b", rf"$1{UNIT}$2")
-    words = F.split(s, rf"(?:[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}.,:/]|(?<!\d)[.,:/]|[.,:/](?!\d))+")
+    words = F.split(s, rf"(?:[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{FIRST}.,:/]|(?<!\d)[.,:/]|[.,:/](?!\d))+")
     return F.coalesce(F.array_remove(words, ""), F.array().cast("array<string>"))
 
 
@@ -34,6 +37,15 @@ def _is_slot(word: Column) -> Column:
     return (word >= NAME) & (word < "")
 
 
+def _bare(word: Column) -> Column:
+    return F.translate(word, NAME + NUMBER + UNIT + FIRST, "")
+
+
+def _read(words: Column, form: str) -> Column:
+    """The words as a form reads them: a capitalised word that starts a sentence is a literal or a name."""
+    return F.transform(words, lambda w: F.translate(w, FIRST, NAME if form == "names" else ""))
+
+
 def _hashes(words: Column) -> Column:
     """A 64-bit hash of each word's template: of the mark alone for a slot."""
     return F.transform(words, lambda w: F.xxhash64(F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w)))
@@ -55,11 +67,12 @@ def _windows(words: Column, k) -> Column:
 
 
 def _variants(benchmark: DataFrame, k: int) -> DataFrame:
-    """``(v, item_id, words, k, slots)``: the items, those that judge every document alike (the same literals, kinds of slots and equal slots) as one.
+    """``(v, item_id, words, k, slots)``: the items in each form, those that judge every document alike (the same literals, kinds of slots and equal slots) as one.
 
     Of such items the smallest item_id stands for all. ``slots`` has ``(at, c)`` for each slot whose value the item has more than once: c is the value's first place.
     """
     items = benchmark.where("item_id is not null").select("item_id", template_words(F.col("text")).alias("words"))
+    items = items.select("item_id", F.explode(F.array(*[_read(F.col("words"), f) for f in FORMS])).alias("words"))
     items = items.where(F.size("words") >= k)
     shape = F.transform("words", lambda w: F.when(_is_slot(w), F.concat(F.substring(w, 1, 1), F.array_position("words", w).cast("string"))).otherwise(w))
     items = items.groupBy(F.xxhash64(shape).alias("v")).agg(F.min(F.struct("item_id", "words")).alias("x")).select("v", "x.*")
@@ -70,7 +83,8 @@ def _variants(benchmark: DataFrame, k: int) -> DataFrame:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, literals: int = LITERALS, matches: int = MATCHES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(doc_id, item_id, n_windows)`` for each document that holds a passage of an item's template.
 
-    An alignment counts if at least ``matches`` windows of ``k`` words match along it (or all of the item's), each
+    A capitalised word that starts a sentence is read in two forms, as a literal and as a name; an item's alignment
+    may hold in either. An alignment counts if at least ``matches`` windows of ``k`` words match along it (or all of the item's), each
     with ``literals`` words that are no slots, and its slots are consistent. Every item is judged with its own
     windows and slots; only items that no document can tell apart (see :func:`_variants`) are reported by the
     smallest item_id. Reads ``docs(doc_id, text)`` and ``benchmark(item_id, text)`` only.
@@ -88,7 +102,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, l
     passes = -(-total // broadcast_rows)
 
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("t"), template_words(F.col("text")).alias("words"))
-    seen = texts.select("doc_id", "t", F.posexplode(_windows(F.col("words"), k)).alias("pos", "h"))
+    hashes = F.concat(*[_windows(_read(F.col("words"), f), k) for f in FORMS])
+    seen = texts.select("doc_id", "t", F.size("words").alias("n"), F.posexplode(hashes).alias("i", "h")).withColumn("pos", F.pmod("i", "n"))
     found = None
     for i in range(passes):
         part = windows.where(F.pmod("h", F.lit(passes)) == i)
@@ -117,7 +132,7 @@ def _consistent(runs: DataFrame, texts: DataFrame, broadcast_rows: int) -> DataF
     if n == 0:
         return runs
     words = texts.join(F.broadcast(wanted) if n <= broadcast_rows else wanted, ["doc_id", "t"], "left_semi")
-    words = words.select("doc_id", "t", F.posexplode("words").alias("place", "ours"))
+    words = words.select("doc_id", "t", F.posexplode(F.transform("words", _bare)).alias("place", "ours"))
     values = asked.join(words, ["doc_id", "t", "place"])
     bad = values.groupBy("doc_id", "t", "v", "shift", "c").agg(F.count_distinct("ours").alias("n")).where("n > 1")
     return runs.join(bad, ["doc_id", "t", "v", "shift"], "left_anti")
