@@ -76,3 +76,18 @@ def test_names_that_start_sentences_are_slots(spark):
     uneven = other.replace("Ben buys", "Max buys")
     docs = [(1, f"Here it is. {other} And so on."), (2, f"Here it is. {uneven} And so on."), (3, item), (4, "Tom has no apples and Sara has no pears. He buys more of them all. How many in the end?")]
     assert _find(spark, docs, [(1, item)]) == {(1, 1), (3, 1)}
+
+
+def test_exact_copies_of_short_and_slot_dense_items(spark):
+    items = [(1, "What is the capital of France?"), (2, "12 + 30 = 42, 7 + 8 = 15, 9 + 4 = 13"), (3, "Gone With The Wind And Other Old Stories Of The South"), (4, "Why do cats purr when they sleep at night?"), (5, "Photosynthesis")]
+    docs = [
+        (1, "Then he asked: what is the capital of France? Nobody knew."),
+        (2, "see 12 + 30 = 42, 7 + 8 = 15, 9 + 4 = 13 there"),
+        (3, "he read gone with the wind and other old stories of the south all day"),
+        (4, "The question Why do cats purr when they sleep at night came up"),
+        (5, "he wondered why do cats purr when they sleep at night"),
+        (6, "plants live by photosynthesis"),
+        (7, "What is the capital of Spain? 12 + 30 = 43, 7 + 9 = 15, 9 + 5 = 13. why do cats purr"),
+        (8, "capital of France"),
+    ]
+    assert _find(spark, docs, items) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 5)}

@@ -18,8 +18,8 @@ WINDOW, LITERALS, MATCHES = 8, 4, 3
 #: So many benchmark windows are broadcast at a time (24 bytes each); more are joined in further passes.
 BROADCAST_ROWS = 1_000_000
 NAME, NUMBER, UNIT, FIRST = "", "", "", ""
-#: How capitalised words that start a sentence are read: as they are, or as names.
-FORMS = ("written", "names")
+#: How words are read: capitalised words that start a sentence as they are, or as names; or all words as literals, for the item as a whole.
+FORMS = ("written", "names", "literal")
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "miles", "mile", "feet", "foot", "inches", "inch", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "euros", "euro", "cents", "percent", "liters", "litres", "liter", "litre", "ml", "pounds", "pound", "grams", "gram", "meters", "metres", "meter", "metre", "degrees", "mph", "kmh")
 
 
@@ -38,12 +38,14 @@ def _is_slot(word: Column) -> Column:
 
 
 def _bare(word: Column) -> Column:
-    return F.translate(word, NAME + NUMBER + UNIT + FIRST, "")
+    return F.when((word >= NAME) & (word < ""), F.substring(word, 2, 1 << 30)).otherwise(word)
 
 
 def _read(words: Column, form: str) -> Column:
-    """The words as a form reads them: a capitalised word that starts a sentence is a literal or a name."""
-    return F.transform(words, lambda w: F.translate(w, FIRST, NAME if form == "names" else ""))
+    """The words as a form reads them: a capitalised word that starts a sentence is a literal or a name, or each word is a literal without its mark."""
+    if form == "literal":
+        return F.transform(words, _bare)
+    return F.transform(words, lambda w: F.when((w >= FIRST) & (w < ""), F.concat(F.lit(NAME if form == "names" else ""), F.substring(w, 2, 1 << 30))).otherwise(w))
 
 
 def _hashes(words: Column) -> Column:
@@ -66,53 +68,69 @@ def _windows(words: Column, k) -> Column:
     return _once(_hashes(words), windows)
 
 
-def _variants(benchmark: DataFrame, k: int) -> DataFrame:
-    """``(v, item_id, words, k, slots)``: the items in each form, those that judge every document alike (the same literals, kinds of slots and equal slots) as one.
+def _variants(benchmark: DataFrame, k: int, literals: int) -> DataFrame:
+    """``(v, item_id, form, words, k, windows, slots)``: the items in each form, those that judge every document alike (the same windows, kinds of slots and equal slots) as one.
 
-    Of such items the smallest item_id stands for all. ``slots`` has ``(at, c)`` for each slot whose value the item has more than once: c is the value's first place.
+    Of such items the smallest item_id stands for all. ``windows`` has ``(h, dense)`` for each place: the hash of the
+    words themselves if fewer than ``literals`` of them are no slots (dense), else that of their templates. ``slots``
+    has ``(at, c)`` for each slot whose value the item has more than once: c is the value's first place.
     """
     items = benchmark.where("item_id is not null").select("item_id", template_words(F.col("text")).alias("words"))
-    items = items.select("item_id", F.explode(F.array(*[_read(F.col("words"), f) for f in FORMS])).alias("words"))
-    items = items.where(F.size("words") >= k)
+    forms = F.array(*[F.struct(F.lit(f).alias("form"), _read(F.col("words"), f).alias("words")) for f in FORMS])
+    items = items.select("item_id", F.explode(forms).alias("f")).select("item_id", "f.*", F.least(F.lit(k), F.size("f.words")).alias("k"))
+    items = items.where((F.size("words") >= k) | ((F.col("form") == "literal") & (F.size("words") > 0)))
+    free = lambda i: F.size(F.filter(F.slice("words", i + 1, F.col("k")), lambda w: ~_is_slot(w)))
+    both = F.arrays_zip(_windows(F.col("words"), F.col("k")).alias("t"), _windows(_read(F.col("words"), "literal"), F.col("k")).alias("w"))
+    items = items.withColumn("windows", F.slice(both, 1, F.size("words") - F.col("k") + 1))
+    items = items.withColumn("windows", F.transform("windows", lambda x, i: F.struct(F.when(free(i) < F.least(F.lit(literals), F.col("k")), x["w"]).otherwise(x["t"]).alias("h"), (free(i) < F.least(F.lit(literals), F.col("k"))).alias("dense"))))
     shape = F.transform("words", lambda w: F.when(_is_slot(w), F.concat(F.substring(w, 1, 1), F.array_position("words", w).cast("string"))).otherwise(w))
-    items = items.groupBy(F.xxhash64(shape).alias("v")).agg(F.min(F.struct("item_id", "words")).alias("x")).select("v", "x.*")
+    whole = F.col("form") == "literal"
+    items = items.groupBy(F.xxhash64(whole, shape, F.col("windows")).alias("v")).agg(F.min(F.struct("item_id", "form", "words", "k", "windows")).alias("x")).select("v", "x.*")
     many = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), F.array_position("words", w).alias("c"), (_is_slot(w) & (F.size(F.filter("words", lambda x: x == w)) > 1)).alias("many"))), lambda s: s["many"])
-    return checkpointed(items.select("v", "item_id", "words", F.least(F.lit(k), F.size("words")).alias("k"), F.transform(many, lambda s: F.struct(s["at"].alias("at"), s["c"].alias("c"))).alias("slots")))
+    return checkpointed(items.withColumn("slots", F.transform(many, lambda s: F.struct(s["at"].alias("at"), s["c"].alias("c")))))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, literals: int = LITERALS, matches: int = MATCHES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(doc_id, item_id, n_windows)`` for each document that holds a passage of an item's template.
 
     A capitalised word that starts a sentence is read in two forms, as a literal and as a name; an item's alignment
-    may hold in either. An alignment counts if at least ``matches`` windows of ``k`` words match along it (or all of the item's), each
-    with ``literals`` words that are no slots, and its slots are consistent. Every item is judged with its own
-    windows and slots; only items that no document can tell apart (see :func:`_variants`) are reported by the
-    smallest item_id. Reads ``docs(doc_id, text)`` and ``benchmark(item_id, text)`` only.
-
-    Null or short texts (fewer than ``k`` words) match nothing, on either side; rows without a doc_id are not
+    may hold in either. An alignment counts if at least ``matches`` windows of ``k`` words match along it (or all of
+    the item's), and its slots are consistent. A window with fewer than ``literals`` words that are no slots matches
+    only with its very words; templates alone, without such windows, suffice too. The third form is the whole item,
+    word for word in any case: so exact copies of items of fewer than ``k`` words are found, which have no other form.
+    Every item is judged with its own windows and slots; only items that no document can tell apart (see
+    :func:`_variants`) are reported by the smallest item_id. Reads ``docs(doc_id, text)`` and
+    ``benchmark(item_id, text)`` only.
+
+    Null texts and texts without words match nothing, on either side; rows without a doc_id are not
     reported; repeated documents or items count once; empty tables give an empty result.
     """
-    variants = _variants(benchmark, k)
-    windows = variants.select("v", "k", "words", F.posexplode(_windows(F.col("words"), F.col("k"))).alias("item_pos", "h")).where(F.col("item_pos") <= F.size("words") - F.col("k"))
-    windows = windows.where(F.size(F.filter(F.slice("words", F.col("item_pos") + 1, F.col("k")), lambda w: ~_is_slot(w))) >= F.least(F.lit(literals), F.col("k")))
-    windows = checkpointed(windows.select("h", "v", "item_pos"))
+    variants = _variants(benchmark, k, literals)
+    windows = variants.select("v", F.posexplode("windows").alias("item_pos", "w")).select("w.h", "v", "item_pos", "w.dense")
+    windows = checkpointed(windows)
     total = windows.count()
     if total == 0:
         return _empty(docs, benchmark)
     passes = -(-total // broadcast_rows)
 
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("t"), template_words(F.col("text")).alias("words"))
-    hashes = F.concat(*[_windows(_read(F.col("words"), f), k) for f in FORMS])
-    seen = texts.select("doc_id", "t", F.size("words").alias("n"), F.posexplode(hashes).alias("i", "h")).withColumn("pos", F.pmod("i", "n"))
+    short = sorted(r.k for r in variants.where(F.col("k") < k).select("k").distinct().collect())
+    hashes = F.concat(*[_windows(_read(F.col("words"), f), k) for f in FORMS], *[_windows(_read(F.col("words"), "literal"), n) for n in short])
+    # the words are left behind before the windows are spread, or each window's row would carry them
+    seen = texts.select("doc_id", "t", F.size("words").alias("n"), hashes.alias("h")).select("doc_id", "t", "n", F.posexplode("h").alias("i", "h"))
     found = None
     for i in range(passes):
         part = windows.where(F.pmod("h", F.lit(passes)) == i)
-        got = seen.join(F.broadcast(part), "h").select("doc_id", "t", "v", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos")
+        got = seen.join(F.broadcast(part), "h").select("doc_id", "t", "v", F.floor(F.col("i") / F.col("n")).cast("int").alias("form"), (F.pmod("i", "n") - F.col("item_pos")).alias("shift"), "item_pos", "dense")
         found = got if found is None else found.unionByName(got)
-    runs = found.groupBy("doc_id", "t", "v", "shift").agg(F.collect_set("item_pos").alias("at"))
-    need = windows.groupBy("v").agg(F.least(F.lit(matches), F.count("*")).alias("need"))
-    known = variants.join(need, "v").select("v", "item_id", "k", "slots", "need")
-    runs = checkpointed(runs.join(F.broadcast(known) if total <= broadcast_rows else known, "v").where(F.size("at") >= F.col("need")))
+    # an alignment is judged in each form of the document; its literal windows belong to both
+    found = found.withColumn("form", F.explode(F.when(F.col("form") < 2, F.array("form")).otherwise(F.array(F.lit(0), F.lit(1)))))
+    runs = found.groupBy("doc_id", "t", "v", "form", "shift").agg(F.collect_set("item_pos").alias("at"), F.collect_set(F.when(~F.col("dense"), F.col("item_pos"))).alias("open"))
+    known = variants.select("v", "item_id", F.col("form").alias("of"), "k", "slots", F.size("windows").alias("all"), F.size(F.filter("windows", lambda w: ~w["dense"])).alias("most"))
+    enough = (F.size("at") >= F.least(F.lit(matches), F.col("all"))) | ((F.col("most") > 0) & (F.size("open") >= F.least(F.lit(matches), F.col("most"))))
+    whole = F.col("of") == "literal"
+    runs = runs.join(F.broadcast(known) if total <= broadcast_rows else known, "v").where(F.when(whole, F.size("at") >= F.col("all")).otherwise(enough))
+    runs = checkpointed(runs.drop("all", "most", "of"))
     good = _consistent(runs, texts, broadcast_rows)
     return good.groupBy("doc_id", "item_id").agg(F.max(F.size("at")).cast("long").alias("n_windows"))
 
@@ -123,9 +141,9 @@ def _empty(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _consistent(runs: DataFrame, texts: DataFrame, broadcast_rows: int) -> DataFrame:
-    """``runs`` in which each of the item's slot values has one value in the document, over the windows that match along the alignment."""
-    covered = F.filter("slots", lambda s: F.exists("at", lambda p: (s["at"] >= p) & (s["at"] < p + F.col("k"))))
-    asked = runs.select("doc_id", "t", "v", "shift", F.explode(covered).alias("s")).select("doc_id", "t", "v", "shift", "s.c", (F.col("shift") + F.col("s.at")).alias("place"))
+    """``runs`` in which each of the item's slot values has one value in the document, over the windows whose templates match along the alignment (the others match word for word)."""
+    covered = F.filter("slots", lambda s: F.exists("open", lambda p: (s["at"] >= p) & (s["at"] < p + F.col("k"))))
+    asked = runs.select("doc_id", "t", "v", "form", "shift", F.explode(covered).alias("s")).select("doc_id", "t", "v", "form", "shift", "s.c", (F.col("shift") + F.col("s.at")).alias("place"))
     asked = checkpointed(asked)
     wanted = asked.select("doc_id", "t").distinct()
     n = wanted.count()
@@ -134,8 +152,8 @@ def _consistent(runs: DataFrame, texts: DataFrame, broadcast_rows: int) -> DataF
     words = texts.join(F.broadcast(wanted) if n <= broadcast_rows else wanted, ["doc_id", "t"], "left_semi")
     words = words.select("doc_id", "t", F.posexplode(F.transform("words", _bare)).alias("place", "ours"))
     values = asked.join(words, ["doc_id", "t", "place"])
-    bad = values.groupBy("doc_id", "t", "v", "shift", "c").agg(F.count_distinct("ours").alias("n")).where("n > 1")
-    return runs.join(bad, ["doc_id", "t", "v", "shift"], "left_anti")
+    bad = values.groupBy("doc_id", "t", "v", "form", "shift", "c").agg(F.count_distinct("ours").alias("n")).where("n > 1")
+    return runs.join(bad, ["doc_id", "t", "v", "form", "shift"], "left_anti")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
