@@ -5,21 +5,30 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vouchlake.llm import decontamination, langid, line_dedup, minhash_dedup, mixing
 from vouchlake.llm.common import checkpointed, table
 
-#: A document whose best language has a lower cosine is rejected, as one without letters is.
-MIN_SCORE = 0.02
+#: Dimensions of the stage's profiles: noise is half as wide as with langid's own, and short texts keep their distance from it.
+LANGUAGE_DIM = 4096
+#: The share of unrelated texts that noise alone may take for any language.
+BY_CHANCE = 1e-4
+
+
+def min_score(languages: int, dim: int = LANGUAGE_DIM) -> float:
+    """The cosine that the best of so many languages exceeds by chance for BY_CHANCE of the texts: an unrelated one's is normal, with deviation 1 / sqrt(dim) for any number of trigrams."""
+    return NormalDist().inv_cdf(1 - BY_CHANCE / max(languages, 1)) / dim**0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: rejects documents in which no language is recognised (no letters, or a score below MIN_SCORE). The prototypes are learned from the documents that are not held out."""
-    langs, protos = langid.fit_prototypes(docs, ~langid.held_out() & F.col("doc_id").isNotNull())
+    """Language ID: rejects documents in which no language is recognised (no letters, or a score that unrelated texts reach by chance, see min_score). The prototypes are learned from the documents that are not held out."""
+    langs, protos = langid.fit_prototypes(docs, ~langid.held_out() & F.col("doc_id").isNotNull(), dim=LANGUAGE_DIM)
     seen = docs.withColumn("__language", langid.language_of(F.col("text"), langs, protos))
-    return seen.where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= MIN_SCORE)).drop("__language")
+    return seen.where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= min_score(len(langs)))).drop("__language")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

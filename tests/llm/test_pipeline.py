@@ -64,3 +64,20 @@ def test_mixing_keeps_columns_that_clash(spark):
     out = cp.mix(spark, docs, "")
     assert {"copies", "whole", "copy", "size", "target"} <= set(out.columns) and {r.copies for r in out.collect()} <= {7, 8}
     assert minhash_dedup.drop_near_duplicates(docs).columns == docs.columns
+
+
+def test_texts_in_no_learned_language_are_rejected(spark, tmp_path):
+    rng = random.Random(4)
+    texts, _ = _corpus(tmp_path, spark)
+    rows = [(d, t, "en" if d % 2 else "de") for d, t in texts.items() if d < 200]
+    russian = "она вошла в комнату где он уже сидел у окна и читал старую книгу о далёких странах".split()
+    letters = {"cyrillic": None, "chinese": [chr(c) for c in range(0x4E00, 0x5E00)], "gibberish": "bcdfgjkmpqvxz"}
+    for k, kind in enumerate(letters):
+        for i in range(40):
+            words = [rng.choice(russian) if kind == "cyrillic" else "".join(rng.choice(letters[kind]) for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(10, 60))]
+            rows.append((1000 + 100 * k + i, " ".join(words), None))
+    rows.append((5000, "the house with the thing", None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in cp.keep_known_languages(spark, docs, "").collect()}
+    assert {d for d in texts if d < 200} | {5000} <= kept
+    assert len([d for d in kept if 1000 <= d < 5000]) <= 1
