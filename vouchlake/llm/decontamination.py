@@ -25,8 +25,9 @@ UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "miles", "mile", "feet", "foot"
 
 def template_words(text: Column) -> Column:
     """The words of a text in lower case; names, numbers, units and other capitalised words carry a mark in front of their value. Null gives an empty array."""
-    s = F.regexp_replace(text, r"(?<=[^\s.!?:]\s)(\p{Lu}[\p{L}\p{M}'’-]*)", NAME + "$1")
-    s = F.regexp_replace(s, rf"(?<![\p{{L}}\p{{M}}\p{{N}}'’{NAME}-])(\p{{Lu}}[\p{{L}}\p{{M}}'’-]*)", FIRST + "$1")
+    # the look-ahead comes first: it turns most places down at once
+    s = F.regexp_replace(text, r"(?=\p{Lu})(?<=[^\s.!?:]\s)(\p{Lu}[\p{L}\p{M}'’-]*)", NAME + "$1")
+    s = F.regexp_replace(s, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}'’{NAME}-])(\p{{Lu}}[\p{{L}}\p{{M}}'’-]*)", FIRST + "$1")
     s = F.regexp_replace(F.lower(s), r"(\d+(?:[.,:/]\d+)*)", f" {NUMBER}$1 ")
     s = F.regexp_replace(s, rf"({NUMBER}\S+ ) ?({'|'.join(UNITS)})\b", rf"$1{UNIT}$2")
     words = F.split(s, rf"(?:[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{FIRST}.,:/]|(?<!\d)[.,:/]|[.,:/](?!\d))+")
@@ -68,6 +69,12 @@ def _windows(words: Column, k) -> Column:
     return _once(_hashes(words), windows)
 
 
+def _spread(rows: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, t, form, place, h)``: the windows of ``k`` words of ``rows(doc_id, t, form, w)``, w the words' hashes."""
+    places = F.explode(F.sequence(F.lit(0), F.size("w") - k))
+    return rows.where(F.size("w") >= k).select("doc_id", "t", "form", "w", places.alias("place")).select("doc_id", "t", "form", "place", F.xxhash64(*[F.get("w", F.col("place") + j) for j in range(k)]).alias("h"))
+
+
 def _variants(benchmark: DataFrame, k: int, literals: int) -> DataFrame:
     """``(v, item_id, form, words, k, windows, slots)``: the items in each form, those that judge every document alike (the same windows, kinds of slots and equal slots) as one.
 
@@ -114,14 +121,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, l
     passes = -(-total // broadcast_rows)
 
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("t"), template_words(F.col("text")).alias("words"))
-    short = sorted(r.k for r in variants.where(F.col("k") < k).select("k").distinct().collect())
-    hashes = F.concat(*[_windows(_read(F.col("words"), f), k) for f in FORMS], *[_windows(_read(F.col("words"), "literal"), n) for n in short])
-    # the words are left behind before the windows are spread, or each window's row would carry them
-    seen = texts.select("doc_id", "t", F.size("words").alias("n"), hashes.alias("h")).select("doc_id", "t", "n", F.posexplode("h").alias("i", "h"))
+    # hashes of words are made once a row, those of windows as the places are spread (columns that generated code reads, no lambdas); the words stay behind
+    hashed = F.array(*[F.struct(F.lit(i).alias("form"), _hashes(_read(F.col("words"), f)).alias("w")) for i, f in enumerate(FORMS)])
+    seen = _spread(texts.select("doc_id", "t", F.explode(hashed).alias("f")).select("doc_id", "t", "f.form", "f.w"), k)
+    for n in sorted(r.k for r in variants.where(F.col("k") < k).select("k").distinct().collect()):
+        seen = seen.unionByName(_spread(texts.select("doc_id", "t", F.lit(2).alias("form"), _hashes(_read(F.col("words"), "literal")).alias("w")), n))
     found = None
     for i in range(passes):
         part = windows.where(F.pmod("h", F.lit(passes)) == i)
-        got = seen.join(F.broadcast(part), "h").select("doc_id", "t", "v", F.floor(F.col("i") / F.col("n")).cast("int").alias("form"), (F.pmod("i", "n") - F.col("item_pos")).alias("shift"), "item_pos", "dense")
+        got = seen.join(F.broadcast(part), "h").select("doc_id", "t", "v", "form", (F.col("place") - F.col("item_pos")).alias("shift"), "item_pos", "dense")
         found = got if found is None else found.unionByName(got)
     # an alignment is judged in each form of the document; its literal windows belong to both
     found = found.withColumn("form", F.explode(F.when(F.col("form") < 2, F.array("form")).otherwise(F.array(F.lit(0), F.lit(1)))))
