@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of a text: a run of bytes that are not ASCII white space.
@@ -35,6 +35,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def whole_id(name: str) -> tuple[Column, Column]:
+    """An id as a long that is never null, and whether it was, as ``no_id``: pandas turns longs beside nulls into doubles, which end at 2^53."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(0)).alias(name), F.col(name).cast("long").isNull().alias("no_id")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

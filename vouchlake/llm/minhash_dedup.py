@@ -17,14 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_runs, checkpointed, connected_components, table
+from .common import by_runs, checkpointed, connected_components, table, whole_id
 
 #: Signature length; trees; the first depth at which nodes are compared, the last at which they branch; the largest node that is compared at once.
 SIGNATURE, TREES, FIRST_DEPTH, LAST_DEPTH, NODE = 64, 10, 3, 12, 2000
-#: Signatures agree in this much less than the threshold at least, for a pair to become a candidate (over three standard deviations).
-SLACK = 0.14
-#: Classes that are compared exactly at a time.
-BLOCK = 1024
+#: Signatures agree in this much less than the threshold at least, for a pair to become a candidate (four standard deviations).
+SLACK = 0.2
+#: Classes that are compared exactly at a time, and shingles that these have, about.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 #: So many classes at most are broadcast when their texts are fetched; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 CHUNK = 1 << 19
@@ -102,9 +102,10 @@ def _features(docs: DataFrame, k: int) -> DataFrame:
                 h.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sig.append(signature(s).tobytes() if len(s) else None)
             both = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "h1": both[:, 0], "h2": both[:, 1], "sig": sig})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "no_id": pdf["no_id"], "t": pdf["t"], "n_shingles": n, "h1": both[:, 0], "h2": both[:, 1], "sig": sig})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    rows = docs.select(*whole_id("doc_id"), F.xxhash64("text").alias("t"), "text")
+    return rows.mapInPandas(run, "doc_id long, no_id boolean, t long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def _chosen(node: np.ndarray, share: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -166,13 +167,25 @@ def _forest(linked, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _compare_nodes(rows: DataFrame, classes: DataFrame, least: float, ratio: float) -> DataFrame:
-    """Spanning edges ``(a, b)`` of what the nodes' members have in common by signature and size."""
+def _untied(edges: list[tuple[int, int]], n: int) -> list[int]:
+    """Which of ``n`` rows a forest (whose edges lead away from what was reached) doesn't tie to the first."""
+    tied = {0}
+    for a, b in edges:
+        if a in tied:
+            tied.add(b)
+    return [i for i in range(n) if i not in tied]
+
+
+def _compare_nodes(rows: DataFrame, classes: DataFrame, least: float, ratio: float, first: bool) -> DataFrame:
+    """Spanning edges ``(node, block, a, b, loose)`` of what the members of ``rows(node, blocks, own, block, rep)`` have in common by signature and size.
+
+    On the ``first`` meeting of a node of several blocks, what a block doesn't tie to the node's smallest member is named too (loose: a = b).
+    """
 
     def compare(g: pd.DataFrame) -> pd.DataFrame | None:
+        g = g.sort_values("rep", kind="stable").drop_duplicates("rep")
         if len(g) < 2:
             return None
-        g = g.drop_duplicates("rep")
         sigs, n, rep = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(-1, SIGNATURE), g["n_shingles"].to_numpy(), g["rep"].to_numpy()
 
         def linked(i: int, others: np.ndarray) -> np.ndarray:
@@ -181,16 +194,19 @@ def _compare_nodes(rows: DataFrame, classes: DataFrame, least: float, ratio: flo
             return fits
 
         edges = _forest(linked, len(g))
-        return pd.DataFrame({"a": rep[[e[0] for e in edges]], "b": rep[[e[1] for e in edges]]}) if edges else None
+        alone = _untied(edges, len(g)) if first and g["blocks"].iloc[0] > 1 else []
+        a, b = [e[0] for e in edges] + alone, [e[1] for e in edges] + alone
+        return pd.DataFrame({"node": g["node"].iloc[0], "block": g["block"].iloc[0], "a": rep[a], "b": rep[b], "loose": [False] * len(edges) + [True] * len(alone)}) if a else None
 
-    return by_runs(rows.join(classes.select("rep", "sig", "n_shingles"), "rep").select("node", "block", "rep", "sig", "n_shingles"), ["node", "block"], compare, "a long, b long")
+    both = rows.join(classes.select("rep", "sig", "n_shingles"), "rep").select("node", "blocks", "own", "block", "rep", "sig", "n_shingles")
+    return by_runs(both, ["node", "own", "block"], compare, "node long, block int, a long, b long, loose boolean")
 
 
 def candidate_edges(classes: DataFrame, threshold: float, trees: int = TREES, node_limit: int = NODE, first_depth: int = FIRST_DEPTH, last_depth: int = LAST_DEPTH) -> DataFrame:
     """``(a, b)``: edges that span the candidate clusters of ``classes(rep, n_shingles, sig)``.
 
     A node that is still above the limit at the last depth (its members agree almost everywhere) is dealt into
-    blocks by a hash; its smallest member is in each, and every tree deals anew.
+    blocks by a hash, its smallest member into each; what a block doesn't tie to that one meets all other blocks.
     """
     share, least = 1 / threshold, threshold - SLACK
     rows, leaves = checkpointed(_walk(classes, share, trees, first_depth)), []
@@ -198,11 +214,11 @@ def candidate_edges(classes: DataFrame, threshold: float, trees: int = TREES, no
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
         if depth == last_depth:
             blocks = F.greatest(F.ceil(F.col("n") / node_limit), F.lit(1)).cast("int")
-            big = rows.join(sizes.select("node", blocks.alias("k"), "low"), "node")
-            mine = F.pmod(F.xxhash64("rep", "node"), F.col("k")).cast("int")
-            leaves.append(big.select("node", "rep", F.explode(F.when(F.col("rep") == F.col("low"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(mine))).alias("block")))
+            big = rows.join(sizes.select("node", blocks.alias("blocks"), "low"), "node")
+            mine = F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int")
+            leaves.append(big.select("node", "blocks", F.lit(0).alias("own"), F.explode(F.when(F.col("rep") == F.col("low"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(mine))).alias("block"), "rep"))
             break
-        leaves.append(rows.join(sizes.where(F.col("n") <= node_limit).select("node"), "node").select("node", "rep", F.lit(0).alias("block")))
+        leaves.append(rows.join(sizes.where(F.col("n") <= node_limit).select("node"), "node").select("node", F.lit(1).alias("blocks"), F.lit(0).alias("own"), F.lit(0).alias("block"), "rep"))
         over = sizes.where(F.col("n") > node_limit).select("node")
         big = checkpointed(rows.join(over, "node").select("node", "rep"))
         if not big.limit(1).count():
@@ -211,7 +227,18 @@ def candidate_edges(classes: DataFrame, threshold: float, trees: int = TREES, no
     all_leaves = leaves[0]
     for x in leaves[1:]:
         all_leaves = all_leaves.unionByName(x)
-    return _compare_nodes(all_leaves, classes, least, threshold)
+    if len(leaves) <= last_depth - first_depth:
+        return _compare_nodes(all_leaves, classes, least, threshold, True).select("a", "b")
+    found = checkpointed(_compare_nodes(all_leaves, classes, least, threshold, True))
+    edges = found.where("not loose").select("a", "b")
+    loose = found.where("loose").select("node", F.col("block").alias("own"), F.col("a").alias("rep"))
+    if loose.limit(1).count():
+        dealt = leaves[-1].where("blocks > 1").select("node", "blocks", "block", "rep").distinct()
+        theirs = dealt.join(loose.select("node", "own").distinct(), "node").where("block <> own")
+        ours = loose.join(dealt.select("node", "blocks").distinct(), "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own")
+        columns = ["node", "blocks", "own", "block", "rep"]
+        edges = edges.unionByName(_compare_nodes(theirs.select(columns).unionByName(ours.select(columns)), classes, least, threshold, False).select("a", "b"))
+    return edges
 
 
 def _similar(sets: list[np.ndarray], percent: int):
@@ -243,14 +270,7 @@ def _link(g: pd.DataFrame, percent: int, across: bool) -> pd.DataFrame | None:
     edges = _forest(lambda i, others: hit[i, others], len(g))
     out = [(rep[a], rep[b], False) for a, b in edges]
     if not across and g["blocks"].iloc[0] > 1:  # who isn't tied to the cluster's smallest class within this block
-        tied, grown = {0}, True
-        while grown:
-            grown = False
-            for a, b in edges:
-                if (a in tied) != (b in tied):
-                    tied |= {a, b}
-                    grown = True
-        out += [(rep[i], rep[i], True) for i in range(1, len(g)) if i not in tied]
+        out += [(rep[i], rep[i], True) for i in _untied(edges, len(g))]
     return pd.DataFrame(out, columns=["a", "b", "loose"]) if out else None
 
 
@@ -261,28 +281,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     distinct ``shingle``-word shingles have ``100 * common >= percent * union``; fewer words make one shingle of the
     whole sequence, and a text without words is linked with nothing. ``component_id`` is the smallest doc_id
     reachable, ``kept`` whether that is the row's own. Equal sets are linked surely; other pairs are found with a
-    probability that ``trees`` sets (above 0.99 at the threshold), and confirmed exactly.
+    probability that ``trees`` sets (about 0.99 at the threshold), and confirmed exactly.
 
-    Rows without a doc_id are linked with nothing: component_id null, kept. Rows that repeat a doc_id get the
-    result of its smallest class. An empty table gives an empty result.
+    Rows without a doc_id are linked with nothing: component_id null, kept. Rows that repeat a doc_id are compared
+    each by its own text. An empty table gives an empty result. Other columns are not read.
     """
+    return _near_duplicates(docs, shingle, percent, trees, node_limit, block).drop("t")
+
+
+def _near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = TREES, node_limit: int = NODE, block: int = BLOCK) -> DataFrame:
+    """As :func:`near_duplicates`, with a hash ``t`` of the row's text."""
     threshold = percent / 100
-    rows = checkpointed(_features(docs, shingle))
-    named = rows.where("doc_id is not null and n_shingles > 0")
-    classes = checkpointed(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
+    rows = checkpointed(_features(docs, shingle).withColumn("row", F.monotonically_increasing_id()))
+    named = rows.where("not no_id and n_shingles > 0")
+    classes = named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = checkpointed(classes.select("h1", "h2", F.col("low.row").alias("rep"), F.col("low.doc_id").alias("doc"), "n_shingles", "sig"))
     edges = candidate_edges(classes, threshold, trees, node_limit)
-    clusters = checkpointed(connected_components(edges))
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    place = clusters.join(sizes, "component").select(F.col("id").alias("rep"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    clusters = checkpointed(connected_components(edges).withColumnRenamed("id", "rep").join(classes.select("rep", "doc", "h1", "h2", "n_shingles"), "rep"))
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = clusters.groupBy("component").agg(blocks.alias("blocks"))
+    place = clusters.join(sizes, "component").select("rep", "doc", "h1", "h2", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
     place = checkpointed(place)
     few = place.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text is not null").join(F.broadcast(place) if few else place, "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("text is not null").join(F.broadcast(place) if few else place, "doc")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"rep": pdf["rep"], "cluster": pdf["cluster"], "blocks": pdf["blocks"], "block": pdf["block"], "members": [s.tobytes() for s in shingle_sets(pdf["text"].tolist(), shingle)]})
+            sets = [s.tobytes() for s in shingle_sets(pdf["text"].tolist(), shingle)]
+            own = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, sets)), np.int64).reshape(-1, 2)
+            same = (own == pdf[["h1", "h2"]].to_numpy()).all(axis=1)  # another row may repeat the doc_id
+            yield pd.DataFrame({"rep": pdf["rep"], "cluster": pdf["cluster"], "blocks": pdf["blocks"], "block": pdf["block"], "members": sets})[same]
 
-    sets = checkpointed(texts.mapInPandas(fetch, "rep long, cluster long, blocks int, block int, members binary"))
+    sets = checkpointed(texts.select("rep", "h1", "h2", "cluster", "blocks", "block", "text").mapInPandas(fetch, "rep long, cluster long, blocks int, block int, members binary"))
     everywhere = F.when(F.col("rep") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     dealt = sets.withColumn("block", F.explode(everywhere))
     found = checkpointed(by_runs(dealt, ["cluster", "block"], lambda g: _link(g, percent, False), "a long, b long, loose boolean"))
@@ -294,16 +324,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
         theirs = sets.join(loose.join(sets.select("rep", "cluster", "block"), "rep").select("cluster", F.col("block").alias("own")).distinct(), "cluster")
         both = ours.select("cluster", "own", "block", "rep", "blocks", "members").unionByName(theirs.select("cluster", "own", "block", "rep", "blocks", "members"))
         links = links.unionByName(by_runs(both, ["cluster", "own", "block"], lambda g: _link(g, percent, True), "a long, b long, loose boolean").select("a", "b"))
-    same = named.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("doc_id").alias("d"), "rep")
-    groups = connected_components(links).select(F.col("id").alias("rep"), "component")
-    settled = same.join(groups, "rep", "left").groupBy("d").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    return rows.join(settled, F.col("doc_id") == F.col("d"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
+    groups = connected_components(links).withColumnRenamed("id", "rep").join(clusters.select("rep", "doc", "h1", "h2"), "rep")
+    lowest = groups.groupBy("component").agg(F.min("doc").alias("root"))
+    rooted = groups.join(lowest, "component").select("h1", "h2", "root")
+    settled = classes.select("h1", "h2", "doc").join(rooted, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("root", "doc").alias("component"), F.lit(False).alias("no_id"))
+    out = rows.drop("sig").join(settled, ["h1", "h2", "no_id"], "left")
+    own = F.when(~F.col("no_id"), F.col("doc_id"))
+    component = F.when(~F.col("no_id"), F.coalesce("component", "doc_id"))
+    return out.select(own.alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(own == component, F.lit(True)).alias("kept"), "t")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, all columns, with one document (the smallest doc_id) of each group of near-duplicates."""
-    gone = near_duplicates(docs.select("doc_id", "text"), **options).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs``, all columns, with one document (the smallest doc_id) of each group of near-duplicates; rows without a doc_id stay, as do all copies of the row that stays."""
+    gone = _near_duplicates(docs.select("doc_id", "text"), **options).where(~F.col("kept")).select("doc_id", F.col("t").alias("__t")).distinct()
+    return docs.withColumn("__t", F.xxhash64("text")).join(gone, ["doc_id", "__t"], "left_anti").select(docs.columns)
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
