@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_runs, checkpointed, runs, small_batches, table
+from .common import by_runs, checkpointed, runs, small_batches, table, whole_id
 from .minhash_dedup import _mix
 from .suffix_array import shares_prefix, sort_suffixes
 
@@ -117,8 +117,31 @@ def _prime(n: int) -> int:
     return n
 
 
-def _scan(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """``(bucket, blob)``: all segments, by their anchor's hash."""
+def _ranked(v: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Segments in order of class and place; where anchors and classes begin, and which segments are later ones of their class."""
+    order = np.lexsort((v["lo"], v["doc"], v["rel"], v["n"], v["segment"], v["anchor"]))
+    v = {n: x[order] for n, x in v.items()}
+    other = np.r_[True, v["anchor"][1:] != v["anchor"][:-1]]
+    start = other | np.r_[True, (v["segment"][1:] != v["segment"][:-1]) | (v["n"][1:] != v["n"][:-1]) | (v["rel"][1:] != v["rel"][:-1])]
+    head = np.flatnonzero(start)[np.cumsum(start) - 1]
+    return v, other, start, (v["doc"] != v["doc"][head]) | (v["lo"] != v["lo"][head])
+
+
+def _shared(anchor: np.ndarray) -> np.ndarray:
+    """Which anchors occur more than once."""
+    order = np.argsort(anchor, kind="stable")
+    a, again = anchor[order], np.zeros(len(anchor), bool)
+    again[1:] = a[1:] == a[:-1]
+    again[:-1] |= again[1:]
+    out = np.zeros(len(anchor), bool)
+    out[order] = again
+    return out
+
+
+def _scan(docs: DataFrame, length: int, buckets: int, doc_buckets: int) -> DataFrame:
+    """``(bucket, target, blob)``: all segments, by their anchor's hash (target null). Of a class that a task meets again only
+    the first segment goes on as one; the later ones are repeated windows, addressed to their documents' bucket ``target``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, count = [], 0
@@ -126,7 +149,14 @@ def _scan(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         def flush() -> pd.DataFrame:
             values = {n: np.concatenate([h[n] for h in held]) for n in _ALL}
             held.clear()
-            return pd.DataFrame(list(_by(values, (values["anchor"] % np.uint64(buckets)).astype(np.int64), _ALL)), columns=["bucket", "blob"])
+            out, shared = [], _shared(values["anchor"])
+            if shared.any():
+                some, _, _, repeat = _ranked({n: x[shared] for n, x in values.items()})
+                values = {n: np.concatenate([x[~shared], some[n][~repeat]]) for n, x in values.items()}
+                part = {n: some[n][repeat] for n in _WINDOWS}
+                out = [(b % buckets, b, blob) for b, blob in _by(part, part["doc"] % doc_buckets, _WINDOWS)]
+            out += [(b, -1, blob) for b, blob in _by(values, (values["anchor"] % np.uint64(buckets)).astype(np.int64), _ALL)]
+            return pd.DataFrame(out, columns=["bucket", "target", "blob"])
 
         def work(pieces: list) -> None:
             nonlocal count
@@ -154,26 +184,16 @@ def _scan(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.where("doc_id is not null and text is not null").mapInPandas(run, "bucket int, blob binary")
+    return docs.where("doc_id is not null and text is not null").mapInPandas(run, "bucket int, target int, blob binary")
 
 
 def _classes(blobs, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """(document bucket, kind, blob): kind 0 are repeated windows, kind 1 the segments that have to be sorted."""
     v = _unpack(blobs, _ALL)
-    order = np.argsort(v["anchor"], kind="stable")
-    a = v["anchor"][order]
-    again = np.zeros(len(a), bool)
-    again[1:] = a[1:] == a[:-1]
-    again[:-1] |= again[1:]
-    v = {n: x[order[again]] for n, x in v.items()}
-    order = np.lexsort((v["lo"], v["doc"], v["rel"], v["n"], v["segment"], v["anchor"]))
-    v = {n: x[order] for n, x in v.items()}
-    if not len(order):
+    shared = _shared(v["anchor"])
+    if not shared.any():
         return
-    other = np.r_[True, v["anchor"][1:] != v["anchor"][:-1]]
-    start = other | np.r_[True, (v["segment"][1:] != v["segment"][:-1]) | (v["n"][1:] != v["n"][:-1]) | (v["rel"][1:] != v["rel"][:-1])]
-    head = np.flatnonzero(start)[np.cumsum(start) - 1]
-    repeat = (v["doc"] != v["doc"][head]) | (v["lo"] != v["lo"][head])
+    v, other, start, repeat = _ranked({n: x[shared] for n, x in v.items()})
     group = np.cumsum(other) - 1
     several = np.bincount(group[start])[group] > 1
     for kind, which, names in ((0, repeat, _WINDOWS), (1, start & several, _SEGMENTS)):
@@ -185,8 +205,8 @@ def _classes(blobs, buckets: int) -> Iterator[tuple[int, int, bytes]]:
 def _with_texts(docs: DataFrame, blobs: DataFrame, buckets: int) -> DataFrame:
     """Blobs ``(bucket, kind, blob)`` and documents, laid out so that a bucket's blobs come before its documents."""
     bucket = F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(0)).cast("int")
-    rows = docs.select(bucket.alias("bucket"), F.lit(9).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("blob"))
-    rows = blobs.select("bucket", "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "blob").unionByName(rows)
+    rows = docs.select(bucket.alias("bucket"), F.lit(9).alias("kind"), *whole_id("doc_id"), "text", F.lit(None).cast("binary").alias("blob"))
+    rows = blobs.select("bucket", "kind", F.lit(0).cast("long").alias("doc_id"), F.lit(True).alias("no_id"), F.lit(None).cast("string").alias("text"), "blob").unionByName(rows)
     return rows.repartition("bucket").sortWithinPartitions("bucket", "kind")
 
 
@@ -194,7 +214,7 @@ def _streams(batches, names: tuple[str, ...]):
     """(values of a bucket's blobs sorted by document and place, an iterator over pieces of its documents) by bucket, in order of arrival."""
     bucket, held, values = None, [], None
     for pdf in batches:
-        for b, kind, d, t, blob in zip(pdf["bucket"].tolist(), pdf["kind"].tolist(), pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["blob"].tolist(), strict=True):
+        for b, kind, d, no_id, t, blob in zip(*[pdf[c].tolist() for c in ("bucket", "kind", "doc_id", "no_id", "text", "blob")], strict=True):
             if b != bucket:
                 bucket, held, values = b, [], None
             if kind != 9:
@@ -205,7 +225,7 @@ def _streams(batches, names: tuple[str, ...]):
                 order = np.lexsort((values["lo"], values["doc"]))
                 values = {n: x[order] for n, x in values.items()}
                 held = []
-            yield values, None if d is None or d != d else int(d), t
+            yield values, None if no_id else d, t
 
 
 def _own(values: dict[str, np.ndarray], doc: int | None) -> slice:
@@ -289,11 +309,13 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]
     """``(bucket, kind, blob)``: all repeated windows, by document bucket; and the number of buckets."""
     size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()[0] or 0
     buckets = _prime(max(31, size // BUCKET_BYTES))
-    segments = _scan(docs, length, max(16, size // (2 * BUCKET_BYTES)))
+    segments = _scan(docs, length, max(16, size // (2 * BUCKET_BYTES)), buckets)
 
     def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in runs(batches, ["bucket"]):
-            got = list(_classes(g["blob"], buckets))
+            done = (g["target"] >= 0).to_numpy()
+            got = [(b, 0, blob) for b, blob in zip(g["target"][done].tolist(), g["blob"][done].tolist(), strict=True)]
+            got += _classes(g["blob"][~done], buckets)
             if got:
                 yield pd.DataFrame(got, columns=["bucket", "kind", "blob"])
 
@@ -315,9 +337,20 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A byte goes if a ``length``-byte string that covers it starts earlier too: in a document of smaller doc_id, or
     before in its own. Texts are whole UTF-8 bytes (null: empty); matches never cross documents, overlapping
     ones count, and all are judged on the input. Rows without a doc_id lose nothing and are compared with none;
-    rows that repeat a doc_id are one document. An empty table gives an empty result.
+    rows that agree in doc_id and text are one document, other rows of one doc_id follow each other in the order of a
+    hash of their texts. An empty table gives an empty result. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("t")).distinct()
+    if names.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # numbers in the order of doc_id and hash: partitions by range, sorted
+        names = checkpointed(checkpointed(names.repartitionByRange("doc_id", "t").sortWithinPartitions("doc_id", "t")).withColumn("seq", F.monotonically_increasing_id()))
+        numbered = docs.withColumn("t", F.xxhash64("text")).join(names, ["doc_id", "t"], "left").select(F.col("seq").alias("doc_id"), "text")
+        return _cut(numbered, length).withColumnRenamed("doc_id", "seq").join(names.select("seq", "doc_id"), "seq", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans")
+    return _cut(docs, length)
+
+
+def _cut(docs: DataFrame, length: int) -> DataFrame:
     small_batches(docs.sparkSession)
     windows, buckets = find_repeats(docs, length)
 
@@ -333,7 +366,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 spans = list(zip(lo[first].tolist(), hi[np.r_[first[1:] - 1, len(lo) - 1]].tolist(), strict=True))
                 at = [0, *[x for s in spans for x in s], len(b)]
                 kept = b"".join(b[i:j] for i, j in zip(at[::2], at[1::2], strict=True))
-            out.append((doc, len(b), len(b) - len(kept), len(spans), kept, spans))
+            out.append((0 if doc is None else doc, doc is None, len(b), len(b) - len(kept), len(spans), kept, spans))
             size += len(b)
             if size >= SHARD_BYTES:
                 yield frame(out)
@@ -342,11 +375,12 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield frame(out)
 
     def frame(out: list) -> pd.DataFrame:
-        pdf = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"]).astype({"doc_id": "Int64"})
+        pdf = pd.DataFrame(out, columns=["doc_id", "no_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
         pdf["spans"] = [[{"start": a, "end": b} for a, b in s] for s in pdf["spans"]]
         return pdf
 
-    return _with_texts(docs, windows, buckets).mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
+    done = _with_texts(docs, windows, buckets).mapInPandas(cut, "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
+    return done.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "spans")
 
 
 def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
