@@ -52,7 +52,7 @@ def test_nulls_repeats_and_other_columns(spark):
     rows = [(1, "a b", "x", 1), (1, "a b", "x", 1), (2, None, None, 2), (3, "", "x", 3), (None, "c d", None, 4), (4, "e " * 100_000, "y", 5)]
     out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, size int")).collect()
     got = {(r.doc_id, r.source): r for r in out}
-    assert len(out) == 5 and got[2, None].taken == 0 and got[3, "x"].taken == 0 and got[4, "y"].size == 100_000 and got[1, "x"].source_size == 2
+    assert len(out) == 6 and got[2, None].taken == 0 and got[3, "x"].taken == 0 and got[4, "y"].size == 100_000 and got[1, "x"].source_size == 4
     assert got[None, None].size == 2
     assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     with pytest.raises(ValueError):

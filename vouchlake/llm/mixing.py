@@ -4,18 +4,19 @@ A source's target over its size gives every document of the source the same frac
 whole part is certain; the fractions are rounded in pairs: mass, counted in words, moves at random from one
 document of the pair to the other until one fraction is 0 or 1, so the words taken stay equal to the target
 while each fraction keeps its expectation. Documents are paired within hash leaves of a source; what a leaf
-leaves over (one document) goes up a reduction tree of fixed fan-in until a source has one left, which is
-rounded alone. So a source's words miss its target by less than one document.
+leaves over (one unit) goes up a reduction tree of fixed fan-in until a source has one left, which is
+rounded alone. So a source's words miss its target by less than one unit: a document, or equal rows of one together.
 """
 
 from __future__ import annotations
 
 import hashlib
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, table
+from .common import WORD, checkpointed, table, whole_id
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -52,7 +53,7 @@ def _draw(*key) -> float:
 
 
 def _pivot(rows, seed: int):
-    """Round ``(doc_id, size, p)`` of one source: yields (doc_id, taken fraction 0 or 1) and at last the one left over, as (doc_id, size, p)."""
+    """Round ``(unit, mass, p)`` of one source: yields (unit, taken fraction 0 or 1) and at last the one left over, as (unit, mass, p)."""
     held = None
     for doc, size, p in rows:
         if p <= 0.0 or p >= 1.0:
@@ -78,39 +79,63 @@ def _pivot(rows, seed: int):
         yield held
 
 
-_OUT = "doc_id long, src string, node long, size long, p double, up int"
+_OUT = "unit long, src string, node long, mass long, p double, up int"
 
 
 def _rounder(seed: int, last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         src, node = key
-        pdf = pdf.sort_values(["size", "doc_id"], kind="stable")
+        pdf = pdf.sort_values(["mass", "unit"], kind="stable")
         out = []
-        for r in _pivot(zip(pdf["doc_id"].tolist(), pdf["size"].tolist(), pdf["p"].tolist(), strict=True), seed):
+        for r in _pivot(zip(pdf["unit"].tolist(), pdf["mass"].tolist(), pdf["p"].tolist(), strict=True), seed):
             if len(r) == 2:
                 out.append((r[0], src, node, 0, 0.0, r[1]))
             elif last:
                 out.append((r[0], src, node, 0, 0.0, int(_draw(seed, "last", r[0]) < r[2])))
             else:
-                out.append((r[0], src, node, r[1], r[2], None))
-        return pd.DataFrame(out, columns=["doc_id", "src", "node", "size", "p", "up"])
+                out.append((r[0], src, node, r[1], r[2], -1))
+        return pd.DataFrame(out, columns=["unit", "src", "node", "mass", "p", "up"])
 
     return run
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 17, leaf: int = LEAF, fan_in: int = FAN_IN, max_sources: int = 100_000) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies, taken)``, a row for each distinct (doc_id, source, size).
+    """``(doc_id, source, size, source_size, target, copies, taken)`` for each row of ``docs(doc_id, text, source)``.
 
     ``size`` counts the words of the whole text (null text: 0); ``copies`` is between the whole part of target
     over source size and the next integer, so never above ``cap``; ``taken`` = copies * size. A null source is
-    a source of its own. Documents without words get no copy. Repeated rows of one doc_id are one document;
-    rows without a doc_id are mixed as one document of their source and size. An empty table gives an empty result.
+    a source of its own. Documents without words get no copy. Rows that agree in doc_id, text and source are one unit,
+    taken or left together (its mass is theirs together), so that no order among them matters; other rows of one
+    doc_id, also a null one, are rounded each by itself. An empty table gives an empty result. Other columns are not read.
     The sources' totals (at most ``max_sources``, else ValueError) are the only rows that the driver gathers.
     """
+    out = _units(docs, weights, share, cap, seed, leaf, fan_in, max_sources)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("__row")).drop("__row")
+
+
+def take_copies(docs: DataFrame, **options) -> DataFrame:
+    """A row for each copy that the mixture takes: all columns of ``docs``, ``copy`` (from 1), ``size`` and its source's ``target``; columns of these names are replaced.
+
+    Every row is taken as often as :func:`mix_sources` says, repeated rows each. Documents without a copy go.
+    """
+    taken = _units(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("t").alias("__u"), F.col("size").alias("__size"), F.col("copies").alias("__copies"), F.col("target").alias("__target"))
+    same = (F.col("__t") == F.col("__u")) & F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s"))
+    both = docs.withColumn("__t", _text_hash()).join(taken, same)
+    return both.select(*[F.col(c) for c in docs.columns if c not in ("copy", "size", "target")], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy"), F.col("__size").alias("size"), F.col("__target").alias("target"))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").isNull(), "text")
+
+
+def _units(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 17, leaf: int = LEAF, fan_in: int = FAN_IN, max_sources: int = 100_000) -> DataFrame:
+    """The rows of :func:`mix_sources`, one for each distinct (doc_id, text, source), with the text's hash ``t`` and ``rows``, how many there are."""
     spark = docs.sparkSession
-    base = docs.select("doc_id", F.col("source").alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).distinct()
-    base = checkpointed(base)  # thin: two numbers and a name for each document
-    got = base.groupBy("src").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(max_sources + 1).collect()
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    base = docs.select(*whole_id("doc_id"), F.col("source").alias("src"), size.alias("size"), _text_hash().alias("t"))
+    base = base.groupBy("doc_id", "no_id", "src", "size", "t").agg(F.count("*").alias("rows"))
+    base = checkpointed(base.withColumns({"unit": F.xxhash64("doc_id", "no_id", "t", "src"), "mass": F.col("size") * F.col("rows")}))  # thin: some numbers and a name for each document
+    got = base.groupBy("src").agg(F.sum("mass").alias("s"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(got) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     sizes = {r.src: r.s for r in got}
@@ -125,20 +150,21 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
     nodes = 1
     while nodes * leaf < rows:
         nodes *= fan_in
-    open_ = each.where("p > 0").select("doc_id", "src", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(nodes)).alias("node"), "size", "p")
+    open_ = each.where("p > 0").select("unit", "src", F.pmod(F.xxhash64("unit", F.lit(seed)), F.lit(nodes)).alias("node"), "mass", "p")
     done, level = None, 0
     while True:
         out = checkpointed(open_.groupBy("src", "node").applyInPandas(_rounder(seed + level, nodes == 1), _OUT))
-        settled = out.where("up is not null").select("doc_id", "src", "up")
+        settled = out.where("up >= 0").select("unit", "src", "up")
         done = settled if done is None else done.unionByName(settled)
         if nodes == 1:
             break
         nodes, level = max(1, nodes // fan_in), level + 1
-        open_ = out.where("up is null").select("doc_id", "src", F.pmod("node", F.lit(nodes)).alias("node"), "size", "p")
-    done = done.select(F.col("doc_id").alias("d"), F.col("src").alias("s"), "up").groupBy("d", "s").agg(F.max("up").alias("up"))
-    both = each.join(done, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("src").eqNullSafe(F.col("s")), "left")
+        open_ = out.where("up < 0").select("unit", "src", F.pmod("node", F.lit(nodes)).alias("node"), "mass", "p")
+    done = done.select(F.col("unit").alias("u"), F.col("src").alias("s"), "up").groupBy("u", "s").agg(F.max("up").alias("up"))
+    both = each.join(done, (F.col("unit") == F.col("u")) & F.col("src").eqNullSafe(F.col("s")), "left")
     copies = F.col("whole") + F.coalesce("up", F.lit(0))
-    return both.select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    own = F.when(~F.col("no_id"), F.col("doc_id"))
+    return both.select(own.alias("doc_id"), F.col("src").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "t", "rows")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
