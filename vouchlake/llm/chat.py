@@ -14,7 +14,8 @@ and hands every partition the states at its two ends, between which it finds the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark import TaskContext
@@ -79,7 +80,7 @@ def _product(m: list, n: list) -> list:
     return [[min(m[a][c] + n[c][b] for c in range(4)) for b in range(4)] for a in range(4)]
 
 
-def plan(roles: list[str | None], start: int = 0, end: int | None = None) -> tuple[list, int]:
+def plan(roles: Sequence[str | None], start: int = 0, end: int | None = None) -> tuple[list, int]:
     """The cheapest steps from state ``start``; to ``end``, or to the cheapest ending if that is None. (steps, their cost with the ending's)"""
     cost, back = [0 if s == start else _FAR for s in range(4)], []
     for r in roles:
@@ -101,8 +102,29 @@ def render(role: str, text: str) -> str:
     return f"{TEMPLATE[0]}{role}{TEMPLATE[1]}{text}{TEMPLATE[2]}"
 
 
-_FACTS = "pid int, first int, conv_id long, m array<long>"
-_OUT = "conv_id long, turn long, role string, new_role string, action string, starts_message boolean, inserted string, cost long, rendered string"
+_FACTS = "pid int, first int, has_conv boolean, conv long, m array<long>"
+_OUT = "has_conv boolean, conv long, has_turn boolean, at long, role string, new_role string, action string, starts_message boolean, inserted string, cost long, rendered string"
+#: Plans of conversations of up to so many turns are remembered; rows and letters of a batch of results; roles that are multiplied at a time.
+MEMO_TURNS, ROWS, LETTERS, FOLD = 32, 10_000, 1 << 22, 1 << 14
+
+
+def _merged(held: list, start: int, onward: int | None) -> list[tuple]:
+    """The repaired rows of one conversation's turns in a partition, as in _OUT."""
+    roles = tuple(h[5] for h in held)
+    steps, _ = _remembered(roles, start, onward) if len(roles) <= MEMO_TURNS else plan(roles, start, onward)
+    rows = []
+    for i, ((has_conv, conv, has_turn, at, role, _, text), (_, state, cost, action, empties, new)) in enumerate(zip(held, steps, strict=True)):
+        last = i + 1 == len(held) and onward is None
+        tail = ENDING_ROLES[state] if last else ()
+        closed = TEMPLATE[2] if action != "merge" and (i > 0 or start) else ""
+        part = closed + "".join(render(e, "") for e in empties) + (f"\n\n{text}" if action == "merge" else f"{TEMPLATE[0]}{new}{TEMPLATE[1]}{text}") + (TEMPLATE[2] if last else "") + "".join(render(e, "") for e in tail)
+        rows.append((has_conv, conv, has_turn, at, role, new, action, action != "merge", ",".join(empties) + (">" + ",".join(tail) if tail else ""), cost + (ENDING[state] if last else 0), part))
+    return rows
+
+
+@lru_cache(20_000)
+def _remembered(roles: tuple, start: int, onward: int | None) -> tuple[list, int]:
+    return plan(roles, start, onward)
 
 
 def repair_conversations(turns: DataFrame) -> DataFrame:
@@ -120,63 +142,62 @@ def repair_conversations(turns: DataFrame) -> DataFrame:
     spark = turns.sparkSession
     alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
     name = F.lower(F.trim("role"))
-    base = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), F.when(name.isNotNull(), F.try_element_at(alias, name)).alias("known"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
-    order = ["conv_id", "turn", "role", "tie"]
+    conv, turn = F.col("conv_id").cast("long"), F.col("turn").cast("long")
+    # flags beside the numbers: pandas would turn longs beside nulls into doubles
+    ids = [conv.isNotNull().alias("has_conv"), F.coalesce(conv, F.lit(0)).alias("conv"), turn.isNotNull().alias("has_turn"), F.coalesce(turn, F.lit(0)).alias("at")]
+    base = turns.select(*ids, F.col("role").alias("role"), F.when(name.isNotNull(), F.try_element_at(alias, name)).alias("known"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
+    order = ["has_conv", "conv", "has_turn", "at", "role", "tie"]
     laid = checkpointed(base.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order))
 
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The products of the partition's first and last conversation."""
-        pid, out, seen, m, first = TaskContext.get().partitionId(), [], None, None, True
+        """The products of the partition's first and last conversation; the roles of the others are passed over."""
+        pid, out, seen, m, roles, first = TaskContext.get().partitionId(), [], None, _ONE, [], True
         for pdf in batches:
-            for conv, role in zip(_ids(pdf), pdf["known"].tolist(), strict=True):
-                if m is None or conv != seen:
-                    if m is not None and first:
-                        out.append((pid, 1, seen, sum(m, [])))
+            for own, role in zip(zip(pdf["has_conv"].tolist(), pdf["conv"].tolist(), strict=True), pdf["known"].tolist(), strict=True):
+                if own != seen:
+                    if seen is not None and first:
+                        out.append((pid, 1, *seen, sum(_folded(m, roles), [])))
                         first = False
-                    seen, m = conv, _ONE
-                m = _times(m, role)
-        if m is not None:
-            out.append((pid, int(first), seen, sum(m, [])))
-        yield pd.DataFrame(out, columns=["pid", "first", "conv_id", "m"]).astype({"conv_id": "Int64"})
+                    seen, m, roles = own, _ONE, []
+                roles.append(role)
+                if len(roles) == FOLD:
+                    m, roles = _folded(m, roles), []
+        if seen is not None:
+            out.append((pid, int(first), *seen, sum(_folded(m, roles), [])))
+        yield pd.DataFrame(out, columns=["pid", "first", "has_conv", "conv", "m"])
 
     facts: dict[int, list] = {}
-    for r in laid.select("conv_id", "known").mapInPandas(report, _FACTS).collect():  # two rows a partition at most
-        facts.setdefault(r.pid, []).append((r.first, r.conv_id, [list(r.m[i : i + 4]) for i in range(0, 16, 4)]))
+    for r in laid.select("has_conv", "conv", "known").mapInPandas(report, _FACTS).collect():  # two rows a partition at most
+        facts.setdefault(r.pid, []).append((r.first, (r.has_conv, r.conv), [list(r.m[i : i + 4]) for i in range(0, 16, 4)]))
     ends = _chain(facts)
+    names = [c.split()[0] for c in _OUT.split(", ")]
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         starts_in, goes_to = ends.get(TaskContext.get().partitionId(), ({}, {}))
-        held: list = []
-
-        def flush() -> pd.DataFrame:
-            conv = held[0][0]
-            start, onward = starts_in.get(conv, 0), goes_to.get(conv)
-            steps, _ = plan([h[3] for h in held], start, onward)
-            rows = []
-            for i, ((_, turn, role, _, text), s) in enumerate(zip(held, steps, strict=True)):
-                _, state, cost, action, empties, new = s
-                tail = ENDING_ROLES[state] if i + 1 == len(held) and onward is None else ()
-                last = i + 1 == len(held) and onward is None
-                cost += ENDING[state] if last else 0
-                closed = TEMPLATE[2] if action != "merge" and (i > 0 or start) else ""
-                part = closed + "".join(render(e, "") for e in empties) + (f"\n\n{text}" if action == "merge" else f"{TEMPLATE[0]}{new}{TEMPLATE[1]}{text}") + (TEMPLATE[2] if last else "") + "".join(render(e, "") for e in tail)
-                rows.append((conv, turn, role, new, action, action != "merge", ",".join(empties) + (">" + ",".join(tail) if tail else ""), cost, part))
-            held.clear()
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")]).astype({"conv_id": "Int64", "turn": "Int64"})
-
+        held, rows, size = [], [], 0
         for pdf in batches:
-            for row in zip(_ids(pdf), _ids(pdf, "turn"), pdf["role"].tolist(), pdf["known"].tolist(), pdf["text"].tolist(), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield flush()
+            for row in zip(*[pdf[c].tolist() for c in ("has_conv", "conv", "has_turn", "at", "role", "known", "text")], strict=True):
+                if held and held[0][:2] != row[:2]:
+                    rows += _merged(held, starts_in.get(held[0][:2], 0), goes_to.get(held[0][:2]))
+                    held = []
+                    if len(rows) >= ROWS or size >= LETTERS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
                 held.append(row)
+                size += len(row[6])
         if held:
-            yield flush()
+            rows += _merged(held, starts_in.get(held[0][:2], 0), goes_to.get(held[0][:2]))
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
-    return laid.mapInPandas(rewrite, _OUT)
+    out = laid.select("has_conv", "conv", "has_turn", "at", "role", "known", "text").mapInPandas(rewrite, _OUT)
+    return out.select(F.when(F.col("has_conv"), F.col("conv")).alias("conv_id"), F.when(F.col("has_turn"), F.col("at")).alias("turn"), "role", "new_role", "action", "starts_message", "inserted", "cost", "rendered")
 
 
-def _ids(pdf: pd.DataFrame, name: str = "conv_id") -> list:
-    return [None if pd.isna(x) else int(x) for x in pdf[name].astype("Int64").tolist()]
+def _folded(m: list, roles: list) -> list:
+    for r in roles:
+        m = _times(m, r)
+    return m
 
 
 def _chain(facts: dict[int, list]) -> dict[int, tuple[dict, dict]]:
