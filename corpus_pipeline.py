@@ -51,11 +51,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: a row for each copy that the mixture takes, with the columns of documents, ``copy`` (from 1), ``size`` and its source's ``target``."""
-    taken = mixing.mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copies").alias("__copies"), F.col("target").alias("__target"))
-    words = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    base = docs.withColumn("__n", words)
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__n") == F.col("__z"))
-    return base.join(taken, same).select(*[F.col(c) for c in docs.columns if c not in ("copy", "size", "target")], F.explode(F.sequence(F.lit(1), "__copies")).alias("copy"), F.col("__n").alias("size"), F.col("__target").alias("target"))
+    return mixing.take_copies(docs)
 
 
 STAGES = [
