@@ -19,7 +19,7 @@ def _brute(docs):
     """doc_id -> text that stays, from {doc_id: text}."""
     lines = [(d, n, ld.normalise(x)) for d in sorted(docs) for n, x in enumerate(docs[d].split("\n"))]
     lines = [x for x in lines if x[2]]
-    sims = ld.simhashes([x[2].encode() for x in lines])
+    sims = ld.simhashes([x[2] for x in lines])
     group = list(range(len(lines)))
 
     def root(i):
@@ -30,7 +30,7 @@ def _brute(docs):
     for i in range(len(lines)):
         for j in range(i + 1, len(lines)):
             a, b = lines[i][2], lines[j][2]
-            if a == b or (int(np.bitwise_count(sims[i] ^ sims[j])) <= 3 and _edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)):
+            if a == b or (int(np.bitwise_count(sims[i] ^ sims[j])) <= ld.DISTANCE and _edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)):
                 x, y = root(i), root(j)
                 group[max(x, y)] = min(x, y)
     gone = {lines[i][:2] for i in range(len(lines)) if root(i) != i}
@@ -63,20 +63,52 @@ def test_equals_brute_force_over_all_pairs(spark):
     assert sum(r.n_removed for r in got) > 30
 
 
+def _plain_simhash(line):
+    runs = [line[i : i + 4] for i in range(max(1, len(line) - 3))]
+    step, full, bits = 0x9E3779B97F4A7C15, 2**64 - 1, []
+    for r in runs:
+        h = 0
+        for c in r.ljust(4, "\n"):
+            h = (h * step + ord(c)) & full
+        h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & full
+        h = ((h ^ h >> 27) * 0x94D049BB133111EB) & full
+        bits.append(h ^ h >> 31)
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in bits) + (bits[0] >> k & 1) > len(bits))
+
+
+def _bits(x):
+    return bin(int(x)).count("1")
+
+
 def test_simhash_is_the_same_alone_and_in_a_batch(monkeypatch):
-    lines = [b"a b c", b"one", b"x | y | z | w", "été à Ü".encode(), b"a b c d e f g"]
+    lines = ["a b c", "one", "", "x", "été à Ü", "日本語のテキスト", "abcdefg " * 60, "a b c d e f g"]
     alone = [int(ld.simhashes([x])[0]) for x in lines]
     assert list(map(int, ld.simhashes(lines))) == alone
-    monkeypatch.setattr(ld, "CHUNK", 8)
-    assert list(map(int, ld.simhashes(lines))) == alone
-    assert alone[0] == int(ld.simhashes([b"c b a"])[0])
+    assert alone[2] == 0 and [_bits(a) for a in alone] == [_bits(_plain_simhash(x)) if x else 0 for x in lines]
+    for chunk in (8, 3):
+        monkeypatch.setattr(ld, "CHUNK", chunk)
+        assert list(map(int, ld.simhashes(lines))) == alone
+
+
+def test_small_edits_of_lines_are_mostly_within_the_distance():
+    """The share that the README states, by length: one letter of a line is changed."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    for low, n in ((0.35, 20), (0.6, 40), (0.85, 100)):
+        lines = [" ".join(word() for _ in range(n)) for _ in range(200)]
+        edited = []
+        for x in lines:
+            k = rng.randrange(len(x))
+            edited.append(x[:k] + "q" + x[k + 1 :])
+        near = [_bits(a) <= ld.DISTANCE for a in ld.simhashes(lines) ^ ld.simhashes(edited)]
+        assert sum(near) / len(near) > low
 
 
 def test_blocks_connect_every_pair_within_the_distance(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(-(2**62), 2**62, 30)
     near = [int(x) ^ sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for x in base for k in (1, 3, 4)]
-    near += [int(base[0]) ^ (1 << i) ^ (1 << (i + 9)) for i in range(30)]
+    near += [int(base[0]) ^ (1 << i) ^ (1 << (i + 9)) for i in range(30)]  # more than SMALL in a key
     values = sorted({*map(int, base), *near})
     want = [(i, j) for i, a in enumerate(values) for j in range(i + 1, len(values)) if ((a ^ values[j]) & (2**64 - 1)).bit_count() <= 3]
 
@@ -106,6 +138,16 @@ def test_links_that_fail_are_replaced(spark):
     assert {r.doc_id: r.text for r in got} == _brute(docs)
 
 
+def test_gaps_are_no_fewer_than_the_edits():
+    rng = random.Random(6)
+    for _ in range(300):
+        a = [rng.choice(["ab", "c", "def"]) + rng.choice(["", "x"]) for _ in range(rng.randrange(1, 25))]
+        b = [w if rng.random() < 0.8 else rng.choice(["zz", "ab", "q"]) for w in a if rng.random() < 0.9] or ["k"]
+        x, y = " ".join(a), " ".join(b)
+        assert ld._gaps(a, b) >= _edits(x, y)
+        assert ld.similar(x, y, 0.8) == (_edits(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9))
+
+
 def test_edits_equal_plain_ones():
     rng = random.Random(5)
     for _ in range(400):

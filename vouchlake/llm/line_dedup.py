@@ -1,10 +1,10 @@
 """Fuzzy line deduplication.
 
 Lines are normalised (lower case, white space collapsed) and equal ones counted as one class. A class has a
-64-bit SimHash of its distinct words. Two hashes that differ in at most 3 bits agree in at least 2 of 5 blocks, so the
-classes meet on every pair of blocks (10 keys of 25 or 26 bits), and pairs within 3 bits are linked if the edit
-similarity of the normalised lines is high enough. Of each connected group of lines the first occurrence
-(smallest document, then line) stays.
+64-bit SimHash of its runs of four letters, of which a small edit moves few. Two hashes that differ in at most 4 bits
+agree in at least 2 of 6 blocks, so the classes meet on every pair of blocks (15 keys of 21 or 22 bits), and pairs
+within 4 bits are linked if the edit similarity of the normalised lines is high enough. Of each connected group of
+lines the first occurrence (smallest document, then line) stays.
 """
 
 from __future__ import annotations
@@ -22,14 +22,16 @@ from .common import by_runs, checkpointed, connected_components, table
 from .minhash_dedup import _forest
 
 SIMILARITY = 0.8
-DISTANCE = 3
-BLOCKS = 5
+DISTANCE = 4
+BLOCKS = 6
+#: Letters of a run that counts as one feature of a line.
+GRAM = 4
 #: Members of a key of which all pairs are listed; of more only pairs that span them.
-SMALL = 8
+SMALL = 16
 #: So many candidate lines at most are broadcast when their texts are fetched; more are joined by shuffle.
 BROADCAST_LINES = 200_000
-#: Bytes of normalised lines that are hashed at once.
-CHUNK = 1 << 19
+#: Letters of normalised lines that are hashed at once.
+CHUNK = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,63 +39,64 @@ def normalise(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    r, inverse = 0x5DEECE66D | 1, pow(0x5DEECE66D | 1, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.r_[np.uint64(1), np.full(n, r, np.uint64)]), np.cumprod(np.r_[np.uint64(1), np.full(n, inverse, np.uint64)])
+def _spread() -> np.ndarray:
+    """For each byte, its bits in the lowest bits of eight bytes, so that eight counters are added at once."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+    return np.ascontiguousarray(bits).view(np.uint64).ravel()
 
 
-_POWERS: list = []
+_SPREAD = _spread()
 
 
-def simhashes(lines: list[bytes]) -> np.ndarray:
-    """The SimHash of each normalised line: every bit is the majority of that bit in the hashes of its distinct words (0 on a tie)."""
+def simhashes(lines: list[str]) -> np.ndarray:
+    """The SimHash of each normalised line (0 for an empty one): every bit is the majority of that bit in the hashes of its runs of GRAM letters; on a tie, the bit of the first run. A shorter line is one run."""
     out = np.zeros(len(lines), np.uint64)
     i = 0
     while i < len(lines):
         j, size = i, 0
-        while j < len(lines) and j - i < 1 << 17 and (j == i or size + len(lines[j]) < CHUNK):
-            size, j = size + len(lines[j]) + 1, j + 1
+        while j < len(lines) and (j == i or size + len(lines[j]) < CHUNK):
+            size, j = size + len(lines[j]) + GRAM, j + 1
         out[i:j] = _simhashes(lines[i:j])
         i = j
     return out
 
 
-def _simhashes(lines: list[bytes]) -> np.ndarray:
-    b = np.frombuffer(b" ".join(lines) + b" ", np.uint8)
-    if not _POWERS or len(_POWERS[0]) < len(b) + 1:
-        _POWERS[:] = _powers(max(len(b), CHUNK + 4096))
-    power, inverse = _POWERS
-    space = b == 32
-    ends = np.flatnonzero(space & ~np.r_[True, space[:-1]])
-    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+def _simhashes(lines: list[str]) -> np.ndarray:
+    if len(lines) == 1 and len(lines[0]) > CHUNK:  # piece by piece; each run begins in one piece
+        pieces = [p for p in (lines[0][i : i + CHUNK + GRAM - 1] for i in range(0, len(lines[0]), CHUNK)) if len(p) >= GRAM]
+        parts = [_votes([p]) for p in pieces]
+        votes, runs, tie = sum(p[0] for p in parts), sum(p[1] for p in parts), parts[0][2]
+    else:
+        votes, runs, tie = _votes(lines)
+    out = np.zeros(len(lines), np.uint64)
+    out[runs > 0] = np.packbits(2 * votes + tie > runs[runs > 0][:, None], axis=1).view(np.uint64).ravel()
+    return out
+
+
+def _votes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each line that isn't empty how many of its runs have each bit, the number of runs of every line, and the bits of the first run."""
+    c = np.frombuffer(("\n" * GRAM).join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(x) for x in lines])
+    start = np.r_[0, np.cumsum(size + GRAM)[:-1]]
+    runs = np.where(size > 0, np.maximum(size - GRAM + 1, 1), 0)
+    first = np.cumsum(runs) - runs
+    at = np.arange(int(runs.sum())) + np.repeat(start - first, runs)
     with np.errstate(over="ignore"):
-        sums = np.r_[np.uint64(0), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)])]
-        h = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _STEP
+        h = c[at]
+        for k in range(1, GRAM):  # what follows a short line is line ends
+            h = h * _STEP + c[at + k]
         h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)
-    # each distinct word of a line counts once, or a word that separates all others would decide its hash
-    line = np.searchsorted(np.cumsum([len(x) + 1 for x in lines]), starts, "right").astype(np.uint64)
-    own = np.unique(line << np.uint64(46) | h >> np.uint64(18))
-    words = np.bincount((own >> np.uint64(46)).astype(np.int64), minlength=len(lines))
-    with np.errstate(over="ignore"):
-        h = ((own & np.uint64((1 << 46) - 1)) + np.uint64(1)) * _STEP
-        h = (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(32)
-    out = np.zeros(len(lines), np.uint64)
-    some = words > 0
-    if some.any():
-        first = (np.cumsum(words) - words)[some]
-        votes = np.zeros((len(first), 64), np.int32)
-        step = 1 << 16  # words whose bits are spread at once
-        for k in range(0, len(h), step):
-            bits = np.unpackbits(h[k : k + step].view(np.uint8).reshape(-1, 8), axis=1)
-            lo, hi = np.searchsorted(first, k, "right") - 1, np.searchsorted(first, min(k + step, len(h)), "left")
-            at = np.maximum(first[lo:hi], k) - k
-            votes[lo:hi] += np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * votes > words[some][:, None], axis=1).view(np.uint64).ravel()
-    return out
+    some = np.flatnonzero(runs)
+    if not len(some):
+        return np.zeros((0, 64), np.int64), runs, np.zeros((0, 64), np.uint8)
+    # counters of one byte: parts of 255 runs at most
+    parts = -(-runs[some] // 255)
+    part = np.repeat(first[some], parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
+    spread = h.view(np.uint8).reshape(-1, 8)
+    votes = np.stack([np.add.reduceat(_SPREAD[spread[:, k]], part) for k in range(8)], axis=1).view(np.uint8)
+    return np.add.reduceat(votes, np.cumsum(parts) - parts, axis=0, dtype=np.int64), runs, np.unpackbits(spread[first[some]], axis=1)
 
 
 def line_features(docs: DataFrame) -> DataFrame:
@@ -104,20 +107,20 @@ def line_features(docs: DataFrame) -> DataFrame:
             ids, nos, lines, size = [], [], [], 0
             for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
                 for k, line in enumerate(t.split("\n")):
-                    norm = normalise(line).encode("utf-8", "surrogatepass")
+                    norm = normalise(line)
                     if norm:
                         ids.append(d)
                         nos.append(k)
                         lines.append(norm)
                         size += len(norm)
-                    if size > 8 * CHUNK:
+                    if size > 16 * CHUNK:
                         yield frame(ids, nos, lines)
                         ids, nos, lines, size = [], [], [], 0
             if ids:
                 yield frame(ids, nos, lines)
 
     def frame(ids: list, nos: list, lines: list) -> pd.DataFrame:
-        h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
+        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]), np.int64).reshape(-1, 2)
         return pd.DataFrame({"doc_id": ids, "line_no": np.array(nos, np.int32), "h1": h[:, 0], "h2": h[:, 1], "sim": simhashes(lines).view(np.int64)})
 
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, line_no int, h1 long, h2 long, sim long")
@@ -137,36 +140,48 @@ def _keyed(classes: DataFrame, distance: int, blocks: int) -> DataFrame:
     return classes.select("sim", F.col("h1").alias("node"), F.explode(_keys(F.col("sim"), distance, blocks)).alias("key"))
 
 
+def _met(sim: np.ndarray, distance: int, step: int = 1024) -> np.ndarray:
+    """Which members of a key have another one within the distance."""
+    out = np.zeros(len(sim), bool)
+    for i in range(0, len(sim), step):
+        for j in range(i, len(sim), step):
+            hit = np.bitwise_count(sim[i : i + step, None] ^ sim[j : j + step]) <= distance
+            if i == j:
+                np.fill_diagonal(hit, False)
+            out[i : i + step] |= hit.any(axis=1)
+            out[j : j + step] |= hit.any(axis=0)
+    return np.flatnonzero(out)
+
+
 def _spanning(key: int, sim: np.ndarray, node: np.ndarray, distance: int, norm: list[str] | None = None, similarity: float = 0.0) -> list[tuple]:
-    """Rows (a, b, key) that span what the members of a key have within the distance; all pairs (key null) of up to SMALL members. With ``norm``, the lines, pairs have to be similar enough too."""
-    if norm is None and len(sim) <= SMALL:
-        i, j = np.triu_indices(len(sim), 1)
-        hit = np.bitwise_count(sim[i] ^ sim[j]) <= distance
-        return [(x, y, None) for x, y in zip(node[i[hit]].tolist(), node[j[hit]].tolist(), strict=True)]
+    """Rows (a, b, key) that span what the members of a key have within the distance. With ``norm``, the lines, pairs have to be similar enough too."""
+    some = _met(sim, distance)
 
     def linked(i: int, others: np.ndarray) -> np.ndarray:
-        hit = np.bitwise_count(sim[others] ^ sim[i]) <= distance
+        hit = np.bitwise_count(sim[some[others]] ^ sim[some[i]]) <= distance
         if norm is not None:
-            hit[hit] = [similar(norm[i], norm[j], similarity) for j in others[hit].tolist()]
+            hit[hit] = [similar(norm[some[i]], norm[some[j]], similarity) for j in others[hit].tolist()]
         return hit
 
-    return [(int(node[i]), int(node[j]), key) for i, j in _forest(linked, len(sim))]
+    return [(int(node[some[i]]), int(node[some[j]]), key) for i, j in _forest(linked, len(some))]
 
 
 def near_links(classes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """``(a, b, key)``: links that span, within each key, all pairs of ``classes(h1, sim)`` that differ in at most ``distance`` bits.
 
-    ``blocks`` changes the work only: more blocks make longer keys, with fewer chance meetings. Streams over
+    ``blocks`` changes the work only: more blocks make longer keys, with fewer chance meetings (for larger corpora). Streams over
     sorted partitions; keys with one member, nearly all, are passed over without a loop.
     """
 
     def work(k: np.ndarray, s: np.ndarray, n: np.ndarray) -> list[tuple]:
         cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         size = np.diff(np.r_[cut, len(k)])
-        two = cut[size == 2]
-        two = two[np.bitwise_count(s[two] ^ s[two + 1]) <= distance]
-        out = [(x, y, None) for x, y in zip(n[two].tolist(), n[two + 1].tolist(), strict=True)]
-        for i, m in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        own, at, out = np.repeat(size, size), np.arange(len(k)) - np.repeat(cut, size), []
+        for off in range(1, SMALL):  # all pairs of small keys, by how far they are apart
+            i = np.flatnonzero((own <= SMALL) & (at + off < own))
+            i = i[np.bitwise_count(s[i] ^ s[i + off]) <= distance]
+            out += [(x, y, None) for x, y in zip(n[i].tolist(), n[i + off].tolist(), strict=True)]
+        for i, m in zip(cut[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
             out += _spanning(int(k[i]), s[i : i + m], n[i : i + m], distance)
         return out
 
@@ -215,9 +230,28 @@ def edits(a: str, b: str) -> int:
     return score
 
 
+def _gaps(a: list[str], b: list[str]) -> int:
+    """No fewer edits than turn one list of words into the other's line: words are matched in order, each with its next place, and what lies between counts in full."""
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        places.setdefault(b[j], []).append(j)
+    cost = at = left = 0
+    for w in a:
+        there = places.get(w)
+        while there and there[-1] < at:
+            there.pop()
+        if there and there[-1] - at <= 8:  # a farther one would skip too much
+            cost += max(left, sum(map(len, b[at : there[-1]])) + there[-1] - at)
+            at, left = there[-1] + 1, 0
+        else:
+            left += len(w) + 1
+    return cost + max(left, sum(map(len, b[at:])) + len(b) - at)
+
+
 def similar(x: str, y: str, similarity: float) -> bool:
+    """Whether 1 - edits / longer length is at least ``similarity``; the edits are counted only where matching words doesn't settle it."""
     most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
-    return abs(len(x) - len(y)) <= most and edits(x, y) <= most
+    return abs(len(x) - len(y)) <= most and (_gaps(x.split(" "), y.split(" ")) <= most or edits(x, y) <= most)
 
 
 def _norms(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
