@@ -70,6 +70,8 @@ HINTS = {
     "delivery_date": ("出库日期", 9),
     "confirm_date": ("日期", 14),
 }
+#: Attributes whose word also stands in other attributes' headers.
+COLLIDING = ("revenue_tax", "confirm_date")
 #: Interface texts by key: Chinese, English.
 TEXTS = {
     "app_title": ("收入细节测试核查系统", "Revenue Detail Testing System"),

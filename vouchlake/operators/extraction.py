@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..functions.amounts import parse_amount
-from ..functions.text import clean_composed, normalize_fullwidth
+from ..functions.text import clean_composed, normalize_fullwidth, strip
 from .matching import document_type
 
 # Labels in front of a field, and what the field may hold, in order of precedence.
@@ -145,7 +145,7 @@ def table_prices(cells: DataFrame) -> DataFrame:
 
 def table_quantities(cells: DataFrame) -> DataFrame:
     """``(file_name, table_qty)``: the whole numbers under a quantity header, summed; of several such columns the last with a positive sum. A column with a malformed number does not count."""
-    digits = F.trim("value").rlike(r"^[\d.,]*\d[\d.,]*$")
-    number = F.replace(F.trim("value"), F.lit(",")).try_cast("double")
+    digits = strip(F.col("value")).rlike(r"^[\d.,]*\d[\d.,]*$")
+    number = F.replace(strip(F.col("value")), F.lit(",")).try_cast("double")
     columns = cells.where(_header_has(QUANTITY_WORDS, lower=True) & digits).groupBy("file_name", "table_idx", "col_idx").agg(F.sum(F.floor(number)).alias("t"), F.bool_and(number.isNotNull()).alias("ok"))
     return columns.where("ok and t > 0").groupBy("file_name").agg(F.max_by(F.col("t").cast("int"), F.struct("table_idx", "col_idx")).alias("table_qty"))

@@ -7,17 +7,21 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import HINTS, INPUT_COLUMNS
+from ..config import COLLIDING, HINTS, INPUT_COLUMNS
 from ..functions.amounts import parse_amount
+from ..functions.text import strip
 
 MONEY = "decimal(20,4)"
 
 
 def resolve_columns(columns: list[str], hints: Mapping[str, tuple[str, int]] = HINTS, by_hint: bool = False) -> dict[str, str]:
-    """Logical name to sheet column. By position; or (``by_hint``) the first header that contains the attribute's word, and by position if none does. Positions beyond the sheet are left out."""
+    """Logical name to sheet column: the first header that contains the attribute's word, and by position if none does. Positions beyond the sheet are left out.
+
+    The words of COLLIDING attributes stand in headers of others as well; these go by position, unless ``by_hint``.
+    """
     out = {}
     for name, (word, position) in hints.items():
-        found = next((c for c in columns if word in c), None) if by_hint else None
+        found = next((c for c in columns if word in c), None) if by_hint or name not in COLLIDING else None
         if found or position < len(columns):
             out[name] = found or columns[position]
     return out
@@ -34,19 +38,19 @@ def read_sample(sheet: DataFrame, by_hint: bool = False) -> DataFrame:
 def delivery_groups(rows: DataFrame) -> DataFrame:
     """A row for each delivery note of ``rows(row_idx, delivery_no, ...)``.
 
-    Null, blank and ``nan`` keys are left out; keys that differ in outer spaces are different groups. Texts and the
+    Null, blank and ``nan`` keys are left out; keys that differ in outer white space are different groups. Texts and the
     unit price are those of the first row, the quantity is the number of rows, revenues are sums of the amounts
     that can be read. One aggregation, combined before its shuffle; missing texts are empty.
     """
-    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    text = lambda c: F.coalesce(strip(F.col(c)), F.lit("")).alias(c)
     first = F.min_by(F.struct(text("customer"), text("material_name"), text("spec_model"), parse_amount(F.col("unit_price"), 4).cast(MONEY).alias("unit_price"), text("delivery_date"), text("confirm_date")), "row_idx")
     total = lambda c: F.coalesce(F.sum(parse_amount(F.col(c), 4).cast(MONEY)), F.lit(0)).cast(MONEY)
-    key = F.trim("delivery_no")
+    key = strip(F.col("delivery_no"))
     return (
         rows.where(F.col("delivery_no").isNotNull() & (key != "") & (key != "nan"))
         .groupBy(F.col("delivery_no").alias("raw_key"))
         .agg(first.alias("f"), F.min("row_idx").alias("first_row"), F.array_sort(F.collect_list("row_idx")).alias("row_indices"), F.count("*").alias("total_qty"), total("revenue_tax").alias("total_revenue_tax"), total("revenue_notax").alias("total_revenue_notax"))
-        .select(F.trim("raw_key").alias("delivery_no"), "first_row", "row_indices", F.col("f.customer").alias("customer_name"), "f.material_name", "f.spec_model", "f.unit_price", "total_qty", "total_revenue_tax", "total_revenue_notax", "f.delivery_date", "f.confirm_date")
+        .select(strip(F.col("raw_key")).alias("delivery_no"), "first_row", "row_indices", F.col("f.customer").alias("customer_name"), "f.material_name", "f.spec_model", "f.unit_price", "total_qty", "total_revenue_tax", "total_revenue_notax", "f.delivery_date", "f.confirm_date")
     )
 
 

@@ -70,18 +70,15 @@ def nearest_column(x0: Column, columns: Column, reach: float = CONFIG.column_rea
 def cluster_rows(spans: DataFrame, keys: list[str], tolerance: float = CONFIG.row_tolerance) -> DataFrame:
     """``spans(keys, seq, y0, ...)`` with ``row_no`` from 0: a span joins the row whose first span is at most ``tolerance`` above it.
 
-    A fold over a page's spans in the order of y0 and seq: rows hang on their first span, not on the span before.
+    Rows hang on their first span, not on the span before: a fold over a page's distinct heights keeps one anchor a
+    row, and each span takes the last anchor that isn't below it. Spans without a height have no row.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("y0", "seq")))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("n"), F.array().cast("array<struct<seq:bigint,row_no:int>>").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        new = a["anchor"].isNull() | (F.abs(s["y0"] - a["anchor"]) > tolerance)
-        n = F.when(new, a["n"] + 1).otherwise(a["n"])
-        return F.struct(F.when(new, s["y0"]).otherwise(a["anchor"]).alias("anchor"), n.alias("n"), F.concat(a["out"], F.array(F.struct(s["seq"].cast("bigint").alias("seq"), n.alias("row_no")))).alias("out"))
-
-    rows = spans.groupBy(*keys).agg(F.aggregate(ordered, start, step, lambda a: a["out"]).alias("r")).select(*keys, F.inline("r"))
-    return spans.withColumn("seq", F.col("seq").cast("bigint")).join(rows, [*keys, "seq"])
+    heights = F.array_sort(F.collect_set("y0"))
+    fold = F.aggregate(heights, F.array().cast("array<double>"), lambda a, y: F.when((F.size(a) == 0) | (y - F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) > tolerance), F.concat(a, F.array(y))).otherwise(a))
+    anchors = spans.groupBy(*keys).agg(fold.alias("a")).select(*keys, F.posexplode("a").alias("row_no", "y0")).withColumn("__span", F.lit(False))
+    rows = spans.withColumn("seq", F.col("seq").cast("bigint")).withColumn("__span", F.lit(True)).unionByName(anchors, allowMissingColumns=True)
+    above = Window.partitionBy(*keys).orderBy("y0", "__span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("row_no", F.last("row_no", ignorenulls=True).over(above)).where("__span").drop("__span")
 
 
 def positional_tables(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,7 +94,7 @@ def positional_tables(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 def unique_headers(headers: Column) -> Column:
     """Blank headers become ``Column``; the n-th repetition of a name gets ``_n``."""
-    named = F.transform(headers, lambda h: F.when(F.coalesce(F.trim(h), F.lit("")) == "", "Column").otherwise(F.trim(h)))
+    named = F.transform(headers, lambda h: F.when(F.coalesce(strip(h), F.lit("")) == "", "Column").otherwise(strip(h)))
     number = lambda a: F.transform(a, lambda h, i: let(F.size(F.filter(F.slice(a, 1, i + 1), lambda x: x == h)) - 1, lambda n: F.when(n > 0, F.concat(h, F.lit("_"), n.cast("string"))).otherwise(h)))
     return let(named, number)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .checks import CHECKS, PASS
 
 
@@ -41,10 +42,10 @@ OUTPUTS = ("logistics_company", "logistics_no", "customer_sign_date", "signer",
 def result_rows(rows: DataFrame, verified: DataFrame) -> DataFrame:
     """The sample rows with columns R to AC of their group; the logistics sign date is never filled. Rows without a group keep nulls.
 
-    ``rows`` and ``verified`` meet on the trimmed delivery number and the row index, an equi-join.
+    ``rows`` and ``verified`` meet on the stripped delivery number and the row index, an equi-join.
     """
     results = verified.select(F.explode("row_indices").alias("row_idx"), "delivery_no", *OUTPUTS)
-    left = rows.withColumn("__key", F.trim("delivery_no"))
+    left = rows.withColumn("__key", strip(F.col("delivery_no")))
     out = left.join(results.withColumnRenamed("delivery_no", "__key"), ["__key", "row_idx"], "left").drop("__key")
     return out.withColumn("logistics_sign_date", F.lit(None).cast("string"))
 

@@ -13,7 +13,7 @@ from ..operators.checks import verify
 from ..operators.extraction import classify_documents
 from ..operators.grouping import delivery_groups
 from ..operators.matching import assign_first, match_documents
-from ..tables import read_table
+from ..tables import materialized, read_table
 
 DATE_LAYOUTS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd", "yyyy年M月d日")
 PEOPLE = ("张三", "李四", "王五", "赵六")
@@ -49,13 +49,18 @@ def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery_groups(sales_rows(spark, sf_dir))
+def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet's rows, joined once for groups, documents and results."""
+    return materialized(sales_rows(spark, sf_dir))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def groups(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    return delivery_groups(sales_rows(spark, sf_dir) if rows is None else rows)
+
+
+def documents(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """``(k, doc_seq, file_name, full_text)``: up to four documents of an order."""
-    facts = sales_rows(spark, sf_dir).groupBy("k", "delivery_no", "price", "ship").agg(F.min_by(F.struct("customer", "material_name", "spec_model"), "row_idx").alias("f"), F.count("*").alias("n"))
+    facts = (sales_rows(spark, sf_dir) if rows is None else rows).groupBy("k", "delivery_no", "price", "ship").agg(F.min_by(F.struct("customer", "material_name", "spec_model"), "row_idx").alias("f"), F.count("*").alias("n"))
     k, dn = F.col("k"), F.col("delivery_no")
     short = F.when(k % 13 == 0, F.right(dn, F.lit(6))).otherwise(dn)
     signer, sign = F.element_at(F.array(*[F.lit(p) for p in PEOPLE]), (k % 4 + 1).cast("int")), F.date_add("ship", 2)
@@ -73,15 +78,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select("k", F.explode(each).alias("d")).select("k", "d.*")
 
 
-def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify_documents(documents(spark, sf_dir).drop("k"))
+def classified(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    return classify_documents(documents(spark, sf_dir, rows).drop("k"))
 
 
-def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, d = groups(spark, sf_dir), classified(spark, sf_dir)
-    bridge = match_documents(documents(spark, sf_dir).select("file_name"), g.select("delivery_no"))
+def assigned(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = sample(spark, sf_dir) if rows is None else rows
+    g, d = groups(spark, sf_dir, rows), classified(spark, sf_dir, rows)
+    bridge = match_documents(documents(spark, sf_dir, rows).select("file_name"), g.select("delivery_no"))
     return assign_first(g, bridge, d.drop("full_text"))
 
 
-def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify(assigned(spark, sf_dir))
+def verified(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    return verify(assigned(spark, sf_dir, rows))

@@ -103,7 +103,7 @@ SQL = {
     "full_text": "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id",
     "table_quantities": "SELECT l_orderkey, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS INTEGER) AS table_qty FROM lineitem GROUP BY l_orderkey",
     "table_prices": "WITH r AS (SELECT l_orderkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS i FROM lineitem WHERE l_extendedprice > 0.01) SELECT l_orderkey, CAST(arg_min(c, i) AS BIGINT) AS cents FROM r GROUP BY l_orderkey",
-    "file_listing": "WITH f AS (SELECT page_id, '/data/' || regexp_extract(url, '://([^/?#]*)', 1) || '/' || page_id || '.pdf' AS path, length(html) AS n FROM pages) SELECT CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS doc_seq, page_id || '.pdf' AS file_name, regexp_extract(path, '^/data/(.*)/[^/]*$', 1) AS folder, printf('%.1f KB', floor(n / 1024.0 * 10 + 0.5) / 10) AS size_label FROM f",
+    "file_listing": "WITH f AS (SELECT page_id, '/data/' || regexp_extract(url, '://([^/?#]*)', 1) || '/' || page_id || '.pdf' AS path, length(html) AS n FROM pages) SELECT CAST(row_number() OVER (ORDER BY path) AS BIGINT) AS doc_seq, page_id || '.pdf' AS file_name, regexp_extract(path, '^/data/(.*)/[^/]*$', 1) AS folder, printf('%.1f KB', floor(n / 1024.0 * 10 + 0.5) / 10) AS size_label FROM f",
     "column_letters": "SELECT n_nationkey, CAST(CASE WHEN n_nationkey < 13 THEN 1 + n_nationkey ELSE 26 + n_nationkey END AS INTEGER) AS idx FROM nation",
     "interface_texts": "SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'Summary' WHEN 1 THEN 'Matched' ELSE r_name END AS english, CASE r_regionkey WHEN 0 THEN '核查汇总' WHEN 1 THEN '已匹配' ELSE r_name END AS chinese FROM region",
     "ocr_routing": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'ocr' WHEN 1 THEN 'ocr' WHEN 2 THEN 'native' ELSE 'native' END AS text, CASE WHEN page_id % 4 <> 3 AND page_id % 10 < 4 THEN 'Page ' || page_id || ': Low OCR confidence (' || (page_id % 10) * 10 || '%), manual review recommended' END AS warning FROM pages",

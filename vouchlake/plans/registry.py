@@ -70,10 +70,16 @@ def contract_fields(s, d):
 
 
 def match_suffix(s, d):
-    f, g = _files(s, d), demo.groups(s, d).select("delivery_no")
+    rows = demo.sample(s, d)
+    f, g = demo.documents(s, d, rows).select("file_name"), demo.groups(s, d, rows).select("delivery_no")
     return matching.match_suffix(f, g, matching.match_direct(f, g))
 
 
+def match_direct(s, d):
+    rows = demo.sample(s, d)
+    return matching.match_direct(demo.documents(s, d, rows).select("file_name"), demo.groups(s, d, rows))
+
+
 def assign_first_doc(s, d):
     return demo.assigned(s, d).select("delivery_no", *[F.col(f"{t}.doc_seq").cast("string").alias(f"{t}_seq") for t in matching.TYPES])
 
@@ -88,7 +94,8 @@ def pass_rate(s, d):
 
 
 def result_rows(s, d):
-    out = report.result_rows(demo.sales_rows(s, d).select("delivery_no", "row_idx"), demo.verified(s, d))
+    rows = demo.sample(s, d)
+    out = report.result_rows(rows.select("delivery_no", "row_idx"), demo.verified(s, d, rows))
     return out.select("delivery_no", "row_idx", "logistics_company", "logistics_no", "customer_sign_date", "signer", (F.col("check1") == "✓").alias("check1_ok"), (F.col("check5") == "✓").alias("check5_ok"), "attachment_result")
 
 
@@ -206,7 +213,7 @@ def queries() -> dict:
         "truncate_text": lambda s, d: read_table(s, d, "documents").select("doc_id", text.truncate_text(F.col("text")).alias("short")),
         "doc_classify": lambda s, d: _files(s, d).select("file_name", matching.document_type(F.col("file_name")).alias("doc_type")),
         "authorization_fields": lambda s, d: demo.classified(s, d).where("doc_type = 'authorization'").select("file_name", "authorized_person"),
-        "match_direct": lambda s, d: matching.match_direct(_files(s, d), demo.groups(s, d)),
+        "match_direct": match_direct,
         "match_status": lambda s, d: matching.match_status(demo.assigned(s, d)),
         **{f"check{i}_{name}": _check(i) for i, name in enumerate(("contract", "delivery", "amount", "timing", "signer"), 1)},
         "attachment_index": lambda s, d: demo.verified(s, d).select("delivery_no", "attachment_index", "attachment_result"),

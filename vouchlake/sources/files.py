@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_label
+from ..tables import numbered
 
 
 def clean_path(path: str) -> str:
@@ -29,7 +30,8 @@ def list_files(files: DataFrame, root: str) -> DataFrame:
     rest = F.when(F.startswith(inside, F.lit(base)), F.substring(inside, F.lit(len(base) + 1), F.length(inside))).otherwise(inside)
     parts = F.split(rest, "/")
     folder = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")).otherwise(".")
-    return files.select(F.row_number().over(Window.orderBy("path")).alias("doc_seq"), file_name(F.col("path")).alias("file_name"), folder.alias("folder"), file_label(F.col("length")).alias("size_label"))
+    listed = files.select("path", file_name(F.col("path")).alias("file_name"), folder.alias("folder"), file_label(F.col("length")).alias("size_label"))
+    return numbered(listed, ["path"], "doc_seq").select("doc_seq", "file_name", "folder", "size_label")
 
 
 def uploaded(spark: SparkSession, files: list[tuple[str, bytes]]) -> DataFrame:
