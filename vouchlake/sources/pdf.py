@@ -62,30 +62,66 @@ def _blocks(page) -> Iterator[tuple[str, tuple]]:
 
 
 def _tables(page) -> Iterator[list]:
-    """Ruled tables; those aligned by text if there are none."""
+    """Ruled tables; those aligned by text if there are none. A strategy that fails finds none."""
     for strategy in ("lines", "text"):
-        got = page.extract_tables({"vertical_strategy": strategy, "horizontal_strategy": strategy, "snap_tolerance": CONFIG.table_snap, "join_tolerance": CONFIG.table_join})
-        if any(got or []):
-            yield from (t for t in got if t)
+        try:
+            got = [t for t in page.extract_tables({"vertical_strategy": strategy, "horizontal_strategy": strategy, "snap_tolerance": CONFIG.table_snap, "join_tolerance": CONFIG.table_join}) or [] if t]
+        except Exception:  # noqa: S112
+            continue
+        if got:
+            yield from got
             return
 
 
+def _read_words(image, mode: int) -> tuple[list[tuple[str, float]], float]:
+    """(word, confidence) of one OCR mode and their mean confidence (0 to 1); the plain text as one word of 50 where words can't be had."""
+    config = f"--oem 3 --psm {mode}"
+    try:
+        data = pytesseract.image_to_data(image, lang=CONFIG.ocr_language, config=config, output_type=pytesseract.Output.DICT)
+    except Exception:
+        try:
+            return [(pytesseract.image_to_string(image, lang=CONFIG.ocr_language, config=config), 50.0)], 0.5
+        except Exception:
+            return [], 0.0
+    words = [(t.strip(), float(c)) for t, c in zip(data["text"], data["conf"], strict=True)]
+    kept = [c for t, c in words if t and c > 0]
+    return words, sum(kept) / len(kept) / 100 if kept else 0.0
+
+
 def _words(page) -> Iterator[tuple[int, int, str, float]]:
-    """(mode, number, word, confidence) for each OCR mode until one is good enough."""
+    """(mode, number, word, confidence) for each OCR mode until one is good enough; none if the page can't be drawn."""
     scale = CONFIG.image_dpi / 72
-    image = Image.open(io.BytesIO(page.get_pixmap(matrix=fitz.Matrix(scale, scale)).tobytes("png")))
+    try:
+        image = Image.open(io.BytesIO(page.get_pixmap(matrix=fitz.Matrix(scale, scale)).tobytes("png")))
+    except Exception:
+        return
     cleaned = clean_image(np.array(image))
     image = Image.fromarray(cleaned) if cleaned.ndim == 2 else image
     for k, mode in enumerate(CONFIG.ocr_modes):
-        data = pytesseract.image_to_data(image, lang=CONFIG.ocr_language, config=f"--oem 3 --psm {mode}", output_type=pytesseract.Output.DICT)
-        conf = [float(c) for c in data["conf"]]
-        yield from ((k, i, t.strip(), c) for i, (t, c) in enumerate(zip(data["text"], conf, strict=True)))
-        kept = [c for t, c in zip(data["text"], conf, strict=True) if t.strip() and c > 0]
-        if kept and sum(kept) / len(kept) / 100 >= CONFIG.ocr_good_enough:
+        words, mean = _read_words(image, mode)
+        yield from ((k, i, t, c) for i, (t, c) in enumerate(words))
+        if mean >= CONFIG.ocr_good_enough:
             return
 
 
+def _kind(text: str, ratio: float) -> str:
+    """The page type as :func:`..operators.layout.page_type` gives it; decides here what is worth drawing and reading."""
+    chars, cjk = len(text.strip()), sum("\u4e00" <= c <= "\u9fff" for c in text)
+    enough, image = chars >= CONFIG.native_min_chars or cjk >= CONFIG.native_min_cjk, ratio >= CONFIG.scanned_image_ratio
+    if enough:
+        return "mixed" if image else "native"
+    return "scanned" if image or (chars < CONFIG.empty_max_chars and cjk < CONFIG.empty_max_cjk) else "native"
+
+
+def _ruled(content: bytes):
+    try:
+        return pdfplumber.open(io.BytesIO(content)) if pdfplumber else None
+    except Exception:  # tables are an extra
+        return None
+
+
 def decode(file_name: str, content: bytes, ocr: bool) -> Iterator[dict]:
+    """The rows of one file. Only scanned and mixed pages are read by OCR, only native and mixed ones searched for ruled tables."""
     if fitz is None:
         yield _row(file_name, "warning", text="Failed to open PDF: no decoder")
         return
@@ -94,25 +130,39 @@ def decode(file_name: str, content: bytes, ocr: bool) -> Iterator[dict]:
     except Exception as e:  # a broken file is a result
         yield _row(file_name, "warning", text=f"Failed to open PDF: {e}")
         return
-    ruled = pdfplumber.open(io.BytesIO(content)) if pdfplumber else None
-    for k in range(len(doc)):
-        n = k + 1
-        try:
-            page = doc[k]
-            area = sum(r.width * r.height for i in page.get_images(full=True) for r in page.get_image_rects(i[0]))
-            yield _row(file_name, "page", n, text=page.get_text("text") or "", page_width=page.rect.width, page_height=page.rect.height, image_area=float(area))
-            for kind, found in (("block", _blocks(page)), ("span", _spans(page))):
-                for i, (text, box) in enumerate(found):
-                    yield _row(file_name, kind, n, seq=i, text=text, x0=box[0], y0=box[1], x1=box[2], y1=box[3], page_height=page.rect.height)
-            for t, table in enumerate(_tables(ruled.pages[k]) if ruled else []):
-                for r, cells in enumerate(table):
-                    for c, value in enumerate(cells):
-                        yield _row(file_name, "cell", n, text=(value or "").strip(), table_idx=t, row_idx=r, col_idx=c)
-            if ocr and pytesseract is not None:
-                for mode, i, text, conf in _words(page):
-                    yield _row(file_name, "word", n, seq=i, text=text, mode_no=mode, conf=conf)
-        except Exception as e:  # so is a broken page
-            yield _row(file_name, "warning", n, text=f"Page {n}: Processing error - {e}")
+    ruled = _ruled(content)
+    try:
+        for k in range(len(doc)):
+            try:
+                yield from list(_page(file_name, doc[k], k, ruled, ocr))
+            except Exception as e:  # so is a broken page
+                yield _row(file_name, "warning", k + 1, text=f"Page {k + 1}: Processing error - {e}")
+    finally:
+        for x in (doc, ruled):
+            if x is not None:
+                x.close()
+
+
+def _page(file_name: str, page, k: int, ruled, ocr: bool) -> Iterator[dict]:
+    n, text = k + 1, page.get_text("text") or ""
+    width, height = page.rect.width, page.rect.height
+    area = float(sum(r.width * r.height for i in page.get_images(full=True) for r in page.get_image_rects(i[0])))
+    kind = _kind(text, area / (width * height) if width * height > 0 else 0.0)
+    yield _row(file_name, "page", n, text=text, page_width=width, page_height=height, image_area=area)
+    for what, found in (("block", _blocks(page)), ("span", _spans(page))):
+        for i, (value, box) in enumerate(found):
+            yield _row(file_name, what, n, seq=i, text=value, x0=box[0], y0=box[1], x1=box[2], y1=box[3], page_height=height)
+    if ocr and pytesseract is not None and kind != "native":
+        for mode, i, value, conf in _words(page):
+            yield _row(file_name, "word", n, seq=i, text=value, mode_no=mode, conf=conf)
+    try:
+        tables = list(_tables(ruled.pages[k])) if ruled is not None and kind != "scanned" else []
+    except Exception:  # a page that has text but no tables
+        tables = []
+    for t, table in enumerate(tables):
+        for r, cells in enumerate(table):
+            for c, value in enumerate(cells):
+                yield _row(file_name, "cell", n, text=(value or "").strip(), table_idx=t, row_idx=r, col_idx=c)
 
 
 def process_pdfs(files: DataFrame, ocr: bool = True) -> DataFrame:

@@ -4,7 +4,7 @@
     spark.read.format("workbook").option("sheet", "Sample").load("sample.xlsx")
 
 Every column is text and named by its header (row 2, option ``header``), repeated or blank headers by their letter;
-``row_idx`` counts data rows from 0.
+``row_idx`` counts data rows from 0. The data source opens local paths; :func:`read_workbook` reads through Spark.
 """
 
 from __future__ import annotations
@@ -13,8 +13,12 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import date, timedelta
 from xml.etree import ElementTree
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -46,21 +50,55 @@ def sheets(book: zipfile.ZipFile) -> dict[str, str]:
     return {s.get("name"): part(rels[s.get(_LINK)]) for s in root.iter(f"{_MAIN}sheet")}
 
 
+def active_sheet(book: zipfile.ZipFile) -> int:
+    """The place of the sheet that opens."""
+    view = next(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}workbookView"), None)
+    return min(int(view.get("activeTab") or 0) if view is not None else 0, len(sheets(book)) - 1)
+
+
 def _strings(book: zipfile.ZipFile) -> list[str]:
     if "xl/sharedStrings.xml" not in book.namelist():
         return []
     return ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
 
 
+#: Built-in number formats that show a date.
+_DATES = {*range(14, 18), 22, *range(27, 32), 36, *range(50, 59)}
+
+
+def _date_styles(book: zipfile.ZipFile) -> tuple[set[int], date]:
+    """The cell styles that show a date, and the day that counts as 0."""
+    early = any(p.get("date1904") in ("1", "true") for p in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}workbookPr"))
+    zero = date(1904, 1, 1) if early else date(1899, 12, 30)
+    if "xl/styles.xml" not in book.namelist():
+        return set(), zero
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    shows_day = lambda code: re.search("[yd]", re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code.lower())) is not None
+    own = {int(n.get("numFmtId")): shows_day(n.get("formatCode") or "") for n in root.iter(f"{_MAIN}numFmt")}
+    styles = root.find(f"{_MAIN}cellXfs")
+    formats = [int(x.get("numFmtId") or 0) for x in styles] if styles is not None else []
+    return {i for i, n in enumerate(formats) if own.get(n, n in _DATES)}, zero
+
+
+def _day(value: str, zero: date) -> str:
+    """A serial number as ``yyyy-MM-dd``; as it is, if it is none. (The format's 29 February 1900 shifts days before March 1900.)"""
+    try:
+        n = int(float(value))
+        return (zero + timedelta(n + (zero.year == 1899 and n < 60))).isoformat()
+    except (ValueError, OverflowError):
+        return value
+
+
 def read_rows(book: zipfile.ZipFile, part: str) -> Iterator[tuple[int, dict[int, str]]]:
-    """(row number, column number to text) of a sheet; numbers keep their digits as written."""
-    shared = _strings(book)
+    """(row number, column number to text) of a sheet; numbers keep their digits as written, dates are ``yyyy-MM-dd``. Rows and cells without a reference follow the one before."""
+    shared, (days, zero), at = _strings(book), _date_styles(book), 0
     with book.open(part) as f:
         for _, row in ElementTree.iterparse(f):
             if row.tag != f"{_MAIN}row":
                 continue
-            out = {}
+            out, column, at = {}, 0, int(row.get("r") or at + 1)
             for c in row.iter(f"{_MAIN}c"):
+                column = number(c.get("r")) if c.get("r") else column + 1
                 v, kind = c.find(f"{_MAIN}v"), c.get("t")
                 if kind == "inlineStr":
                     text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
@@ -68,8 +106,10 @@ def read_rows(book: zipfile.ZipFile, part: str) -> Iterator[tuple[int, dict[int,
                     continue
                 else:
                     text = shared[int(v.text)] if kind == "s" else v.text
-                out[number(c.get("r"))] = text
-            yield int(row.get("r")), out
+                    if kind in (None, "n") and int(c.get("s") or 0) in days:
+                        text = _day(text, zero)
+                out[column] = text
+            yield at, out
             row.clear()
 
 
@@ -97,13 +137,20 @@ def write_workbook(table: list[list], sheet: str = "Sheet1") -> bytes:
 
 
 def fill_workbook(original: bytes, values: dict[tuple[int, str], str], sheet: str | None = None) -> bytes:
-    """The workbook with cells (row, letters) set to texts; the named sheet if there is one, else the first. Everything else stays as it is."""
+    """The workbook with cells (row, letters) set to texts; the named sheet if there is one, else the active one. Everything else stays as it is."""
     source = zipfile.ZipFile(io.BytesIO(original))
     names = sheets(source)
-    part = names.get(sheet) or next(iter(names.values()))
+    part = names.get(sheet) or list(names.values())[active_sheet(source)]
     ElementTree.register_namespace("", _MAIN[1:-1])
     root = ElementTree.fromstring(source.read(part))
     data = root.find(f"{_MAIN}sheetData")
+    at = 0
+    for row in data:  # rows and cells without a reference follow the one before
+        at, column = int(row.get("r") or at + 1), 0
+        row.set("r", str(at))
+        for c in row.iter(f"{_MAIN}c"):
+            column = number(c.get("r")) if c.get("r") else column + 1
+            c.set("r", f"{letters(column)}{at}")
     rows = {int(r.get("r")): r for r in data}
     for (r, col), text in sorted(values.items(), key=lambda kv: (kv[0][0], number(kv[0][1]))):
         if r not in rows:
@@ -125,6 +172,52 @@ def fill_workbook(original: bytes, values: dict[tuple[int, str], str], sheet: st
     return out.getvalue()
 
 
+def column_names(book: zipfile.ZipFile, part: str, header: int) -> list[str]:
+    """A name for each column of a sheet: its header, or its letters where that is blank or was there before."""
+    heads, width = {}, 0
+    for r, cells in read_rows(book, part):
+        width = max([width, *cells])
+        if r == header:
+            heads = cells
+    out: list[str] = []
+    for c in range(1, width + 1):
+        name = (heads.get(c) or "").strip()
+        out.append(name if name and name.lower() not in {"row_idx", *map(str.lower, out)} else letters(c))
+    return out
+
+
+def read_workbook(spark: SparkSession, path: str, sheet: str | None = None, header: int = 2) -> DataFrame:
+    """The rows of a workbook on any file system that Spark reads, as :class:`WorkbookSource` gives those of a local one. The driver gets the column names only."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def opened(content) -> tuple[zipfile.ZipFile, str]:
+        book = zipfile.ZipFile(io.BytesIO(bytes(content)))
+        names = sheets(book)
+        return book, names[sheet] if sheet else next(iter(names.values()))
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                yield pd.DataFrame({"names": [column_names(*opened(content), header)]})
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                held = []
+                for r, cells in read_rows(*opened(content)):
+                    if r > header:
+                        held.append((r - header - 1, [cells.get(c) for c in range(1, width + 1)]))
+                    if len(held) == 1000:
+                        yield pd.DataFrame(held, columns=["row_idx", "cells"])
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=["row_idx", "cells"])
+
+    names = files.mapInPandas(heads, "names array<string>").first().names
+    width = len(names)
+    return files.mapInPandas(rows, "row_idx long, cells array<string>").select("row_idx", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
 class WorkbookSource(DataSource):
     """``workbook``: options ``path``, ``sheet`` (the first by default) and ``header`` (row of the headers, 2 by default)."""
 
@@ -139,18 +232,8 @@ class WorkbookSource(DataSource):
 
     def schema(self) -> StructType:
         book, part = self._open()
-        at, heads, width = int(self.options.get("header", 2)), {}, 0
-        for r, cells in read_rows(book, part):
-            width = max([width, *cells])
-            if r == at:
-                heads = cells
-        seen, fields = set(), [StructField("row_idx", LongType())]
-        for c in range(1, width + 1):
-            name = (heads.get(c) or "").strip()
-            name = name if name and name.lower() not in seen | {"row_idx"} else letters(c)
-            seen.add(name.lower())
-            fields.append(StructField(name, StringType()))
-        return StructType(fields)
+        names = column_names(book, part, int(self.options.get("header", 2)))
+        return StructType([StructField("row_idx", LongType()), *[StructField(n, StringType()) for n in names]])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self, len(schema) - 1)
