@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, table, whole_id
+from .common import WORD, by_runs, checkpointed, table, whole_id
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -79,22 +79,24 @@ def _pivot(rows, seed: int):
         yield held
 
 
-_OUT = "unit long, src string, node long, mass long, p double, up int"
+_OUT = "unit long, no_src boolean, src string, node long, mass long, p double, up int"
 
 
 def _rounder(seed: int, last: bool):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        src, node = key
-        pdf = pdf.sort_values(["mass", "unit"], kind="stable")
+    """Rounds a node: ``up`` is 0 or 1 for what is settled, -1 for the unit left over."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["mass", "unit"], kind="stable")
         out = []
-        for r in _pivot(zip(pdf["unit"].tolist(), pdf["mass"].tolist(), pdf["p"].tolist(), strict=True), seed):
+        for r in _pivot(zip(g["unit"].tolist(), g["mass"].tolist(), g["p"].tolist(), strict=True), seed):
             if len(r) == 2:
-                out.append((r[0], src, node, 0, 0.0, r[1]))
+                out.append((r[0], 0, 0.0, r[1]))
             elif last:
-                out.append((r[0], src, node, 0, 0.0, int(_draw(seed, "last", r[0]) < r[2])))
+                out.append((r[0], 0, 0.0, int(_draw(seed, "last", r[0]) < r[2])))
             else:
-                out.append((r[0], src, node, r[1], r[2], -1))
-        return pd.DataFrame(out, columns=["unit", "src", "node", "mass", "p", "up"])
+                out.append((*r, -1))
+        done = pd.DataFrame(out, columns=["unit", "mass", "p", "up"])
+        return done.assign(**{c: g[c].iloc[0] for c in ("no_src", "src", "node")})[["unit", "no_src", "src", "node", "mass", "p", "up"]]
 
     return run
 
@@ -150,16 +152,16 @@ def _units(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     nodes = 1
     while nodes * leaf < rows:
         nodes *= fan_in
-    open_ = each.where("p > 0").select("unit", "src", F.pmod(F.xxhash64("unit", F.lit(seed)), F.lit(nodes)).alias("node"), "mass", "p")
+    open_ = each.where("p > 0").select("unit", F.col("src").isNull().alias("no_src"), F.coalesce("src", F.lit("")).alias("src"), F.pmod(F.xxhash64("unit", F.lit(seed)), F.lit(nodes)).alias("node"), "mass", "p")
     done, level = None, 0
     while True:
-        out = checkpointed(open_.groupBy("src", "node").applyInPandas(_rounder(seed + level, nodes == 1), _OUT))
-        settled = out.where("up >= 0").select("unit", "src", "up")
+        out = checkpointed(by_runs(open_, ["no_src", "src", "node"], _rounder(seed + level, nodes == 1), _OUT))
+        settled = out.where("up >= 0").select("unit", F.when(~F.col("no_src"), F.col("src")).alias("src"), "up")
         done = settled if done is None else done.unionByName(settled)
         if nodes == 1:
             break
         nodes, level = max(1, nodes // fan_in), level + 1
-        open_ = out.where("up < 0").select("unit", "src", F.pmod("node", F.lit(nodes)).alias("node"), "mass", "p")
+        open_ = out.where("up < 0").select("unit", "no_src", "src", F.pmod("node", F.lit(nodes)).alias("node"), "mass", "p")
     done = done.select(F.col("unit").alias("u"), F.col("src").alias("s"), "up").groupBy("u", "s").agg(F.max("up").alias("up"))
     both = each.join(done, (F.col("unit") == F.col("u")) & F.col("src").eqNullSafe(F.col("s")), "left")
     copies = F.col("whole") + F.coalesce("up", F.lit(0))
