@@ -11,7 +11,7 @@ from vouchlake.plans import registry
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 #: Queries that share their whole plan with another one here are left to the correctness run.
-SHARED = {"check1_contract", "check2_delivery", "check3_amount", "check4_timing", "check5_signer", "attachment_index", "pass_rate", "per_check_table", "result_summary", "group_preview", "matched_count", "match_direct"}
+SHARED = {"check1_contract", "check2_delivery", "check3_amount", "check4_timing", "check5_signer", "attachment_index", "pass_rate", "per_check_table", "group_preview", "matched_count", "match_direct"}
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
 

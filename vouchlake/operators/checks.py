@@ -1,4 +1,4 @@
-"""The five checks of a delivery group against its documents, as column expressions.
+"""The five checks of a delivery group against its documents, as column expressions over prepared columns.
 
 Every check yields an array of findings ``(code, system_value, document_value, text)``; an empty one passes. The
 message is only a rendering. Texts have to be cleaned when they are ingested, so nothing here needs Python.
@@ -35,14 +35,24 @@ def _text(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+def _prepared(assigned: DataFrame) -> DataFrame:
+    """``assigned`` with the cleaned texts and the days that the findings compare, each computed once (names begin with two underscores)."""
+    texts = {
+        "customer": "customer_name", "product": "material_name", "spec": "spec_model", "their_customer": "contract.customer_name", "their_product": "contract.product_name", "their_spec": "contract.spec_model",
+        "number": "delivery_no", "their_number": "receipt.delivery_no", "date_text": "delivery_date", "their_date": "receipt.delivery_date", "signer": "receipt.signer", "person": "authorization.authorized_person",
+    }
+    out = assigned.withColumns({f"__{n}": clean_composed(F.col(c)) for n, c in texts.items()})
+    return out.withColumns({"__day": parse_date(F.col("__date_text")), "__their_day": parse_date(F.col("__their_date")), "__confirm": parse_date(F.coalesce("confirm_date", F.lit(""))), "__sign": parse_short_date(F.coalesce("receipt.sign_date", F.lit("")), F.coalesce("confirm_date", F.lit("")))})
+
+
 def contract_findings() -> Column:
     """Customer and product contain one another, the model is equal but for case, the price is equal. A side that is missing skips its comparison."""
 
     def apart(a: Column, b: Column) -> Column:
         return (a != "") & (b != "") & ~F.contains(a, b) & ~F.contains(b, a)
 
-    customer, product, spec = (clean_composed(F.col(c)) for c in ("customer_name", "material_name", "spec_model"))
-    their_customer, their_product, their_spec = (clean_composed(F.col(f"contract.{c}")) for c in ("customer_name", "product_name", "spec_model"))
+    customer, product, spec = (F.col(f"__{c}") for c in ("customer", "product", "spec"))
+    their_customer, their_product, their_spec = (F.col(f"__their_{c}") for c in ("customer", "product", "spec"))
     return F.when(F.col("contract").isNull(), _only("contract_missing", "缺合同")).otherwise(
         _all(
             _finding(apart(customer, their_customer), "customer", customer, their_customer, _text("客户名称不一致：系统'", customer, "' vs 合同'", their_customer, "'")),
@@ -55,13 +65,12 @@ def contract_findings() -> Column:
 
 def delivery_findings() -> Column:
     """Number, quantity and (if both can be read) date of the signed receipt."""
-    number, theirs = clean_composed(F.col("delivery_no")), clean_composed(F.col("receipt.delivery_no"))
-    date, their_date = parse_date(clean_composed(F.col("delivery_date"))), parse_date(clean_composed(F.col("receipt.delivery_date")))
+    number, theirs, date, their_date = F.col("__number"), F.col("__their_number"), F.col("__day"), F.col("__their_day")
     return F.when(F.col("receipt").isNull(), _only("receipt_missing", "缺回签联")).otherwise(
         _all(
             _finding((number != "") & (theirs != "") & (number != theirs), "delivery_no", number, theirs, _text("出库单号不一致：系统'", number, "' vs 回签联'", theirs, "'")),
             _finding(F.col("receipt.delivery_qty") != F.col("total_qty"), "quantity", F.col("total_qty"), F.col("receipt.delivery_qty"), _text("出库数量不一致：系统", F.col("total_qty").cast("string"), " vs 回签联", F.col("receipt.delivery_qty").cast("string"))),
-            _finding(date != their_date, "delivery_date", date, their_date, _text("出库日期不一致：系统", clean_composed(F.col("delivery_date")), " vs 回签联", F.col("receipt.delivery_date"))),
+            _finding(date != their_date, "delivery_date", date, their_date, _text("出库日期不一致：系统", F.col("__date_text"), " vs 回签联", F.col("receipt.delivery_date"))),
         )
     )
 
@@ -84,7 +93,7 @@ def amount_findings() -> Column:
 def timing_findings() -> Column:
     """Signed not after the revenue was confirmed, and in the same month."""
     confirm_text, sign_text = F.coalesce("confirm_date", F.lit("")), F.coalesce("receipt.sign_date", F.lit(""))
-    confirm, sign = parse_date(confirm_text), parse_short_date(sign_text, confirm_text)
+    confirm, sign = F.col("__confirm"), F.col("__sign")
     unread = lambda code, label, text: F.array(F.struct(F.lit(code).alias("code"), F.lit("").alias("system_value"), F.lit("").alias("document_value"), F.concat(F.lit(label), text).alias("text")))
     return (
         F.when(confirm_text == "", _only("confirm_missing", "收入确认日期缺失"))
@@ -102,7 +111,7 @@ def timing_findings() -> Column:
 
 def signer_findings() -> Column:
     """The signer is the person authorised."""
-    signer, person = clean_composed(F.col("receipt.signer")), clean_composed(F.col("authorization.authorized_person"))
+    signer, person = F.col("__signer"), F.col("__person")
     return (
         F.when(F.col("authorization").isNull(), _only("letter_missing", "✗ 未提供授权书"))
         .when(F.coalesce("receipt.signer", F.lit("")) == "", _only("signer_missing", "✗ 回签联未识别到签收人"))
@@ -137,6 +146,7 @@ def attachment_result() -> Column:
 def verify(assigned: DataFrame) -> DataFrame:
     """Groups with their documents (as :func:`..matching.assign_first` gives them) and the results of all checks."""
     receipt = {"logistics_company": "logistics_company", "logistics_no": "logistics_no", "customer_sign_date": "sign_date", "signer": "signer"}
-    out = assigned.withColumns({n: F.coalesce(f"receipt.{f}", F.lit("")) for n, f in receipt.items()} | {f"{c}_findings": f() for c, f in FINDINGS.items()})
+    out = _prepared(assigned).withColumns({n: F.coalesce(f"receipt.{f}", F.lit("")) for n, f in receipt.items()} | {f"{c}_findings": f() for c, f in FINDINGS.items()})
+    out = out.drop(*[c for c in out.columns if c.startswith("__")])
     out = out.withColumns({c: message(F.col(f"{c}_findings")) for c in CHECKS} | {f"{c}_codes": codes(F.col(f"{c}_findings")) for c in CHECKS})
     return out.withColumns({"attachment_index": attachment_index(), "attachment_result": attachment_result(), "all_pass": F.forall(F.array(*[F.col(c) for c in CHECKS]), lambda r: r == PASS)})

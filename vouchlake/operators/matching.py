@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
+from ..tables import materialized
 
 TYPES = ("contract", "receipt", "reconciliation", "authorization")
 #: Keys meet names by their last so many characters (all, if they have fewer); the whole key is compared then.
@@ -17,32 +18,24 @@ def normal_name(name: Column) -> Column:
 
 
 def _contains_join(files: DataFrame, keys: DataFrame) -> DataFrame:
-    """``files(file, kind, hay)`` with the ``keys(delivery_no, kind, needle)`` of their kind that they contain: an equi-join on the keys' last characters, at most ANCHOR lengths of them, and a comparison of the whole key."""
+    """``files(file, hay)`` with the ``keys(delivery_no, needle)`` that they contain: an equi-join on the keys' last characters, of ANCHOR lengths at most, and a comparison of the whole key where it is longer."""
     keys = keys.where("needle <> ''").withColumn("anchor", F.right("needle", F.lit(ANCHOR)))
     lengths = sorted(r[0] for r in keys.select(F.length("anchor")).distinct().collect())  # ANCHOR rows at most
-
-    def substrings(n: int) -> Column:
-        starts = F.when(F.length("hay") >= n, F.sequence(F.lit(1), F.length("hay") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring("hay", i, F.lit(n)))
-
-    pieces = F.array_distinct(F.flatten(F.array(*map(substrings, lengths)))) if lengths else F.array().cast("array<string>")
-    met = files.withColumn("anchor", F.explode(pieces)).join(keys, ["kind", "anchor"])
-    return met.where(F.contains("hay", F.col("needle")) if max(lengths, default=0) == ANCHOR else F.lit(True)).select("file", "kind", "delivery_no").distinct()
-
-
-def _direct(files: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    hay = files.select(F.col("file_name").alias("file"), F.lit("direct").alias("kind"), normal_name(F.col("file_name")).alias("hay")).distinct()
-    return hay, groups.select("delivery_no", F.lit("direct").alias("kind"), normal_name(F.col("delivery_no")).alias("needle")).distinct()
-
-
-def _suffix(files: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    hay = files.select(F.col("file_name").alias("file"), F.lit("suffix").alias("kind"), F.col("file_name").alias("hay")).distinct()
-    return hay, groups.where(F.length("delivery_no") > 4).select("delivery_no", F.lit("suffix").alias("kind"), F.right("delivery_no", F.lit(6)).alias("needle")).distinct()
+    if not lengths:
+        return files.select("file", F.lit("").alias("delivery_no")).limit(0)
+    whole = lengths[-1] < ANCHOR  # then the names are left behind before they meet
+    sized = files.select("file", "hay", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.length("hay") >= F.col("n"))
+    placed = sized.select("file", "hay", "n", F.explode(F.sequence(F.lit(1), F.length("hay") - F.col("n") + 1)).alias("at"))
+    pieces = placed.select("file", *([] if whole else ["hay"]), F.substring(F.col("hay"), F.col("at"), F.col("n")).alias("anchor"))
+    met = pieces.join(keys, "anchor")
+    return (met if whole else met.where(F.contains("hay", F.col("needle")))).select("file", "delivery_no").distinct()
 
 
 def match_direct(files: DataFrame, groups: DataFrame) -> DataFrame:
     """``(file_name, delivery_no)``: names that contain the delivery number, in any case and without spaces."""
-    return _contains_join(*_direct(files, groups)).select(F.col("file").alias("file_name"), "delivery_no")
+    hay = files.select(F.col("file_name").alias("file"), normal_name(F.col("file_name")).alias("hay")).distinct()
+    keys = groups.select("delivery_no", normal_name(F.col("delivery_no")).alias("needle")).distinct()
+    return _contains_join(hay, keys).withColumnRenamed("file", "file_name")
 
 
 def match_direct_theta(files: DataFrame, groups: DataFrame) -> DataFrame:
@@ -54,20 +47,22 @@ def match_direct_theta(files: DataFrame, groups: DataFrame) -> DataFrame:
 def match_suffix(files: DataFrame, groups: DataFrame, direct: DataFrame) -> DataFrame:
     """For files without a direct match: names that contain the last six characters of a number of more than four, as they are."""
     rest = files.select("file_name").distinct().join(direct.select("file_name").distinct(), "file_name", "left_anti")
-    return _contains_join(*_suffix(rest, groups)).select(F.col("file").alias("file_name"), "delivery_no")
+    hay = rest.select(F.col("file_name").alias("file"), F.col("file_name").alias("hay"))
+    keys = groups.where(F.length("delivery_no") > 4).select("delivery_no", F.right("delivery_no", F.lit(6)).alias("needle")).distinct()
+    return _contains_join(hay, keys).withColumnRenamed("file", "file_name")
 
 
 def match_documents(files: DataFrame, groups: DataFrame, longest_only: bool = False) -> DataFrame:
-    """The bridge ``(file_name, delivery_no)``: direct matches, and suffix matches of the files that have none. Both kinds meet in one join; a file's best kind is kept.
+    """The bridge ``(file_name, delivery_no)``: direct matches, and suffix matches of the files that have none. The direct ones are written once, for both.
 
     ``longest_only`` keeps a file's longest direct numbers only, where one number is a prefix of another.
     """
-    (hay, keys), (hay2, keys2) = _direct(files, groups), _suffix(files, groups)
-    own = Window.partitionBy("file")
-    met = _contains_join(hay.unionByName(hay2), keys.unionByName(keys2)).withColumn("best", F.min("kind").over(own)).where(F.col("kind") == F.col("best"))
+    direct = materialized(match_direct(files, groups))
+    suffix = match_suffix(files, groups, direct)
     if longest_only:
-        met = met.withColumn("most", F.max(F.length("delivery_no")).over(own)).where((F.col("kind") == "suffix") | (F.length("delivery_no") == F.col("most")))
-    return met.select(F.col("file").alias("file_name"), "delivery_no")
+        most = F.max(F.length("delivery_no")).over(Window.partitionBy("file_name"))
+        direct = direct.withColumn("__most", most).where(F.length("delivery_no") == F.col("__most")).drop("__most")
+    return direct.unionByName(suffix)
 
 
 def document_type(file_name: Column) -> Column:

@@ -63,16 +63,19 @@ def documents(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -
     facts = (sales_rows(spark, sf_dir) if rows is None else rows).groupBy("k", "delivery_no", "price", "ship").agg(F.min_by(F.struct("customer", "material_name", "spec_model"), "row_idx").alias("f"), F.count("*").alias("n"))
     k, dn = F.col("k"), F.col("delivery_no")
     short = F.when(k % 13 == 0, F.right(dn, F.lit(6))).otherwise(dn)
+    day = F.date_add("ship", F.when(k % 12 == 5, 1).otherwise(0))
     signer, sign = F.element_at(F.array(*[F.lit(p) for p in PEOPLE]), (k % 4 + 1).cast("int")), F.date_add("ship", 2)
     contract = F.concat(
-        F.lit("甲方："), F.when(k % 10 == 3, "Another Company").otherwise(F.col("f.customer")), F.lit("\n产品名称："), F.col("f.material_name"), F.lit("\n规格型号："), F.when(k % 7 == 1, "X-1").otherwise(F.upper("f.spec_model")),
-        F.lit("\n含税单价："), (F.col("price") + F.when(k % 11 == 0, 10).otherwise(0)).cast("decimal(20,4)").cast("string"), F.lit("\n"),
+        F.when(k % 14 == 9, "乙方：").otherwise("甲方："), F.when(k % 10 == 3, "Another Company").otherwise(F.col("f.customer")), F.lit("\n产品名称："), F.col("f.material_name"), F.lit("\n规格型号："), F.when(k % 7 == 1, "X-1").otherwise(F.upper("f.spec_model")),
+        F.when(k % 20 == 7, "\n售价：").when(k % 20 == 9, "\n单价 ").otherwise("\n含税单价："), (F.col("price") + F.when(k % 11 == 0, 10).otherwise(0)).cast("decimal(20,4)").cast("string"), F.lit("\n"),
     )
     receipt = F.concat(
-        F.lit("出库单号："), F.when(k % 19 == 0, "ZB999999999").otherwise(dn), F.lit("\n合计："), (F.col("n") + F.when(k % 6 == 1, 1).otherwise(0)).cast("string"), F.lit("件\n出库日期："), F.date_format(F.date_add("ship", F.when(k % 12 == 5, 1).otherwise(0)), "yyyy-MM-dd"),
-        F.lit("\n物流公司：顺丰速运\n物流单号：SF"), F.lpad(k.cast("string"), 10, "0"), F.lit("\n签收日期："), F.when(k % 3 == 0, F.date_format(sign, "M/d")).otherwise(F.date_format(sign, "yyyy/MM/dd")), F.lit("\n签收人："), signer, F.lit("\n"),
+        F.lit("出库单号："), F.when(k % 19 == 0, "ZB999999999").otherwise(dn), F.when(k % 21 == 2, "\n数量 ").otherwise("\n合计："), (F.col("n") + F.when(k % 6 == 1, 1).otherwise(0)).cast("string"), F.lit("件\n"), F.when(k % 27 == 3, F.date_format(day, "制单日期：yyyyMMdd")).otherwise(F.date_format(day, "出库日期：yyyy-MM-dd")),
+        F.when(k % 24 == 6, "\n物流公司：顺丰速运\n物流单号：SF-").otherwise("\n物流公司：顺丰速运\n物流单号：SF"), F.lpad(k.cast("string"), 10, "0"), F.when(k % 27 == 3, "\n签收 ").otherwise("\n签收日期："), F.when(k % 3 == 0, F.date_format(sign, "M/d")).otherwise(F.date_format(sign, "yyyy/MM/dd")),
+        F.when(k % 26 == 8, "\n客户签章：").otherwise("\n签收人："), signer, F.when(k % 2 == 0, F.concat(F.lit("\n客户名称："), F.col("f.customer"))).otherwise(""), F.lit("\n"),
     )
-    letter = F.concat(F.lit("兹授权 "), F.when(k % 3 == 1, "孙七").otherwise(signer), F.lit(" 为我司签收代表\n"))
+    person = F.when(k % 3 == 1, "孙七").otherwise(signer)
+    letter = F.when(k % 8 == 4, F.concat(F.lit("被授权人："), person, F.lit("\n"))).otherwise(F.concat(F.lit("兹授权 "), person, F.lit(" 为我司签收代表\n")))
     kinds = ((k % 5 != 0, 1, "合同_", short, ".pdf", contract), (k % 7 != 0, 2, "回签联_", short, ".PDF", receipt), (k % 4 != 3, 3, "授权书_", dn, ".pdf", letter), (k % 3 == 0, 4, "对账单_", dn, ".pdf", F.lit("")))
     each = F.array_compact(F.array(*[F.when(test, F.struct((k * 10 + i).alias("doc_seq"), F.concat(F.lit(head), key, F.lit(end)).alias("file_name"), text.alias("full_text"))) for test, i, head, key, end, text in kinds]))
     return facts.select("k", F.explode(each).alias("d")).select("k", "d.*")

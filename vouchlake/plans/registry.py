@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,12 +59,12 @@ def fullwidth(s, d):
 
 
 def detect_language(s, d):
-    mixed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.lit("收入"), (F.col("doc_id") % 40).cast("int")), F.left("text", F.lit(60)))).otherwise(F.col("text"))
+    mixed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.lit("收入"), (F.col("doc_id") % 40).cast("int")), F.col("text"))).otherwise(F.col("text"))
     return read_table(s, d, "documents").select("doc_id", mixed.alias("x")).select("doc_id", text.count_cjk_chars(F.col("x")).alias("cjk"), text.detect_language(F.col("x")).alias("language"))
 
 
 def receipt_fields(s, d):
-    return demo.classified(s, d).where("doc_type = 'receipt'").select("file_name", "delivery_no", "delivery_qty", "delivery_date", "logistics_company", "logistics_no", "sign_date", "signer")
+    return demo.classified(s, d).where("doc_type = 'receipt'").select("file_name", "delivery_no", "delivery_qty", "delivery_date", "logistics_company", "logistics_no", "sign_date", "signer", "customer_name")
 
 
 def contract_fields(s, d):
@@ -85,7 +87,7 @@ def assign_first_doc(s, d):
 
 
 def _check(i: int):
-    return lambda s, d: demo.verified(s, d).select("delivery_no", F.col(f"check{i}_codes").alias("codes"))
+    return lambda s, d: demo.verified(s, d).select("delivery_no", F.col(f"check{i}_codes").alias("codes"), F.col(f"check{i}").alias("message"))
 
 
 def pass_rate(s, d):
@@ -96,7 +98,7 @@ def pass_rate(s, d):
 def result_rows(s, d):
     rows = demo.sample(s, d)
     out = report.result_rows(rows.select("delivery_no", "row_idx"), demo.verified(s, d, rows))
-    return out.select("delivery_no", "row_idx", "logistics_company", "logistics_no", "customer_sign_date", "signer", (F.col("check1") == "✓").alias("check1_ok"), (F.col("check5") == "✓").alias("check5_ok"), "attachment_result")
+    return out.select("delivery_no", "row_idx", *report.OUTPUTS)
 
 
 def compare_amounts(s, d):
@@ -104,7 +106,7 @@ def compare_amounts(s, d):
     k = F.col("l_orderkey") % 5
     a = e + F.when(k == 0, 0).when(k == 1, 1).when(k == 2, 2000).when(k == 3, -150000).otherwise(7)
     money = lambda x: (x.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("string")
-    return read_table(s, d, "lineitem").select(*KEYS, compare.compare_amounts(money(a), money(e)).alias("r")).select(*KEYS, "r.matches")
+    return read_table(s, d, "lineitem").select(*KEYS, compare.compare_amounts(money(a), money(e)).alias("r")).select(*KEYS, "r.matches", "r.difference")
 
 
 def compare_dates(s, d):
@@ -123,10 +125,26 @@ def auto_compare(s, d):
     return read_table(s, d, "supplier").select("s_suppkey", r).select("s_suppkey", "r.matches", "r.notes")
 
 
+def decimal_compare(s, d):
+    a = F.col("l_extendedprice").cast("decimal(20,4)")
+    b = a + (F.col("l_orderkey") % 4).cast("decimal(4,0)") * F.lit("0.01").cast("decimal(3,2)")
+    return read_table(s, d, "lineitem").select(*KEYS, compare.safe_decimal_compare(a, b, Decimal("0.01")).alias("same"))
+
+
+def document_page_types(s, d):
+    ratio = F.when(F.col("page_id") % 3 == 0, 0.5).otherwise(0.0)
+    pages = read_table(s, d, "pages").select((F.col("page_id") % 40).alias("doc_id"), F.col("page_id").alias("page_number"), layout.page_type(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(" of the book")), ratio).alias("page_type"))
+    return layout.document_page_types(pages).select("doc_id", F.array_join("page_types", ",").alias("page_types"))
+
+
+def sheet_head(s, d):
+    return grouping.head(read_table(s, d, "orders").select(F.col("o_orderkey").alias("row_idx"), F.col("o_orderstatus").alias("status")))
+
+
 def page_types(s, d):
-    k = F.col("page_id") % 4
-    t = F.when(k == 0, "").when(k == 1, F.left("html", F.lit(20))).otherwise(F.col("html"))
-    return read_table(s, d, "pages").select("page_id", layout.page_type(t, layout.image_ratio((F.col("page_id") % 10).cast("double"), F.lit(10.0), F.lit(1.0))).alias("page_type"))
+    both = F.explode(F.array(F.struct(F.lit("html").alias("what"), F.col("html").alias("t")), F.struct(F.lit("url").alias("what"), F.col("url").alias("t"))))
+    pages = read_table(s, d, "pages").select("page_id", both.alias("x")).select("page_id", "x.*")
+    return pages.select("page_id", "what", layout.page_type(F.col("t"), layout.image_ratio((F.col("page_id") % 10).cast("double"), F.lit(10.0), F.lit(1.0))).alias("page_type"))
 
 
 def ocr_routing(s, d):
@@ -207,7 +225,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [delivery_groups, amount_parse, date_parse, short_date, clean_text, fullwidth, detect_language, contract_fields, receipt_fields, match_suffix, assign_first_doc, pass_rate, result_rows, compare_amounts, compare_dates, compare_text, auto_compare, page_types, ocr_routing, rows_cluster, columns_detect, nearest_column, table_confidence, header_dedup, ocr_blocks, ocr_best_mode, full_text, table_prices, file_listing, column_letters, interface_texts]
+    named = [delivery_groups, amount_parse, date_parse, short_date, clean_text, fullwidth, detect_language, contract_fields, receipt_fields, match_suffix, assign_first_doc, pass_rate, result_rows, compare_amounts, compare_dates, compare_text, auto_compare, decimal_compare, document_page_types, sheet_head, page_types, ocr_routing, rows_cluster, columns_detect, nearest_column, table_confidence, header_dedup, ocr_blocks, ocr_best_mode, full_text, table_prices, file_listing, column_letters, interface_texts]
     return {f.__name__: f for f in named} | {
         "group_preview": lambda s, d: grouping.preview(demo.groups(s, d)),
         "truncate_text": lambda s, d: read_table(s, d, "documents").select("doc_id", text.truncate_text(F.col("text")).alias("short")),
@@ -220,7 +238,7 @@ def queries() -> dict:
         "verification_summary": lambda s, d: report.summarize(demo.verified(s, d)),
         "per_check_table": lambda s, d: report.per_check(report.summarize(demo.verified(s, d))),
         "matched_count": lambda s, d: report.matched_count(demo.assigned(s, d)),
-        "result_summary": lambda s, d: report.result_summary(demo.verified(s, d)).select("出库单号", "客户名称", "出库数量", "含税收入", "总结"),
+        "result_summary": lambda s, d: report.result_summary(demo.verified(s, d)),
         "block_types": lambda s, d: read_table(s, d, "events").select("event_id", layout.block_type((F.col("event_id") % 800).cast("double"), F.lit(792.0)).alias("block_type")),
         "table_quantities": lambda s, d: extraction.table_quantities(_cells(s, d)).select(F.col("file_name").alias("l_orderkey"), "table_qty"),
     }
