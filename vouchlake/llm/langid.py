@@ -18,55 +18,66 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Letter slots: 0 is everything but letters, the Latin ones have a slot each, the rest share slots by code point.
-SLOTS = 64
 DIM = 1024
 SEED = 4242
 #: The fit takes so many labelled rows of each language at most (about; chosen by a hash of the id).
 FIT_ROWS = 10_000
 MAX_LANGUAGES = 1_000
-#: Bounds of what is worked on at once, in letters and documents.
+#: Bounds of what is worked on at once, in letters and documents; of letters whose trigrams are counted in a table; and of letter vectors that are kept.
 CHUNK_CHARS, CHUNK_DOCS = 400_000, 256
+TABLE_LETTERS, KEPT_VECTORS = 100, 20_000
+#: Trigrams whose vectors are made at once.
+KINDS = 8192
 
 
 @lru_cache(1)
-def _slots() -> np.ndarray:
-    out = np.zeros(0x110000, np.uint8)
-    fixed = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüœ"
-    for c in range(0x110000):
-        if chr(c).isalpha():
-            out[c] = len(fixed) + 1 + c % (SLOTS - len(fixed) - 1)
-    for i, c in enumerate(fixed):
-        out[ord(c)] = i + 1
-    return out
-
-
-@lru_cache(4)
-def _letters(dim: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SLOTS, dim))
-    return np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
-
-
-def _vectors(grams: np.ndarray, dim: int, seed: int) -> np.ndarray:
-    first, second, third = _letters(dim, seed)
-    out = first[grams // SLOTS**2] * second[grams // SLOTS % SLOTS]
-    out *= third[grams % SLOTS]
+def _letters() -> np.ndarray:
+    """For each code point itself, if it is a letter, else 0: everything but letters is one sign."""
+    return np.array([c if chr(c).isalpha() else 0 for c in range(0x110000)], np.int32)
+
+
+_VECTORS: dict[tuple[int, int, int], np.ndarray] = {}
+
+
+def letter_vector(code: int, dim: int, seed: int) -> np.ndarray:
+    """The random vector of a letter: every letter of every script has its own, drawn from its code point."""
+    key = (code, dim, seed)
+    if key not in _VECTORS:
+        if len(_VECTORS) >= KEPT_VECTORS:
+            _VECTORS.clear()
+        _VECTORS[key] = np.random.default_rng([seed, code]).choice(np.array([-1, 1], np.int8), dim)
+    return _VECTORS[key]
+
+
+def _vectors(grams: np.ndarray, alphabet: np.ndarray, dim: int, seed: int) -> np.ndarray:
+    """The vectors of trigrams: numbers to the base of the alphabet's size."""
+    n = len(alphabet)
+    base = np.stack([letter_vector(int(c), dim, seed) for c in alphabet])
+    out = np.roll(base, 2, axis=1)[grams // (n * n)] * np.roll(base, 1, axis=1)[grams // n % n]
+    out *= base[grams % n]
     return out.astype(np.float32)
 
 
-def _counts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct trigrams of the parts, and a row of their counts for each. A part's first and last letter are no trigram's middle."""
-    codes = _slots()[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+def _counts(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct trigrams of the parts, the alphabet they are written in, and a row of their counts for each part. A part's first and last letter are no trigram's middle."""
+    letters = _letters()[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
     sizes = np.array([len(p) for p in parts])
     doc = np.repeat(np.arange(len(parts)), sizes)
-    inner = codes > 0
+    inner = letters > 0
     inner[np.cumsum(sizes) - sizes] = inner[np.cumsum(sizes) - 1] = False
+    there = np.bincount(letters) > 0
+    there[0] = True
+    alphabet, rank = np.flatnonzero(there), np.cumsum(there) - 1
+    codes, n = rank[letters], len(alphabet)
     middle = np.flatnonzero(inner)
-    gram = (codes[middle - 1].astype(np.int64) * SLOTS + codes[middle]) * SLOTS + codes[middle + 1]
-    there = np.bincount(gram, minlength=SLOTS**3) > 0
-    kinds = np.flatnonzero(there)
-    place = np.cumsum(there) - 1
-    return kinds, np.bincount(doc[middle] * len(kinds) + place[gram], minlength=len(parts) * len(kinds)).reshape(len(parts), len(kinds)).astype(np.float32)
+    gram = (codes[middle - 1] * n + codes[middle]) * n + codes[middle + 1]
+    if n <= TABLE_LETTERS:
+        seen = np.bincount(gram, minlength=n**3) > 0
+        kinds = np.flatnonzero(seen)
+        place = (np.cumsum(seen) - 1)[gram]
+    else:
+        kinds, place = np.unique(gram, return_inverse=True)
+    return kinds, alphabet, np.bincount(doc[middle] * len(kinds) + place, minlength=len(parts) * len(kinds)).reshape(len(parts), len(kinds)).astype(np.float32)
 
 
 def _pieces(text: str) -> list[str]:
@@ -86,9 +97,9 @@ def bundles(texts: list, dim: int, seed: int) -> Iterator[tuple[int, np.ndarray]
             j, size = i, 0
             while j < len(held) and (j == i or size + len(held[j]) <= CHUNK_CHARS) and j - i < CHUNK_DOCS:
                 size, j = size + len(held[j]), j + 1
-            kinds, n = _counts(held[i:j])
-            if len(kinds):
-                np.add.at(out, np.array(owner[i:j]) - start, n @ _vectors(kinds, dim, seed))
+            kinds, alphabet, n = _counts(held[i:j])
+            for k in range(0, len(kinds), KINDS):
+                np.add.at(out, np.array(owner[i:j]) - start, n[:, k : k + KINDS] @ _vectors(kinds[k : k + KINDS], alphabet, dim, seed))
             i = j
         return out
 
