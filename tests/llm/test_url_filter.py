@@ -56,3 +56,21 @@ def test_plan_is_native_and_has_no_join(spark):
     df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
     plan = uf.judge_urls(df, uf.RULES, spark.createDataFrame([("bad.net",)], "key string"))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Python" not in plan
+
+
+def test_large_lists_are_split(spark):
+    rng = random.Random(9)
+    keys = [f"h{i}.net" for i in range(3000)]
+    listed = set(rng.sample(keys, 900))
+    rows = spark.createDataFrame([(i, k, "x") for i, k in enumerate([*keys, *keys[:50], None, "y" * 100_000])], "id long, host string, part string")
+    hosts = spark.createDataFrame([(k,) for k in [*listed, "elsewhere.org"]], "key string")
+    for max_bits in (1 << 26, 1 << 13, 1 << 12):
+        got = uf.listed_keys(rows, "host", hosts, "found", max_bits).collect()
+        assert len(got) == len(keys) + 52 and all(r.found == (r.host in listed) for r in got)
+
+
+def test_repeated_pages_and_long_urls(spark):
+    urls = ["http://bad.net/a", "http://bad.net/a", "http://example.org/es/" + "x" * 200_000, "http://" + "a." * 300 + "com/fr/"]
+    df = spark.createDataFrame([(7, u) for u in urls], "page_id long, url string")
+    got = [(r.host, r.rule, r.verdict) for r in uf.judge_urls(df, uf.RULES, spark.createDataFrame([("bad.net",)], "key string")).collect()]
+    assert got == [(_judge(u, uf.RULES, {"bad.net"})[0], *_judge(u, uf.RULES, {"bad.net"})[2:]) for u in urls]

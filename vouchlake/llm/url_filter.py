@@ -5,7 +5,8 @@ keys, level 2 one of the universe's keys that level 1 takes for listed, level 3
 level 2 takes for false, and so on until no key is mistaken. A key is listed if the first level that rejects
 it is an even one. Level 1 is sized by the ratio of universe to list, so that each later level has about as
 many keys as the list or fewer: the whole cascade grows with the list and the logarithm of the corpus,
-and its size is checked before it is put into the plan.
+and its size is checked before it is put into the plan, one binary value a level. A list whose cascade would be larger
+is split by a hash of the key, and its parts are judged one after the other.
 """
 
 from __future__ import annotations
@@ -25,23 +26,25 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 LISTED_DIGITS = ("0", "1")
 
 
+#: Bits of a cascade in a plan, at most, and words of a filter that come to the driver in one row.
+MAX_BITS, ROW_WORDS = 1 << 26, 4096
+
+
 @dataclass(frozen=True)
 class Cascade:
-    """Levels as (words of 64 bits, hash functions, seed)."""
+    """Levels as (bytes of the filter, hash functions, seed)."""
 
-    levels: list[tuple[list[int], int, int]] = field(default_factory=list)
+    levels: list[tuple[bytes, int, int]] = field(default_factory=list)
 
     @property
     def bits(self) -> int:
-        return sum(64 * len(words) for words, _, _ in self.levels)
+        return sum(8 * len(filt) for filt, _, _ in self.levels)
 
     def contains(self, key: Column) -> Column:
         """Whether a key of the universe is listed. Null keys are not."""
         found = F.lit(len(self.levels) % 2 == 1)
         for k in range(len(self.levels) - 1, -1, -1):
-            words, hashes, seed = self.levels[k]
-            passes = _passes(key, F.array(*[F.lit(w) for w in words]), len(words), hashes, seed)
-            found = F.when(passes, found).otherwise(F.lit(k % 2 == 1))
+            found = F.when(_passes(key, *self.levels[k]), found).otherwise(F.lit(k % 2 == 1))
         return F.coalesce(key.isNotNull() & found, F.lit(False))
 
 
@@ -49,34 +52,34 @@ def _bit(key: Column, words: int, i: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed * 64 + i)), F.lit(words * 64))
 
 
-def _passes(key: Column, filt: Column, words: int, hashes: int, seed: int) -> Column:
-    out = F.lit(True)
+def _passes(key: Column, filt: bytes, hashes: int, seed: int) -> Column:
+    """Whether all bits of a key are set; words are in order, each with its highest byte first."""
+    out, whole = F.lit(True), F.lit(filt)
     for i in range(hashes):
-        bit = _bit(key, words, i, seed)
-        word = F.element_at(filt, (F.floor(bit / 64) + 1).cast("int"))
-        out = out & (F.call_function("shiftright", word, F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        bit = _bit(key, len(filt) // 8, i, seed)
+        at = F.floor(bit / 64) * 8 + 8 - F.floor(F.pmod(bit, F.lit(64)) / 8)
+        byte = F.conv(F.hex(F.substring(whole, at.cast("int"), F.lit(1))), 16, 10).cast("int")
+        out = out & (F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1)
     return out
 
 
-def _level(keys: DataFrame, n: int, rate: float, seed: int) -> tuple[list[int], int, int]:
-    """A Bloom filter of ``keys(key)`` with ``n`` rows: grouped bit_or per 64-bit word, combined before the shuffle."""
+def _level(keys: DataFrame, n: int, rate: float, seed: int) -> tuple[bytes, int, int]:
+    """A Bloom filter of ``keys(key)`` with ``n`` rows: grouped bit_or per 64-bit word, combined before the shuffle, and written out as hex, ROW_WORDS words a row."""
     hashes = max(1, round(-math.log2(rate)))
     words = max(1, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
     bits = keys.select(F.explode(F.array(*[_bit(F.col("key"), words, i, seed) for i in range(hashes)])).alias("bit"))
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("bit", F.lit(64)).cast("int"))
-    got = bits.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("w")).agg(F.bit_or(one).alias("x")).collect()
-    filled = [0] * words
-    for r in got:  # at most ``words`` rows, which build_cascade has checked
-        filled[r.w] = r.x
-    return filled, hashes, seed
+    got = bits.select(F.floor(F.col("bit") / 64).alias("w"), one.alias("x")).unionByName(keys.sparkSession.range(words).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("x")))
+    got = got.groupBy("w").agg(F.bit_or("x").alias("x")).groupBy(F.floor(F.col("w") / ROW_WORDS).alias("r"))
+    rows = got.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w", "x"))), lambda s: F.lpad(F.hex(s["x"]), 16, "0")), "").alias("h")).collect()  # a row for ROW_WORDS words; build_cascade has checked their number
+    return b"".join(bytes.fromhex(r.h) for r in sorted(rows, key=lambda r: r.r)), hashes, seed
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 22, max_levels: int = 40) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS, max_levels: int = 40) -> Cascade:
     """A cascade for ``listed(key)``, exact on ``universe(key)`` and on the list itself.
 
     Nulls are ignored, repeated keys count once; an empty list gives a cascade that contains nothing.
-    Raises ValueError before any filter larger than ``max_bits`` is gathered; then split the list by a hash of
-    the key and build one cascade for each part.
+    Raises ValueError before any filter larger than ``max_bits`` is gathered; :func:`listed_keys` splits such lists.
     """
     both = listed.select("key", F.lit(True).alias("l")).unionByName(universe.select("key", F.lit(False).alias("l")))
     both = checkpointed(both.where("key is not null").groupBy("key").agg(F.max("l").alias("l")))
@@ -93,12 +96,31 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 2
         level = _level(both.where(F.col("l") == turn), size[turn], rate, k + 1)
         out.levels.append(level)
         # the keys of this level stay as they are; of the others those that it takes for its own
-        both = checkpointed(both.where((F.col("l") == turn) | _passes(F.col("key"), F.array(*[F.lit(w) for w in level[0]]), len(level[0]), level[1], level[2])))
+        both = checkpointed(both.where((F.col("l") == turn) | _passes(F.col("key"), *level)))
         size = {x.l: x.n for x in both.groupBy("l").agg(F.count("*").alias("n")).collect()}
         turn = not turn
     return out
 
 
+def listed_keys(rows: DataFrame, key: str, listed: DataFrame, name: str, max_bits: int = MAX_BITS) -> DataFrame:
+    """``rows`` with a boolean ``name``: whether its ``key`` is in ``listed(key)``. One cascade, or as many as keep each below ``max_bits``, by a hash of the key; the rows are then written once for each."""
+    universe = rows.select(F.col(key).alias("key"))
+    r = listed.where("key is not null").distinct().count()
+    s = universe.where("key is not null").distinct().count()
+    # the first level by its rate, each later one of about as many keys as the list at a half
+    bits = r * (max(1.0, math.log2(max(s, 1) / max(r, 1) + 1) + 0.5) + 4) / math.log(2)
+    parts = max(1, math.ceil(2 * bits / max_bits)) if bits > max_bits / 2 else 1
+    if parts == 1:
+        return rows.withColumn(name, build_cascade(listed, universe, max_bits).contains(F.col(key)))
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit(77)), F.lit(parts))
+    out = rows.withColumn(name, F.lit(False))
+    for p in range(parts):
+        mine = part(F.col("key")) == p
+        cascade = build_cascade(listed.where(mine), universe.where(mine), max_bits)
+        out = checkpointed(out.withColumn(name, F.when(part(F.col(key)) == p, cascade.contains(F.col(key))).otherwise(F.col(name))))
+    return out
+
+
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host and path. Host: after the first ``://`` up to ``/ ? #``, A-Z lowered; path: from there up to ``? #``. Both empty without ``://``."""
     at = F.instr(url, "://")
@@ -116,7 +138,7 @@ def candidates(host: Column, path: Column, lengths: Sequence[int]) -> Column:
     return F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed_hosts: DataFrame, url: str = "url", max_bits: int = 1 << 22) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed_hosts: DataFrame, url: str = "url", max_bits: int = MAX_BITS) -> DataFrame:
     """``pages`` with host, path, rule and verdict.
 
     Three cascades, each exact on all keys that the corpus has: the allow rules and the block rules (keys are
@@ -140,14 +162,13 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed_h
         own = [h + p for v, h, p in rules if v == verdict]
         values = F.array(*[F.lit(x) for x in own]) if own else F.array().cast("array<string>")
         cascades[verdict] = build_cascade(spark.range(1).select(F.explode(values).alias("key")), keys, max_bits)
-    hosts = build_cascade(listed_hosts, split.select(F.col("host").alias("key")), max_bits)
-
+    split = listed_keys(split, "host", listed_hosts, "__listed", max_bits)
     tried = candidates(F.col("host"), F.col("path"), lengths) if rules else F.array().cast("array<string>")
     fits = F.filter(tried, lambda k: cascades["allow"].contains(k) | cascades["block"].contains(k))
     longest = F.aggregate(fits, F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (F.length(k) > F.length(a)), k).otherwise(a))
     judged = split.withColumn("rule", longest)
-    blocked = F.when(F.col("rule").isNull(), hosts.contains(F.col("host"))).otherwise(cascades["block"].contains(F.col("rule")))
-    return judged.withColumn("verdict", F.when(blocked, "block").otherwise("allow"))
+    blocked = F.when(F.col("rule").isNull(), F.col("__listed")).otherwise(cascades["block"].contains(F.col("rule")))
+    return judged.withColumn("verdict", F.when(blocked, "block").otherwise("allow")).drop("__listed")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
