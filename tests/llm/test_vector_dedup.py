@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from vouchlake.llm import vector_dedup as vd
 
@@ -32,6 +33,21 @@ def test_blocks_and_index_of_a_sample_lose_nothing(spark, monkeypatch):
     assert blocked == {(r.vec_id, r.n_links, r.component_id) for r in vd.near_vectors(df, probes=1000).collect()}
 
 
+def test_rows_that_repeat_an_id_keep_their_own_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.05, 0.0]), (3, [0.0, 1.0, 0.05]), (4, [0.0, 0.0, 1.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vd.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
+def test_pairs_of_a_dense_group_are_counted_not_written(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=16) + rng.normal(size=(300, 16)) * 0.02
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert {(r.n_links, r.component_id) for r in vd.near_vectors(df).collect()} == {(299, 0)}
+    found = vd.similar_pairs(df.select(F.col("vec_id").alias("id"), F.lit(1).cast("long").alias("n"), F.col("embedding").alias("v")), 16, 300)
+    assert found.count() < 40 * 300 < 300 * 299 / 2
+
+
 def test_estimates_keep_their_bound():
     x = vd._unit(_vectors().astype(float))
     index = vd.Index(x[:300], 12)

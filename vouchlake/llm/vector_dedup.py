@@ -4,7 +4,7 @@ Unit vectors go to the coarse list of their nearest centroid; what is left of a
 coded in subspaces. Every vector then visits the lists of its nearest centroids: table look-ups give its
 approximate cosine with each member, and what may reach the threshold is compared exactly. A code's error is
 bounded by the length of what it leaves, kept with it, so the look-up never loses a pair; only the choice of
-visited lists can.
+visited lists can. Pairs are counted where they are found, and only those that span a list's groups are written.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_runs, checkpointed, connected_components, table
+from .minhash_dedup import _forest
 
 THRESHOLD = 0.9
 #: Lists that a vector visits, and lists at most (about the square root of the number of vectors).
@@ -44,12 +45,21 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[i : i + 1024] @ c.T - half).argmax(axis=1) for i in range(0, len(x), 1024)]) if len(x) else np.zeros(0, int)
 
 
+def _thinned(c: np.ndarray, apart: float) -> np.ndarray:
+    """Centroids without those that are nearer than ``apart`` to an earlier one: a dense group stays in one list instead of many, of which a visitor would see a few."""
+    kept: list[int] = []
+    for i in range(len(c)):
+        if not kept or ((c[kept] - c[i]) ** 2).sum(axis=1).min() >= apart**2:
+            kept.append(i)
+    return c[kept]
+
+
 class Index:
     """Coarse centroids and the codebooks of residual subspaces. Its size is bounded by MAX_LISTS, CODES and the dimension."""
 
-    def __init__(self, sample: np.ndarray, lists: int, seed: int = 7):
+    def __init__(self, sample: np.ndarray, lists: int, seed: int = 7, apart: float = 0.0):
         rng = np.random.default_rng(seed)
-        self.coarse = _kmeans(sample, lists, rng)
+        self.coarse = _thinned(_kmeans(sample, lists, rng), apart)
         rest = sample - self.coarse[_nearest(sample, self.coarse)]
         self.parts = [p for p in np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))]
         self.books = [_kmeans(rest[:, p], CODES, rng) for p in self.parts]
@@ -85,14 +95,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def similar_pairs(vectors: DataFrame, dimension: int, rows: int, threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
-    """``(a, b)``, a < b: pairs of ``vectors(id, v)`` (valid, of one dimension, ids distinct) with cosine >= ``threshold``, those found."""
+    """``(a, b, n)`` from ``vectors(id, n, v)`` (valid, of one dimension, ids distinct and not negative; n rows each).
+
+    Pairs with cosine >= ``threshold`` are those where one visits the other's list. Rows with b = -1 give a number of
+    rows that ``a`` is linked with, to be added up; the others are links that span what the pairs connect.
+    """
     spark = vectors.sparkSession
     bound = max(1, min(FIT_ROWS, FIT_NUMBERS // dimension))
     rate = min(1.0, bound / rows)
     sample = vectors.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < rate * 1_000_000).orderBy(F.xxhash64("id", F.lit(5)), "id").select("v").limit(bound).toPandas() if rate < 1 else vectors.orderBy("id").select("v").limit(bound).toPandas()
     if not len(sample):
         sample = vectors.orderBy("id").select("v").limit(bound).toPandas()
-    shared = spark.sparkContext.broadcast(Index(_unit(_doubles(sample["v"])), max(1, min(MAX_LISTS, round(rows**0.5)))))
+    shared = spark.sparkContext.broadcast(Index(_unit(_doubles(sample["v"])), max(1, min(MAX_LISTS, round(rows**0.5))), apart=(2 - 2 * threshold) ** 0.5))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
@@ -101,15 +115,14 @@ def similar_pairs(vectors: DataFrame, dimension: int, rows: int, threshold: floa
                 part = pdf.iloc[lo : lo + 1024]
                 x = _doubles(part["v"])
                 u = _unit(x)
-                near = index.lists(u, probes)
+                near = index.lists(u, probes).astype(np.int32)
                 codes, rest = index.encode(u, near[:, 0])
-                raw = [r.tobytes() for r in x]
-                ids = part["id"].to_numpy()
-                yield pd.DataFrame({"list": near[:, 0], "id": ids, "member": True, "x": raw, "codes": [c.tobytes() for c in codes], "rest": rest})
+                common = {"id": part["id"].to_numpy(), "n": part["n"].to_numpy(), "home": near[:, 0], "x": [r.tobytes() for r in x]}
+                yield pd.DataFrame({"list": near[:, 0], **common, "member": True, "codes": [c.tobytes() for c in codes], "rest": rest, "probes": [p.tobytes() for p in near]})
                 for j in range(near.shape[1]):
-                    yield pd.DataFrame({"list": near[:, j], "id": ids, "member": False, "x": raw, "codes": None, "rest": 0.0})
+                    yield pd.DataFrame({"list": near[:, j], **common, "member": False, "codes": None, "rest": 0.0, "probes": None})
 
-    placed = checkpointed(vectors.mapInPandas(place, "list int, id long, member boolean, x binary, codes binary, rest double"))
+    placed = checkpointed(vectors.mapInPandas(place, "list int, id long, n long, home int, member boolean, x binary, codes binary, rest double, probes binary"))
     n = placed.groupBy("list").agg(F.count_if("member").alias("m"), F.count_if(~F.col("member")).alias("q"))
     blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
     n = n.where("m > 0").select("list", blocks("m").alias("mb"), blocks("q").alias("qb"))
@@ -125,22 +138,41 @@ def similar_pairs(vectors: DataFrame, dimension: int, rows: int, threshold: floa
         members, visitors = g[own], g[~own]
         x = np.frombuffer(b"".join(members["x"]), np.float64).reshape(len(members), -1)
         codes = np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(len(members), -1)
-        ids, rest, norms = members["id"].to_numpy(), members["rest"].to_numpy(), np.linalg.norm(x, axis=1)
-        out = []
+        asked = np.frombuffer(b"".join(members["probes"]), np.int32).reshape(len(members), -1)
+        ids, rest, norms, rows = members["id"].to_numpy(), members["rest"].to_numpy(), np.linalg.norm(x, axis=1), members["n"].to_numpy()
+        hits, others = np.zeros((len(visitors), len(members)), bool), np.zeros(len(members), np.int64)
         for lo in range(0, len(visitors), 256):
             part = visitors.iloc[lo : lo + 256]
             y = np.frombuffer(b"".join(part["x"]), np.float64).reshape(len(part), -1)
             maybe = index.estimates(_unit(y), int(g["list"].iloc[0]), codes) + rest >= threshold - 1e-9
             maybe &= part["id"].to_numpy()[:, None] != ids
             q, m = np.nonzero(maybe)
+            home, theirs = part["home"].to_numpy(), part["n"].to_numpy()
             for k in range(0, len(q), 20_000):
                 a, b = q[k : k + 20_000], m[k : k + 20_000]
                 hit = np.einsum("ij,ij->i", y[a], x[b]) / (np.linalg.norm(y[a], axis=1) * norms[b]) >= threshold
-                s, t = part["id"].to_numpy()[a[hit]], ids[b[hit]]
-                out.append(pd.DataFrame({"a": np.minimum(s, t), "b": np.maximum(s, t)}))
-        return pd.concat(out, ignore_index=True).drop_duplicates() if out else None
+                a, b = a[hit], b[hit]
+                hits[lo + a, b] = True
+                unseen = ~(asked[b] == home[a][:, None]).any(axis=1)  # a member that visits the visitor's list counts the pair there
+                np.add.at(others, b[unseen], theirs[a[unseen]])
+        far, near = np.flatnonzero(hits.any(axis=1)), np.flatnonzero(hits.any(axis=0))
+        if not len(far):
+            return None
+        hits, f = hits[np.ix_(far, near)], len(far)
+
+        def linked(i: int, left: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(left), bool)
+            side = left >= f if i < f else left < f
+            out[side] = hits[i, left[side] - f] if i < f else hits[left[side], i - f]
+            return out
+
+        names = np.r_[visitors["id"].to_numpy()[far], ids[near]]
+        edges = np.array(_forest(linked, len(names))).reshape(-1, 2)
+        both = names[edges[:, 0]], names[edges[:, 1]]
+        own = np.r_[names[:f], ids[others > 0]], np.r_[hits @ rows[near], others[others > 0]]
+        return pd.DataFrame({"a": np.r_[both[0], own[0]], "b": np.r_[both[1], np.full(len(own[0]), -1)], "n": np.r_[np.zeros(len(edges), np.int64), own[1]]})
 
-    return by_runs(dealt.select("list", "mb", "qb", "id", "member", "x", "codes", "rest"), ["list", "mb", "qb"], meet, "a long, b long").distinct()
+    return by_runs(dealt.select("list", "mb", "qb", "id", "n", "home", "member", "x", "codes", "rest", "probes"), ["list", "mb", "qb"], meet, "a long, b long, n long")
 
 
 def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
@@ -149,25 +181,27 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
     Equal vectors are one class, linked for sure and searched once. A vector that is null, zero, empty, or holds
     a null, NaN or infinity links with nothing, as does a row without an id (component null, kept). Vectors of
     different dimensions have no cosine; each dimension (``MAX_DIMENSIONS`` at most) has an index of its own.
-    Rows that repeat an id count as rows. An empty table gives an empty result.
+    Rows that repeat an id count as rows, each with its own vector. Other columns are not read. An empty table gives an empty result.
     """
     v = F.col(embedding).cast("array<double>")
     sound = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists("v", lambda e: e != 0)
     base = vectors.select(F.col(id).alias("id"), v.alias("v"))
     keys = base.select("id", F.coalesce(sound, F.lit(False)).alias("sound"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v", F.lit(2)).alias("h2"), "v")
-    classes = checkpointed(keys.where("sound").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
+    classes = keys.where("sound").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes = checkpointed(classes.withColumn("class", F.monotonically_increasing_id()))
     sizes = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).limit(MAX_DIMENSIONS + 1).collect()
     if len(sizes) > MAX_DIMENSIONS:
         raise ValueError(f"more than {MAX_DIMENSIONS} dimensions")
-    links = None
+    found = None
     for r in sorted(sizes):
-        got = similar_pairs(classes.where(F.size("v") == r.d).select(F.col("rep").alias("id"), "v"), r.d, r.n, threshold, probes)
-        links = got if links is None else links.unionByName(got)
-    links = checkpointed(links if links is not None else vectors.sparkSession.createDataFrame([], "a long, b long"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = both.join(classes.select(F.col("rep").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others"))
-    facts = classes.select("h1", "h2", "rep", "n").join(counts, F.col("rep") == F.col("a"), "left").join(connected_components(links).withColumnRenamed("id", "c"), F.col("rep") == F.col("c"), "left")
-    facts = facts.select("h1", "h2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"), F.lit(True).alias("sound"))
+        got = similar_pairs(classes.where(F.size("v") == r.d).select(F.col("class").alias("id"), "n", "v"), r.d, r.n, threshold, probes)
+        found = got if found is None else found.unionByName(got)
+    found = checkpointed(found if found is not None else vectors.sparkSession.createDataFrame([], "a long, b long, n long"))
+    counts = found.where("b < 0").groupBy("a").agg(F.sum("n").alias("others"))
+    groups = connected_components(found.where("b >= 0").select("a", "b")).join(classes.select(F.col("class").alias("id"), "rep"), "id")
+    groups = groups.join(groups.groupBy("component").agg(F.min("rep").alias("root")), "component").select(F.col("id").alias("c"), "root")
+    facts = classes.select("h1", "h2", "class", "rep", "n").join(counts, F.col("class") == F.col("a"), "left").join(groups, F.col("class") == F.col("c"), "left")
+    facts = facts.select("h1", "h2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component"), F.lit(True).alias("sound"))
     out = keys.drop("v").join(facts, ["sound", "h1", "h2"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
