@@ -233,3 +233,26 @@ def _chain(facts: dict[int, list]) -> dict[int, tuple[dict, dict]]:
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def _oracle() -> str:
+    """The dynamic program as a recursion over turns: for each state the least cost and its path of step numbers, ties by the state before."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    steps = [(r or "?", *step) for r in (*ROLES, None) for step in STEPS[r]]
+    rows = ", ".join(f"({i}, {q(r)}, {a}, {b}, {cost}, {q(action)}, {q(','.join(empties))}, {q(''.join(render(e, '') for e in empties))}, {q(new)})" for i, (r, a, b, cost, action, empties, new) in enumerate(steps))
+    ends = ", ".join(f"({b}, {cost}, {q('>' + ','.join(tail) if tail else '')}, {q(''.join(render(e, '') for e in tail))})" for b, (cost, tail) in enumerate(zip(ENDING, ENDING_ROLES, strict=True)))
+    known = "CASE lower(trim(role)) " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in ALIASES.items()) + " ELSE '?' END"
+    head, middle, close = map(q, TEMPLATE)
+    return f"""
+WITH RECURSIVE steps(id, role, a, b, cost, action, names, empties, new) AS (VALUES {rows}), ends(b, cost, names, tail) AS (VALUES {ends}),
+m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, {known} AS known, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+walk AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, 0 AS b, CAST(0 AS BIGINT) AS cost, CAST([] AS INTEGER[]) AS path FROM m
+  UNION ALL SELECT conv_id, k, b, min(cost), arg_min(path, cost * 10 + a) FROM (
+    SELECT w.conv_id, w.k + 1 AS k, s.b, w.cost + s.cost AS cost, s.a, list_append(w.path, s.id) AS path FROM walk w JOIN m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.k = w.k + 1 JOIN steps s ON s.role = m.known AND s.a = w.b) GROUP BY conv_id, k, b),
+best AS (SELECT w.conv_id, arg_min(w.path, (w.cost + e.cost) * 10 + w.b) AS path FROM walk w JOIN ends e ON e.b = w.b JOIN (SELECT DISTINCT conv_id, n FROM m) l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.n = w.k GROUP BY w.conv_id)
+SELECT m.conv_id, m.turn, m.role, s.new AS new_role, s.action, s.action <> 'merge' AS starts_message, s.names || CASE WHEN k = n THEN e.names ELSE '' END AS inserted, CAST(s.cost + CASE WHEN k = n THEN e.cost ELSE 0 END AS BIGINT) AS cost,
+  CASE WHEN s.action <> 'merge' AND k > 1 THEN {close} ELSE '' END || s.empties || CASE WHEN s.action = 'merge' THEN chr(10) || chr(10) ELSE {head} || s.new || {middle} END || text || CASE WHEN k = n THEN {close} || e.tail ELSE '' END AS rendered
+FROM m JOIN best ON best.conv_id IS NOT DISTINCT FROM m.conv_id JOIN steps s ON s.id = path[k] JOIN ends e ON e.b = s.b"""
+
+
+ORACLE = _oracle()

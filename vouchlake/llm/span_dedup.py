@@ -386,3 +386,14 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
 def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, b[i : i + 99] AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS i FROM t WHERE octet_length(b) >= 100)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+runs AS (SELECT doc_id, i, sum(CASE WHEN i - p <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM later)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS z FROM runs GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, a, z, lag(z) OVER (PARTITION BY doc_id ORDER BY a) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS after FROM spans),
+kept AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans, string_agg(substr(hex(b), 2 * coalesce(before, 0) + 1, 2 * (a - 1 - coalesce(before, 0))), '' ORDER BY a) || string_agg(CASE WHEN after IS NULL THEN substr(hex(b), 2 * z + 1) ELSE '' END, '') AS h FROM cuts JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)"""
