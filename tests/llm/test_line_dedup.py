@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -19,7 +20,9 @@ def _brute(docs):
     """doc_id -> text that stays, from {doc_id: text}."""
     lines = [(d, n, ld.normalise(x)) for d in sorted(docs) for n, x in enumerate(docs[d].split("\n"))]
     lines = [x for x in lines if x[2]]
-    sims = ld.simhashes([x[2] for x in lines])
+    sims, sketches = ld.simhashes([x[2] for x in lines])
+    masks = [sum(((1 << e) - 1) << b for b, e in part) for part in itertools.combinations([(round(12.8 * k), round(12.8 * (k + 1)) - round(12.8 * k)) for k in range(5)], 2)]
+    near = lambda i, j: any((int(sims[i]) ^ int(sims[j])) & m == 0 for m in masks) and _bits(sims[i] ^ sims[j]) <= ld.REACH and _bits((sketches[i] ^ sketches[j]) & 0xFFFFFFFF) <= ld.SKETCH
     group = list(range(len(lines)))
 
     def root(i):
@@ -30,7 +33,7 @@ def _brute(docs):
     for i in range(len(lines)):
         for j in range(i + 1, len(lines)):
             a, b = lines[i][2], lines[j][2]
-            if a == b or (int(np.bitwise_count(sims[i] ^ sims[j])) <= ld.DISTANCE and _edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)):
+            if a == b or (near(i, j) and _edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)):
                 x, y = root(i), root(j)
                 group[max(x, y)] = min(x, y)
     gone = {lines[i][:2] for i in range(len(lines)) if root(i) != i}
@@ -70,9 +73,9 @@ def _plain_simhash(line):
         h = 0
         for c in r.ljust(4, "\n"):
             h = (h * step + ord(c)) & full
-        h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & full
-        h = ((h ^ h >> 27) * 0x94D049BB133111EB) & full
-        bits.append(h ^ h >> 31)
+        h = ((h ^ h >> 32) * 0xBF58476D1CE4E5B9) & full
+        bits.append(h ^ h >> 29)
+    bits = [h for h in bits if not h >> 63] or bits
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in bits) + (bits[0] >> k & 1) > len(bits))
 
 
@@ -81,16 +84,24 @@ def _bits(x):
 
 
 def test_simhash_is_the_same_alone_and_in_a_batch(monkeypatch):
-    lines = ["a b c", "one", "", "x", "été à Ü", "日本語のテキスト", "abcdefg " * 60, "a b c d e f g"]
-    alone = [int(ld.simhashes([x])[0]) for x in lines]
-    assert list(map(int, ld.simhashes(lines))) == alone
-    assert alone[2] == 0 and [_bits(a) for a in alone] == [_bits(_plain_simhash(x)) if x else 0 for x in lines]
-    for chunk in (8, 3):
+    lines = ["a b c", "one", "", "x", "été à Ü", "日本語のテキスト", "abcdefg " * 60, "a b c d e f g", "w" * 700]
+    alone = [tuple(int(v[0]) for v in ld.simhashes([x])) for x in lines]
+    batch = lambda: list(zip(*(map(int, v) for v in ld.simhashes(lines)), strict=True))
+    assert batch() == alone
+    assert alone[2] == (0, 0) and [_bits(a[0]) for a in alone] == [_bits(_plain_simhash(x)) if x else 0 for x in lines]
+    for chunk in (100, 9, 3):
         monkeypatch.setattr(ld, "CHUNK", chunk)
-        assert list(map(int, ld.simhashes(lines))) == alone
+        got = batch()
+        assert got == alone
 
 
-def test_small_edits_of_lines_are_mostly_within_the_distance():
+def test_lengths_that_can_be_similar_are_not_told_apart():
+    sizes = list(range(1, 400))
+    classes = ld.simhashes(["x" * n for n in sizes])[1] >> 32
+    assert all(abs(int(classes[a - 1]) - int(classes[b - 1])) <= ld._apart(0.8) for a in sizes for b in sizes if a <= b and 10 * a >= 8 * b)
+
+
+def test_small_edits_of_lines_mostly_meet():
     """The share that the README states, by length: one letter of a line is changed."""
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
@@ -100,8 +111,10 @@ def test_small_edits_of_lines_are_mostly_within_the_distance():
         for x in lines:
             k = rng.randrange(len(x))
             edited.append(x[:k] + "q" + x[k + 1 :])
-        near = [_bits(a) <= ld.DISTANCE for a in ld.simhashes(lines) ^ ld.simhashes(edited)]
-        assert sum(near) / len(near) > low
+        (a, s), (b, t) = ld.simhashes(lines), ld.simhashes(edited)
+        blocks = [(a ^ b) >> np.uint64(round(12.8 * k)) & np.uint64((1 << round(12.8 * (k + 1)) - round(12.8 * k)) - 1) for k in range(5)]
+        met = (sum((x == 0).astype(int) for x in blocks) >= 2) & ld._near(a, s, b, t, ld.REACH, ld._apart(0.8))
+        assert met.mean() > low, (n, met.mean())
 
 
 def test_blocks_connect_every_pair_within_the_distance(spark):
@@ -119,9 +132,9 @@ def test_blocks_connect_every_pair_within_the_distance(spark):
             root = [min(a, b) if r in (a, b) else r for r in root]
         return root
 
-    frame = spark.createDataFrame(list(enumerate(values)), "h1 long, sim long")
+    frame = spark.createDataFrame([(i, v, 0) for i, v in enumerate(values)], "h1 long, sim long, sketch long")
     for blocks in (4, 5, 6):
-        got = {tuple(sorted((r.a, r.b))) for r in ld.near_links(frame, 3, blocks).collect()}
+        got = {tuple(sorted((r.a, r.b))) for r in ld.near_links(frame, distance=3, blocks=blocks, reach=3).collect()}
         assert got <= set(want) and parts(got) == parts(want)
 
 
@@ -138,14 +151,19 @@ def test_links_that_fail_are_replaced(spark):
     assert {r.doc_id: r.text for r in got} == _brute(docs)
 
 
-def test_gaps_are_no_fewer_than_the_edits():
+def test_bounds_are_no_fewer_than_the_edits():
     rng = random.Random(6)
-    for _ in range(300):
-        a = [rng.choice(["ab", "c", "def"]) + rng.choice(["", "x"]) for _ in range(rng.randrange(1, 25))]
-        b = [w if rng.random() < 0.8 else rng.choice(["zz", "ab", "q"]) for w in a if rng.random() < 0.9] or ["k"]
-        x, y = " ".join(a), " ".join(b)
-        assert ld._gaps(a, b) >= _edits(x, y)
-        assert ld.similar(x, y, 0.8) == (_edits(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9))
+    for n in (25, 25, 25, 80):
+        for _ in range(100):
+            a = [rng.choice(["ab", "c", "def"]) + rng.choice(["", "x", "yz"]) for _ in range(rng.randrange(1, n))]
+            b = [w if rng.random() < 0.9 else rng.choice(["zz", "ab", "q"]) for w in a if rng.random() < 0.95] or ["k"]
+            x, y = " ".join(a), " ".join(b)
+            true, most = _edits(x, y), int(0.2 * max(len(x), len(y)) + 1e-9)
+            assert ld._bound(x, y, 10**9) >= true
+            assert ld.similar(x, y, 0.8) == (true <= most)
+            assert (ld.edits(x, y, most) <= most) == (true <= most)
+    assert ld._bound("", "abc", 0) == 3 and ld._bound("same", "same", 0) == 0
+    assert ld._bound("a line of some length here", "a line of sume length here", 9) == 1
 
 
 def test_edits_equal_plain_ones():

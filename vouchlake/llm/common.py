@@ -40,6 +40,16 @@ def whole_id(name: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(name).cast("long"), F.lit(0)).alias(name), F.col(name).cast("long").isNull().alias("no_id")
 
 
+def numbered_texts(docs: DataFrame) -> DataFrame | None:
+    """For ``docs(doc_id, text)`` in which a doc_id has several texts: ``(doc_id, t, seq)``, a number for each text (hash t) in the order of doc_id and hash. None if no doc_id has; that is one thin aggregation."""
+    names = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"))
+    if not names.groupBy("doc_id").agg((F.min("t") != F.max("t")).alias("several")).where("several").limit(1).count():
+        return None
+    # partitions by range, sorted, and written before they are numbered
+    laid = checkpointed(names.distinct().repartitionByRange("doc_id", "t").sortWithinPartitions("doc_id", "t"))
+    return checkpointed(laid.withColumn("seq", F.monotonically_increasing_id()))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

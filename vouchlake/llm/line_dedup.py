@@ -1,10 +1,11 @@
 """Fuzzy line deduplication.
 
 Lines are normalised (lower case, white space collapsed) and equal ones counted as one class. A class has a
-64-bit SimHash of its runs of four letters, of which a small edit moves few. Two hashes that differ in at most 4 bits
-agree in at least 2 of 6 blocks, so the classes meet on every pair of blocks (15 keys of 21 or 22 bits), and pairs
-within 4 bits are linked if the edit similarity of the normalised lines is high enough. Of each connected group of
-lines the first occurrence (smallest document, then line) stays.
+64-bit SimHash of its runs of four letters, of which a small edit moves few. Two hashes that differ in at most 3 bits
+agree in at least 2 of 5 blocks, so the classes meet on every pair of blocks (10 keys of 25 or 26 bits). Pairs that meet
+are linked if their hashes differ in at most 8 bits, a short sketch of their runs of eight letters and their lengths
+don't tell them apart, and the edit similarity of the normalised lines is high enough. Of each connected group of lines
+the first occurrence (smallest document, then line) stays.
 """
 
 from __future__ import annotations
@@ -18,18 +19,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_runs, checkpointed, connected_components, table
+from .common import by_runs, checkpointed, connected_components, numbered_texts, table
 from .minhash_dedup import _forest
 
 SIMILARITY = 0.8
-DISTANCE = 4
-BLOCKS = 6
-#: Letters of a run that counts as one feature of a line.
-GRAM = 4
-#: Members of a key of which all pairs are listed; of more only pairs that span them.
+#: All pairs within so many bits meet in a key; pairs that meet are followed up to REACH bits, and SKETCH of 32 bits of the second hash.
+DISTANCE, BLOCKS = 3, 5
+REACH, SKETCH = 8, 9
+#: Letters of a run that counts as one feature of a line: of the SimHash, and of the sketch.
+GRAM, LONG = 4, 8
+#: Lengths of one class differ by less than this share.
+LENGTHS = 0.12
+#: Members of a key that are compared pair by pair in bulk; larger keys are compared in blocks.
 SMALL = 16
 #: So many candidate lines at most are broadcast when their texts are fetched; more are joined by shuffle.
-BROADCAST_LINES = 200_000
+BROADCAST_LINES = 500_000
 #: Letters of normalised lines that are hashed at once.
 CHUNK = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -48,59 +52,86 @@ def _spread() -> np.ndarray:
 _SPREAD = _spread()
 
 
-def simhashes(lines: list[str]) -> np.ndarray:
-    """The SimHash of each normalised line (0 for an empty one): every bit is the majority of that bit in the hashes of its runs of GRAM letters; on a tie, the bit of the first run. A shorter line is one run."""
-    out = np.zeros(len(lines), np.uint64)
+def simhashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash of each normalised line (0 for an empty one) and its sketch.
+
+    A bit of the SimHash is the majority of that bit in the hashes of the line's runs of GRAM letters (half of them, chosen
+    by their hashes; all, if that is none); on a tie, the bit of the first. A shorter line is one run. The sketch has 32 such
+    bits of the runs of LONG letters, and above them the class of the line's length.
+    """
+    sim, sketch = np.zeros(len(lines), np.uint64), np.zeros(len(lines), np.int64)
     i = 0
     while i < len(lines):
         j, size = i, 0
         while j < len(lines) and (j == i or size + len(lines[j]) < CHUNK):
-            size, j = size + len(lines[j]) + GRAM, j + 1
-        out[i:j] = _simhashes(lines[i:j])
+            size, j = size + len(lines[j]) + LONG, j + 1
+        own = lines[i:j]
+        # a line above CHUNK alone comes in pieces; each run begins in one piece
+        pieces = [own] if j > i + 1 or len(own[0]) <= CHUNK else [[own[0][k : k + CHUNK + LONG - 1]] for k in range(0, len(own[0]), CHUNK)]
+        a, b = _tally(pieces)
+        some = np.array([len(x) > 0 for x in own])
+        sim[i:j][some] = a.view(np.uint64).ravel()
+        sketch[i:j][some] = b.view(np.uint32).ravel()
         i = j
-    return out
-
-
-def _simhashes(lines: list[str]) -> np.ndarray:
-    if len(lines) == 1 and len(lines[0]) > CHUNK:  # piece by piece; each run begins in one piece
-        pieces = [p for p in (lines[0][i : i + CHUNK + GRAM - 1] for i in range(0, len(lines[0]), CHUNK)) if len(p) >= GRAM]
-        parts = [_votes([p]) for p in pieces]
-        votes, runs, tie = sum(p[0] for p in parts), sum(p[1] for p in parts), parts[0][2]
-    else:
-        votes, runs, tie = _votes(lines)
-    out = np.zeros(len(lines), np.uint64)
-    out[runs > 0] = np.packbits(2 * votes + tie > runs[runs > 0][:, None], axis=1).view(np.uint64).ravel()
-    return out
-
-
-def _votes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each line that isn't empty how many of its runs have each bit, the number of runs of every line, and the bits of the first run."""
-    c = np.frombuffer(("\n" * GRAM).join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.array([len(x) for x in lines])
-    start = np.r_[0, np.cumsum(size + GRAM)[:-1]]
-    runs = np.where(size > 0, np.maximum(size - GRAM + 1, 1), 0)
-    first = np.cumsum(runs) - runs
-    at = np.arange(int(runs.sum())) + np.repeat(start - first, runs)
+    size = np.array([len(x) for x in lines], np.float64)
+    return sim, sketch | np.floor(np.log(np.maximum(size, 1)) / np.log1p(LENGTHS)).astype(np.int64) << 32
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = c[at]
-        for k in range(1, GRAM):  # what follows a short line is line ends
-            h = h * _STEP + c[at + k]
-        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-    some = np.flatnonzero(runs)
-    if not len(some):
-        return np.zeros((0, 64), np.int64), runs, np.zeros((0, 64), np.uint8)
-    # counters of one byte: parts of 255 runs at most
-    parts = -(-runs[some] // 255)
-    part = np.repeat(first[some], parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(29)
+
+
+def _tally(pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The majorities of both kinds of runs, packed, for each line that isn't empty; of one line, if it comes in pieces."""
+    parts: list[list] = [[], []]
+    for k, lines in enumerate(pieces):
+        c = np.frombuffer(("\n" * LONG).join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        size = np.array([len(x) for x in lines])
+        start = np.r_[0, np.cumsum(size + LONG)[:-1]]
+        start, size = start[size > 0], size[size > 0]
+        with np.errstate(over="ignore"):
+            four = ((c[:-3] * _STEP + c[1:-2]) * _STEP + c[2:-1]) * _STEP + c[3:]  # what follows a short line is line ends
+            eight = four[:-4] * _STEP + four[4:]
+        for which, (h, gram, width) in enumerate(((four, GRAM, 8), (eight, LONG, 4))):
+            if k and size[0] < gram:  # no run begins in the rest
+                continue
+            runs = np.minimum(np.maximum(size - gram + 1, 1), CHUNK if len(pieces) > 1 else 1 << 62)
+            inside = np.zeros(len(h) + 1, np.int8)
+            inside[start], inside[start + runs] = 1, -1
+            h = _mixed(h[np.cumsum(inside[:-1], dtype=np.int8).view(bool)])
+            first, keep = np.cumsum(runs) - runs, h >> np.uint64(63) == 0
+            kept = np.add.reduceat(keep, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+            if len(pieces) == 1:
+                keep |= np.repeat(kept == 0, runs)
+                parts[which].append((*_count(h[keep], np.where(kept == 0, runs, kept), width), np.where(kept == 0, runs, kept)))
+            else:  # whether any run is chosen shows at the end
+                parts[which].append([(*_count(x, np.array([len(x)]), width), np.array([len(x)])) if len(x) else None for x in (h[keep], h)])
+    out = []
+    for found in parts:
+        if len(pieces) > 1:
+            chosen = [f[0] for f in found if f[0] is not None] or [f[1] for f in found]
+            found = [(sum(f[0] for f in chosen), chosen[0][1], sum(f[2] for f in chosen))]
+        votes, tie, runs = found[0]
+        out.append(np.packbits(2 * votes + tie > runs[:, None], axis=1))
+    return tuple(out)
+
+
+def _count(h: np.ndarray, runs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each line, of which ``runs`` rows of ``h`` are (one at least), how many have each of the lowest bits, and those of its first."""
+    if not len(runs):
+        return np.zeros((0, 8 * width), np.int64), np.zeros((0, 8 * width), np.uint8)
+    first, parts = np.cumsum(runs) - runs, -(-runs // 255)  # counters of one byte: parts of 255 runs at most
+    part = np.repeat(first, parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
     spread = h.view(np.uint8).reshape(-1, 8)
-    votes = np.stack([np.add.reduceat(_SPREAD[spread[:, k]], part) for k in range(8)], axis=1).view(np.uint8)
-    return np.add.reduceat(votes, np.cumsum(parts) - parts, axis=0, dtype=np.int64), runs, np.unpackbits(spread[first[some]], axis=1)
+    votes = np.stack([np.add.reduceat(_SPREAD[spread[:, k]], part) for k in range(width)], axis=1).view(np.uint8)
+    whole = np.add.reduceat(votes, np.cumsum(parts) - parts, axis=0, dtype=np.int64) if len(part) > len(runs) else votes.astype(np.int64)
+    return whole, np.unpackbits(np.ascontiguousarray(spread[first, :width]), axis=1)
 
 
 def line_features(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, h1, h2, sim)`` for every line of ``docs(doc_id, text)`` whose normalised form is not empty; h1 and h2 are its 128-bit hash."""
+    """``(doc_id, line_no, h1, h2, sim, sketch)`` for every line of ``docs(doc_id, text)`` whose normalised form is not empty; h1 and h2 are its 128-bit hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -121,9 +152,10 @@ def line_features(docs: DataFrame) -> DataFrame:
 
     def frame(ids: list, nos: list, lines: list) -> pd.DataFrame:
         h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"doc_id": ids, "line_no": np.array(nos, np.int32), "h1": h[:, 0], "h2": h[:, 1], "sim": simhashes(lines).view(np.int64)})
+        sim, sketch = simhashes(lines)
+        return pd.DataFrame({"doc_id": ids, "line_no": np.array(nos, np.int32), "h1": h[:, 0], "h2": h[:, 1], "sim": sim.view(np.int64), "sketch": sketch})
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, line_no int, h1 long, h2 long, sim long")
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, line_no int, h1 long, h2 long, sim long, sketch long")
 
 
 def _keys(sim: Column, distance: int, blocks: int) -> Column:
@@ -137,64 +169,87 @@ def _keys(sim: Column, distance: int, blocks: int) -> Column:
 
 
 def _keyed(classes: DataFrame, distance: int, blocks: int) -> DataFrame:
-    return classes.select("sim", F.col("h1").alias("node"), F.explode(_keys(F.col("sim"), distance, blocks)).alias("key"))
+    return classes.select("sim", "sketch", F.col("h1").alias("node"), F.explode(_keys(F.col("sim"), distance, blocks)).alias("key"))
+
+
+def _near(sim: np.ndarray, sketch: np.ndarray, sim2: np.ndarray, sketch2: np.ndarray, reach: int, classes: int) -> np.ndarray:
+    """Whether hashes, sketches and lengths let the lines be similar."""
+    low = np.int64(0xFFFFFFFF)
+    return (np.bitwise_count(sim ^ sim2) <= reach) & (np.bitwise_count((sketch ^ sketch2) & low) <= SKETCH) & (np.abs((sketch >> 32) - (sketch2 >> 32)) <= classes)
+
 
+def _apart(similarity: float) -> int:
+    """By how many classes of length lines of this similarity can differ."""
+    return int(np.ceil(-np.log(similarity) / np.log1p(LENGTHS)))
 
-def _met(sim: np.ndarray, distance: int, step: int = 1024) -> np.ndarray:
-    """Which members of a key have another one within the distance."""
+
+def _met(sim: np.ndarray, sketch: np.ndarray, reach: int, classes: int, step: int = 1024) -> np.ndarray:
+    """Which members of a key have another one near."""
     out = np.zeros(len(sim), bool)
     for i in range(0, len(sim), step):
         for j in range(i, len(sim), step):
-            hit = np.bitwise_count(sim[i : i + step, None] ^ sim[j : j + step]) <= distance
+            a, b = slice(i, i + step), slice(j, j + step)
+            hit = _near(sim[a, None], sketch[a, None], sim[b], sketch[b], reach, classes)
             if i == j:
                 np.fill_diagonal(hit, False)
-            out[i : i + step] |= hit.any(axis=1)
-            out[j : j + step] |= hit.any(axis=0)
+            out[a] |= hit.any(axis=1)
+            out[b] |= hit.any(axis=0)
     return np.flatnonzero(out)
 
 
-def _spanning(key: int, sim: np.ndarray, node: np.ndarray, distance: int, norm: list[str] | None = None, similarity: float = 0.0) -> list[tuple]:
-    """Rows (a, b, key) that span what the members of a key have within the distance. With ``norm``, the lines, pairs have to be similar enough too."""
-    some = _met(sim, distance)
+def _spanning(key: int, sim: np.ndarray, sketch: np.ndarray, node: np.ndarray, reach: int, similarity: float, norm: list[str] | None = None) -> list[tuple]:
+    """Rows (a, b, key) that span what the members of a key have near. With ``norm``, the lines, pairs have to be similar enough too."""
+    classes = _apart(similarity)
+    some = _met(sim, sketch, reach, classes)
 
     def linked(i: int, others: np.ndarray) -> np.ndarray:
-        hit = np.bitwise_count(sim[some[others]] ^ sim[some[i]]) <= distance
+        x, y = some[i], some[others]
+        hit = _near(sim[x], sketch[x], sim[y], sketch[y], reach, classes)
         if norm is not None:
-            hit[hit] = [similar(norm[some[i]], norm[some[j]], similarity) for j in others[hit].tolist()]
+            hit[hit] = [similar(norm[x], norm[j], similarity) for j in y[hit].tolist()]
         return hit
 
     return [(int(node[some[i]]), int(node[some[j]]), key) for i, j in _forest(linked, len(some))]
 
 
-def near_links(classes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """``(a, b, key)``: links that span, within each key, all pairs of ``classes(h1, sim)`` that differ in at most ``distance`` bits.
+def near_links(classes: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE, blocks: int = BLOCKS, reach: int = REACH) -> DataFrame:
+    """``(a, b, key)``: links that span, within each key, all pairs of ``classes(h1, sim, sketch)`` that are near (see :func:`_near`).
 
-    ``blocks`` changes the work only: more blocks make longer keys, with fewer chance meetings (for larger corpora). Streams over
-    sorted partitions; keys with one member, nearly all, are passed over without a loop.
+    Pairs that differ in at most ``distance`` bits meet in a key for sure; more ``blocks`` make longer keys, with fewer
+    chance meetings (for larger corpora). Streams over sorted partitions; keys in which nothing is near, nearly all, are
+    passed over without a loop. A key's links lead away from its smallest member, so that keys repeat each other's.
     """
+    apart = _apart(similarity)
 
-    def work(k: np.ndarray, s: np.ndarray, n: np.ndarray) -> list[tuple]:
+    def work(k: np.ndarray, s: np.ndarray, t: np.ndarray, n: np.ndarray) -> list[tuple]:
         cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         size = np.diff(np.r_[cut, len(k)])
         own, at, out = np.repeat(size, size), np.arange(len(k)) - np.repeat(cut, size), []
+        few, met = np.flatnonzero((own > 1) & (own <= SMALL)), []
         for off in range(1, SMALL):  # all pairs of small keys, by how far they are apart
-            i = np.flatnonzero((own <= SMALL) & (at + off < own))
-            i = i[np.bitwise_count(s[i] ^ s[i + off]) <= distance]
-            out += [(x, y, None) for x, y in zip(n[i].tolist(), n[i + off].tolist(), strict=True)]
-        for i, m in zip(cut[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            out += _spanning(int(k[i]), s[i : i + m], n[i : i + m], distance)
+            few = few[at[few] + off < own[few]]
+            if not len(few):
+                break
+            met.append(few[_near(s[few], t[few], s[few + off], t[few + off], reach, apart)])
+        two = np.concatenate(met)[own[np.concatenate(met)] == 2] if met else np.zeros(0, int)
+        out += [(x, y, None) for x, y in zip(n[two].tolist(), n[two + 1].tolist(), strict=True)]
+        more = np.unique(np.concatenate([x - at[x] for x in met])) if met else np.zeros(0, int)
+        more = np.union1d(more[size[np.searchsorted(cut, more)] > 2], cut[size > SMALL])
+        for i, m in zip(more.tolist(), size[np.searchsorted(cut, more)].tolist(), strict=True):
+            out += _spanning(int(k[i]), s[i : i + m], t[i : i + m], n[i : i + m], reach, similarity)
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        kinds = {"key": np.int64, "sim": np.uint64, "sketch": np.int64, "node": np.int64}
+        rest = [np.zeros(0, x) for x in kinds.values()]
         frame = lambda rows: pd.DataFrame(rows, columns=["a", "b", "key"]).astype({"a": "int64", "b": "int64", "key": "Int64"})
         for pdf in batches:
             if not len(pdf):
                 continue
-            k, s, n = (np.concatenate([x, y]) for x, y in zip(rest, (pdf["key"].to_numpy(), pdf["sim"].to_numpy().view(np.uint64), pdf["node"].to_numpy()), strict=True))
-            open_ = int(np.searchsorted(k, k[-1]))
-            rest = [k[open_:], s[open_:], n[open_:]]
-            got = work(k[:open_], s[:open_], n[:open_]) if open_ else []
+            whole = [np.concatenate([x, pdf[c].to_numpy().view(kind)]) for x, (c, kind) in zip(rest, kinds.items(), strict=True)]
+            open_ = int(np.searchsorted(whole[0], whole[0][-1]))
+            rest = [x[open_:] for x in whole]
+            got = work(*[x[:open_] for x in whole]) if open_ else []
             if got:
                 yield frame(got)
         if len(rest[0]):
@@ -202,56 +257,83 @@ def near_links(classes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCK
             if got:
                 yield frame(got)
 
-    return _keyed(classes, distance, blocks).repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, key long")
+    return _keyed(classes, distance, blocks).repartition("key").sortWithinPartitions("key", "node").mapInPandas(run, "a long, b long, key long")
+
 
+def _differing(a: str, b: str) -> tuple[str, str]:
+    """What is left without the common ends."""
+
+    def common(n: int, equal) -> int:
+        if equal(n):
+            return n
+        low, high = 0, n  # equal at low, not at high
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if equal(mid) else (low, mid)
+        return low
 
-def edits(a: str, b: str) -> int:
-    """Edit distance, bit-parallel over what differs between the common ends."""
     n = min(len(a), len(b))
-    i = next((i for i in range(n) if a[i] != b[i]), n)
+    i = common(n, lambda k: a[:k] == b[:k])
     a, b, n = a[i:], b[i:], n - i
-    j = next((j for j in range(n) if a[-1 - j] != b[-1 - j]), n)
-    a, b = a[: len(a) - j], b[: len(b) - j]
+    j = common(n, lambda k: a[len(a) - k :] == b[len(b) - k :])
+    return a[: len(a) - j], b[: len(b) - j]
+
+
+def edits(a: str, b: str, most: int | None = None) -> int:
+    """Edit distance, bit-parallel over what differs between the common ends; any number above ``most``, if it is above."""
+    a, b = _differing(a, b)
     if not a or not b:
         return len(a) + len(b)
+    enough = len(a) + len(b) if most is None else most
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     full, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
     up, down = full, 0
-    for c in b:
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
         same = where.get(c, 0)
         step = same | down
         across = (((same & up) + up) ^ up) | same
         plus, minus = down | ~(across | up) & full, up & across
         score += 1 if plus & last else -1 if minus & last else 0
+        if score - left > enough:  # each letter that is left saves one at most
+            return score
         plus, minus = (plus << 1 | 1) & full, minus << 1 & full
         up, down = minus | ~(step | plus) & full, plus & step
     return score
 
 
-def _gaps(a: list[str], b: list[str]) -> int:
-    """No fewer edits than turn one list of words into the other's line: words are matched in order, each with its next place, and what lies between counts in full."""
-    places: dict[str, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
-        places.setdefault(b[j], []).append(j)
-    cost = at = left = 0
-    for w in a:
-        there = places.get(w)
-        while there and there[-1] < at:
-            there.pop()
-        if there and there[-1] - at <= 8:  # a farther one would skip too much
-            cost += max(left, sum(map(len, b[at : there[-1]])) + there[-1] - at)
-            at, left = there[-1] + 1, 0
+def _bound(x: str, y: str, most: int) -> int:
+    """No fewer edits than turn one line into the other: from each difference on, the next place where eight letters agree again, found after a short skip; what is skipped counts in full. Ends early above ``most``."""
+    i = j = cost = 0
+    m, n = len(x), len(y)
+    while i < m and j < n:
+        step = 16
+        while x[i : i + step] == y[j : j + step] and i < m and j < n:
+            i, j, step = min(i + step, m), min(j + step, n), 2 * step
+        while step > 1:  # the difference is within the next step letters
+            step //= 2
+            if x[i : i + step] == y[j : j + step]:
+                i, j = min(i + step, m), min(j + step, n)
+        if i >= m or j >= n:
+            break
+        for skip in (1, 2, 3, 5, 8, 12, 18, 27, 40):
+            probe = x[i + skip : i + skip + 8]
+            at = y.find(probe, j, j + 2 * skip + 16) if len(probe) == 8 else -1
+            if at >= 0:
+                cost, i, j = cost + max(skip, at - j), i + skip, at
+                break
         else:
-            left += len(w) + 1
-    return cost + max(left, sum(map(len, b[at:])) + len(b) - at)
+            break
+        if cost > most:
+            break
+    return cost + max(m - i, n - j)
 
 
 def similar(x: str, y: str, similarity: float) -> bool:
-    """Whether 1 - edits / longer length is at least ``similarity``; the edits are counted only where matching words doesn't settle it."""
+    """Whether 1 - edits / longer length is at least ``similarity``; the edits are counted only where a bound from above doesn't settle it."""
     most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
-    return abs(len(x) - len(y)) <= most and (_gaps(x.split(" "), y.split(" ")) <= most or edits(x, y) <= most)
+    return abs(len(x) - len(y)) <= most and (_bound(x, y, most) <= most or edits(x, y, most) <= most)
 
 
 def _norms(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -275,13 +357,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     return checkpointed(both.mapInPandas(run, "a long, b long, key long, ok boolean"))
 
 
-def line_links(classes: DataFrame, docs: DataFrame, similarity: float, distance: int, blocks: int) -> DataFrame:
-    """``(a, b)``: links that connect what all links between ``classes(h1, sim, first)`` connect.
+def line_links(classes: DataFrame, docs: DataFrame, similarity: float, distance: int, blocks: int, reach: int) -> DataFrame:
+    """``(a, b)``: links that connect what all links between ``classes(h1, sim, sketch, first)`` connect.
 
     A key's spanning links may fail the edit similarity where others would not: the members of such keys meet once
     more, with their texts. So no pair inside a large group is listed without need, and none is lost.
     """
-    done = _verified(near_links(classes, distance, blocks), classes, docs, similarity)
+    done = _verified(near_links(classes, similarity, distance, blocks, reach), classes, docs, similarity)
     links = done.where("ok").select("a", "b")
     failed = checkpointed(done.where("not ok and key is not null").select("key").distinct())
     if not failed.limit(1).count():
@@ -290,10 +372,10 @@ def line_links(classes: DataFrame, docs: DataFrame, similarity: float, distance:
     norms = _norms(again.select(F.col("node").alias("h1")), classes, docs).withColumnRenamed("h1", "node")
 
     def span(g: pd.DataFrame) -> pd.DataFrame | None:
-        rows = _spanning(int(g["key"].iloc[0]), g["sim"].to_numpy().view(np.uint64), g["node"].to_numpy(), distance, g["norm"].tolist(), similarity)
+        rows = _spanning(int(g["key"].iloc[0]), g["sim"].to_numpy().view(np.uint64), g["sketch"].to_numpy(), g["node"].to_numpy(), reach, similarity, g["norm"].tolist())
         return pd.DataFrame(rows, columns=["a", "b", "key"]) if rows else None
 
-    return links.unionByName(by_runs(again.join(norms, "node").select("key", "sim", "node", "norm"), ["key"], span, "a long, b long, key long").select("a", "b"))
+    return links.unionByName(by_runs(again.join(norms, "node").select("key", "sim", "sketch", "node", "norm"), ["key"], span, "a long, b long, key long").select("a", "b"))
 
 
 def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -313,18 +395,18 @@ def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return there.mapInPandas(run, "doc_id long, line_no int, norm string").dropDuplicates(["doc_id", "line_no"])
 
 
-def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE, blocks: int = BLOCKS, reach: int = REACH) -> DataFrame:
     """``(doc_id, line_no)`` of every line but the first of its connected group, and ``first_doc``, ``first_line``: the one that stays.
 
-    Lines are linked if their normalised forms are equal, or if their SimHashes differ in at most ``distance`` bits
-    and 1 - edits / longer length is at least ``similarity``. Lines without words are never duplicates; rows
+    Lines are linked if their normalised forms are equal, or if their SimHashes agree in ``blocks - distance`` blocks and
+    differ in at most ``reach`` bits, their sketches are near and 1 - edits / longer length is at least ``similarity``. Lines without words are never duplicates; rows
     without doc_id or text have no lines. Rows that repeat a doc_id are one document.
     """
     lines = checkpointed(line_features(docs))
     place = F.struct("doc_id", "line_no")
-    classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"))
+    classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes)
-    links = line_links(classes, docs, similarity, distance, blocks)
+    links = line_links(classes, docs, similarity, distance, blocks, reach)
     groups = connected_components(links).join(classes.select(F.col("h1").alias("id"), "first"), "id")
     roots = groups.groupBy("component").agg(F.min("first").alias("lowest"))
     groups = groups.join(roots, "component").groupBy("first").agg(F.min("lowest").alias("component"))
@@ -337,8 +419,19 @@ def dedup_lines(docs: DataFrame, text: str = "text", prefix: str = "", **options
     """``docs``, all columns, with ``text`` without the duplicate lines, and ``n_lines`` and ``n_removed`` (after ``prefix``).
 
     A text keeps its other lines in order. Null texts stay null (0 lines); an empty text is one empty line. Rows
-    without a doc_id keep their text. Columns of the two names are replaced.
+    without a doc_id keep their text. Rows that agree in doc_id and text are one document, other rows of one doc_id follow
+    each other in the order of a hash of their texts. Columns of the two names are replaced. An empty table gives an empty result.
     """
+    names = numbered_texts(docs.select("doc_id", F.col(text).alias("text")))
+    if names is None:
+        return _dedup(docs, text, prefix, options)
+    same = (F.col("__own") == F.col("__named")) & (F.col("__t") == F.col("__hash"))
+    keyed = docs.withColumnRenamed("doc_id", "__own").withColumn("__t", F.xxhash64(text)).join(names.select(F.col("doc_id").alias("__named"), F.col("t").alias("__hash"), F.col("seq").alias("doc_id")), same, "left").drop("__t", "__hash", "__named")
+    out = _dedup(keyed, text, prefix, options).drop("doc_id").withColumnRenamed("__own", "doc_id")
+    return out.select(*docs.columns, *[c for c in (f"{prefix}n_lines", f"{prefix}n_removed") if c not in docs.columns])
+
+
+def _dedup(docs: DataFrame, text: str, prefix: str, options: dict) -> DataFrame:
     gone = duplicate_lines(docs.select("doc_id", F.col(text).alias("text")), **options)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("line_no", F.lit(64)))
     words = gone.groupBy("doc_id", F.floor(F.col("line_no") / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("x"), F.count("*").alias("n"))

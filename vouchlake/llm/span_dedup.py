@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_runs, checkpointed, runs, small_batches, table, whole_id
+from .common import by_runs, checkpointed, numbered_texts, runs, small_batches, table, whole_id
 from .minhash_dedup import _mix
 from .suffix_array import shares_prefix, sort_suffixes
 
@@ -341,10 +341,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     hash of their texts. An empty table gives an empty result. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    names = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("t")).distinct()
-    if names.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        # numbers in the order of doc_id and hash: partitions by range, sorted
-        names = checkpointed(checkpointed(names.repartitionByRange("doc_id", "t").sortWithinPartitions("doc_id", "t")).withColumn("seq", F.monotonically_increasing_id()))
+    names = numbered_texts(docs)
+    if names is not None:
         numbered = docs.withColumn("t", F.xxhash64("text")).join(names, ["doc_id", "t"], "left").select(F.col("seq").alias("doc_id"), "text")
         return _cut(numbered, length).withColumnRenamed("doc_id", "seq").join(names.select("seq", "doc_id"), "seq", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans")
     return _cut(docs, length)
