@@ -1,5 +1,7 @@
 import random
 
+import regex
+
 from vouchlake.llm import decontamination as dc
 
 ITEM = "A train leaves the station at 9:30 with 120 passengers and travels 45 km to reach Springfield where Alice Brown waits with 120 flowers for the guests of Alice"
@@ -91,3 +93,95 @@ def test_exact_copies_of_short_and_slot_dense_items(spark):
         (8, "capital of France"),
     ]
     assert _find(spark, docs, items) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 5)}
+
+
+def _plain_words(text):
+    s = regex.sub(r"(?<=[^\s.!?:]\s)(\p{Lu}[\p{L}\p{M}'’-]*)", dc.NAME + r"\1", text)
+    s = regex.sub(rf"(?<![\p{{L}}\p{{M}}\p{{N}}'’{dc.NAME}-])(\p{{Lu}}[\p{{L}}\p{{M}}'’-]*)", dc.FIRST + r"\1", s).lower()
+    s = regex.sub(r"(\d+(?:[.,:/]\d+)*)", rf" {dc.NUMBER}\1 ", s)
+    s = regex.sub(rf"({dc.NUMBER}\S+ ) ?({'|'.join(dc.UNITS)})\b", rf"\1{dc.UNIT}\2", s)
+    return [w for w in regex.split(rf"(?:[^\p{{L}}\p{{M}}\p{{N}}{dc.NAME}-{dc.FIRST}.,:/]|(?<!\d)[.,:/]|[.,:/](?!\d))+", s) if w]
+
+
+MARKS = (dc.NAME, dc.NUMBER, dc.UNIT, dc.FIRST)
+
+
+def _bare(words):
+    return [w[1:] if w[0] in MARKS else w for w in words]
+
+
+def _form(words, names):
+    return [(dc.NAME if names else "") + w[1:] if w[0] == dc.FIRST else w for w in words]
+
+
+def _shapes(words):
+    return [w[0] if w[0] in MARKS else w for w in words]
+
+
+def _holds(doc, item):
+    """Whether a document is contaminated by an item, by the definition: each form of the item against each form and shift of the document."""
+    ours, theirs = _bare(doc), _bare(item)
+    n, k = len(item), min(8, len(item))
+    if k and any(ours[s : s + n] == theirs for s in range(len(ours) - n + 1)):
+        return True
+    if n < 8:
+        return False
+    for names in (False, True):
+        own = _form(item, names)
+        shape, many = _shapes(own), [w[0] in MARKS and own.count(w) > 1 for w in own]
+        dense = [sum(w not in MARKS for w in shape[p : p + 8]) < 4 for p in range(n - 7)]
+        for seen in (False, True):
+            there = _shapes(_form(doc, seen))
+            for shift in range(8 - n, len(doc) - 7):
+                at, open_ = [], []
+                for p in range(max(0, -shift), min(n - 7, len(doc) - shift - 7)):
+                    a, b = slice(p, p + 8), slice(p + shift, p + shift + 8)
+                    if ours[b] == (theirs[a] if dense[p] else shape[a]) or (not dense[p] and there[b] == shape[a]):
+                        at.append(p)
+                        open_ += [] if dense[p] else [p]
+                most = dense.count(False)
+                if len(at) >= min(3, len(dense)) or (most and len(open_) >= min(3, most)):
+                    values = {}
+                    for q in range(n):
+                        if many[q] and any(p <= q < p + 8 for p in open_):
+                            values.setdefault(own[q], set()).add(ours[q + shift])
+                    if all(len(v) == 1 for v in values.values()):
+                        return True
+    return False
+
+
+def test_templates_equal_brute_force(spark):
+    """Items and documents with numbers, units and names: consistent and inconsistent copies, parts, twins, short items."""
+    rng = random.Random(21)
+    low = ["the", "farmer", "sells", "for", "at", "market", "and", "buys", "more", "with", "old", "green", "pears", "how", "many", "left"]
+    names, units = ["Tom", "Sara", "Ben", "Lily"], ["km", "hours", "kg"]
+
+    def words(n):
+        out = []
+        for _ in range(n):
+            x = rng.random()
+            out.append(rng.choice(names) if x < 0.15 else str(rng.randrange(2, 7)) if x < 0.3 else f"{rng.randrange(2, 5)} {rng.choice(units)}" if x < 0.35 else rng.choice(low) + rng.choice(["", "", "", ".", ","]))
+        return " ".join(out)
+
+    items = [(i, words(rng.choice([4, 8, 9, 12, 16]))) for i in range(24)]
+    items += [(30 + i, _swap(items[i][1], ("2", "5"), ("Tom", "Ben"))) for i in range(6)]
+    docs = []
+    for d in range(120):
+        x = rng.choice(items)[1]
+        change = rng.sample([("2", "7"), ("3", "8"), ("Tom", "Max"), ("Sara", "Eve"), ("km", "miles"), ("5", "2")], rng.randrange(4))
+        x = _swap(x, *change)
+        if rng.random() < 0.3:  # one place of several
+            x = x.replace(rng.choice(["3", "4", "Ben"]), "9", 1)
+        if rng.random() < 0.2:
+            x = " ".join(x.split()[2:])
+        if rng.random() < 0.2:
+            x = x.lower()
+        docs.append((d, f"{words(rng.randrange(12))} {x if rng.random() < 0.8 else ''} {words(rng.randrange(12))}"))
+    read = {i: _plain_words(t) for i, t in items}
+    seen = {d: _plain_words(t) for d, t in docs}
+    want = {(d, i) for d in seen for i in read if _holds(seen[d], read[i])}
+    got = _find(spark, docs, items)
+    assert len(want) > 60 and len({d for d, _ in want}) < 110
+    assert got <= want and {d for d, _ in got} == {d for d, _ in want}
+    assert all(any(e == d and j <= i for e, j in got) for d, i in want)  # of items that no document tells apart the first is named
+    assert _find(spark, docs, items, broadcast_rows=50) == got

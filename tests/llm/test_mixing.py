@@ -57,3 +57,58 @@ def test_nulls_repeats_and_other_columns(spark):
     assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     with pytest.raises(ValueError):
         mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, size int"), max_sources=2)
+
+
+def _plain_rounding(units, seed, last):
+    """Sequential pivots by the definition: units (id, mass, p) in order of mass and id; {id: copies}, and what is left over."""
+    out, held = {}, None
+    for unit, mass, p in sorted(units, key=lambda u: (u[1], u[0])):
+        if held is None:
+            held = (unit, mass, p)
+            continue
+        a, wa, pa = held
+        up, down = min(wa * (1 - pa), mass * p), min(wa * pa, mass * (1 - p))
+        moved = up if mixing._draw(seed, a, unit) * (up + down) < down else -down
+        pa, p, held = pa + moved / wa, p - moved / mass, None
+        for x, w, q in ((a, wa, pa), (unit, mass, p)):
+            if min(q, 1 - q) < 1e-9:
+                out[x] = round(q)
+            else:
+                held = (x, w, q)
+    if held is not None and last:
+        out[held[0]], held = int(mixing._draw(seed, "last", held[0]) < held[2]), None
+    return out, held
+
+
+@pytest.mark.parametrize("leaf,fan_in", [(4096, 256), (20, 3)])
+def test_copies_equal_plain_pivots_over_the_tree(spark, leaf, fan_in):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"w{i} " * (1 + i * 7 % 23), ["a", "b", None][i % 3]) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    nodes = 1
+    while nodes * leaf < len(rows):
+        nodes *= fan_in
+    unit = F.xxhash64("doc_id", F.lit(False), mixing._text_hash(), "source")
+    units = df.select("doc_id", "source", unit.alias("unit"), F.pmod(F.xxhash64(unit, F.lit(17)), F.lit(nodes)).alias("node")).collect()
+    size = {i: 1 + i * 7 % 23 for i, _, _ in rows}
+    total = {s: sum(size[i] for i, _, x in rows if x == s) for s in ("a", "b", None)}
+    target, copies = mixing.targets(total), {}
+    for s in total:
+        rate = target[s] / total[s]
+        whole = int(rate + 1e-12)
+        groups, level, n = {}, 0, nodes
+        for u in units:
+            if u.source == s and rate - whole > 0:
+                groups.setdefault(u.node, []).append((u.unit, size[u.doc_id], rate - whole))
+        taken = {}
+        while groups:
+            nxt = {}
+            for node, own in groups.items():
+                done, left = _plain_rounding(own, 17 + level, n == 1)
+                taken |= done
+                if left is not None:
+                    nxt.setdefault(node % max(1, n // fan_in), []).append(left)
+            groups, n, level = nxt, max(1, n // fan_in), level + 1
+        copies |= {u.doc_id: whole + taken.get(u.unit, 0) for u in units if u.source == s}
+    assert {r.doc_id: r.copies for r in mixing.mix_sources(df, leaf=leaf, fan_in=fan_in).collect()} == copies
