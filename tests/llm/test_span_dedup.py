@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from vouchlake.llm import span_dedup as sd
-from vouchlake.llm.suffix_array import shares_prefix, sort_suffixes
+from vouchlake.llm import suffix_array
 
 
 def _brute(docs, length=100):
@@ -48,17 +48,54 @@ def test_equals_brute_force(spark, monkeypatch, chunk):
     assert got == _brute(docs)
 
 
-def test_suffixes_are_sorted_to_the_depth():
+def _common(a, b):
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    return k
+
+
+def test_suffixes_are_sorted_to_the_depth_with_their_common_prefixes(monkeypatch):
+    """Also with memory for a few tuples only: queues, text and heaps on disk, and recursion over names."""
     rng = random.Random(1)
-    for trial in range(60):
+    for trial in range(120):
         t = bytes(rng.choice(b"ab" if trial % 2 else b"abcdefgh") for _ in range(rng.randrange(1, 400)))
-        t = (t[:40] * 10)[: len(t)] if trial % 3 == 0 else t
-        text = np.frombuffer(t, np.uint8)
-        order = sort_suffixes(text, 100, memory=rng.choice([16, 1 << 20]))
-        assert sorted(order.tolist()) == list(range(len(t)))
+        t = (t[:40] * 10)[: len(t)] if trial % 3 == 0 else t + b"\xff" + t[:50] + b"\xff" if trial % 7 == 0 else t
+        monkeypatch.setattr(suffix_array, "STEP", rng.choice([5, 64, 1 << 18]))
+        got = list(suffix_array.sort_suffixes(np.frombuffer(t, np.uint8), 100, memory=rng.choice([4, 16, 60, 1 << 20])))
+        order, common = (np.concatenate(x).tolist() for x in zip(*got, strict=True))
+        assert sorted(order) == list(range(len(t)))
         heads = [t[i : i + 100] for i in order]
         assert heads == sorted(heads)
-        assert [bool(x) for x in shares_prefix(text, order, 100)[1:]] == [len(a) == 100 and a == b for a, b in zip(heads[1:], heads[:-1], strict=True)]
+        assert common == [0, *[_common(a, b) for a, b in zip(heads[:-1], heads[1:], strict=True)]]
+
+
+def test_shards_beyond_memory_give_the_same(monkeypatch):
+    rng = random.Random(2)
+    body, rows = b"", []
+    for k in range(60):
+        n = rng.randrange(1, 40)
+        text = "".join(rng.choice("ab") for _ in range(8)) * 20
+        body += text[: n + 99].encode() + sd.END
+        rows.append((k // 3, 200 * (k % 3), min(n, 61)))
+    rows = [(d, lo, len(seg) - 99) for (d, lo, _), seg in zip(rows, body.split(sd.END)[:-1], strict=True)]
+    v = {"doc": np.array([r[0] for r in rows]), "lo": np.array([r[1] for r in rows]), "n": np.array([r[2] for r in rows])}
+    text = np.frombuffer(body, np.uint8)
+    plain = sorted(zip(*map(np.ndarray.tolist, sd.repeated_windows(v, text, 100)), strict=True))
+    spilled = []
+    whole = suffix_array._Queues.read
+    monkeypatch.setattr(suffix_array._Queues, "read", lambda self, part: spilled.append(not isinstance(part[0], np.ndarray)) or whole(self, part))
+    monkeypatch.setattr(sd, "sort_suffixes", lambda t, depth: suffix_array.sort_suffixes(t, depth, memory=100))
+    assert sorted(zip(*map(np.ndarray.tolist, sd.repeated_windows(v, text, 100)), strict=True)) == plain and len(plain) > 100 and any(spilled)
+
+
+def test_a_passage_in_all_documents_is_combined_before_it_meets(spark):
+    """Equal segments of a task go on as one: the largest bucket has no more of them than tasks."""
+    passage = "a line that stands in every one of the documents, with the same words in the same order, again and again"
+    docs = spark.createDataFrame([(i, passage) for i in range(4000)], "doc_id long, text string").repartition(4)
+    blobs = [(r.target, sd._unpack([r.blob], sd._ALL if r.target < 0 else sd._WINDOWS)) for r in sd._scan(docs, 100, 16, 31).collect()]
+    assert sum(len(v["n"]) for t, v in blobs if t < 0) <= 4 * len(passage) and sum(len(v["n"]) for t, v in blobs if t >= 0) >= 3900
+    assert sd.cut_repeats(docs).agg({"n_removed": "sum"}).first()[0] == 3999 * len(passage)
 
 
 def test_nulls_repeats_and_other_columns(spark):

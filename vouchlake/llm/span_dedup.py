@@ -7,8 +7,8 @@ places, so
 1. each run of windows with one anchor is a segment; segments meet by their anchor's hash. An anchor that occurs
    once has no repeated window. Equal segments are one class, and all but its first are repeats as a whole;
 2. the first segments of anchors with several classes are gathered into shards, each a text whose suffixes are
-   sorted by external induced sorting; neighbours with a common prefix of ``length`` bytes are equal windows, and
-   all but the first of them repeat;
+   sorted by external induced sorting, which carries their common prefixes; neighbours with one of ``length`` bytes
+   are equal windows, and all but the first of them repeat;
 3. documents meet what was found in them, and the repeated windows are cut out.
 
 Rows between the steps are packed: arrays of many segments in one binary value, by hash bucket.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import by_runs, checkpointed, numbered_texts, runs, small_batches, table, whole_id
 from .minhash_dedup import _mix
-from .suffix_array import shares_prefix, sort_suffixes
+from .suffix_array import sort_suffixes
 
 LENGTH, GRAM = 100, 32
 #: Bytes that are hashed at once (at most 2**20), anchors that are packed at once, and text bytes of a bucket and of a shard, about.
@@ -270,24 +270,33 @@ def _gather(rows: DataFrame, length: int, shards: int) -> DataFrame:
 def repeated_windows(v: dict[str, np.ndarray], body: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(documents, places) of the windows of a shard's segments that occur earlier in it; ``body`` holds the segments, each ended by END."""
     starts = np.r_[0, np.cumsum(v["n"].astype(np.int64) + length)]
-    order = sort_suffixes(body, length)
-    same = shares_prefix(body, order, length)
-    held = same.copy()
-    held[:-1] |= same[1:]
-    order, same = order[held], same[held]
-    if not len(order):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    group = np.cumsum(~same)
-    segment = np.searchsorted(starts, order, "right") - 1
-    into = order - starts[segment]
-    window = into < v["n"][segment]
-    group, doc, lo = group[window], v["doc"][segment[window]], v["lo"][segment[window]] + into[window]
-    rank = np.lexsort((lo, doc, group))
-    group, doc, lo = group[rank], doc[rank], lo[rank]
-    head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    head = head[np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1]
-    later = (doc != doc[head]) | (lo != lo[head])
-    return doc[later], lo[later]
+    rest, found = np.zeros(0, np.int64), []
+
+    def repeats(order: np.ndarray, same: np.ndarray) -> None:
+        """The later windows of whole groups: runs of suffixes with a common prefix of ``length`` bytes."""
+        held = same.copy()
+        held[:-1] |= same[1:]
+        order, same = order[held], same[held]
+        segment = np.searchsorted(starts, order, "right") - 1
+        into = order - starts[segment]
+        window = into < v["n"][segment]
+        group, doc, lo = np.cumsum(~same)[window], v["doc"][segment[window]], v["lo"][segment[window]] + into[window]
+        rank = np.lexsort((lo, doc, group))
+        group, doc, lo = group[rank], doc[rank], lo[rank]
+        first = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
+        head = np.flatnonzero(first)[np.cumsum(first) - 1]
+        later = (doc != doc[head]) | (lo != lo[head])
+        found.append((doc[later], lo[later]))
+
+    for order, common in sort_suffixes(body, length):
+        order, same = np.r_[rest, order], np.r_[np.zeros(min(len(rest), 1), bool), np.ones(max(len(rest) - 1, 0), bool), common >= length]
+        open_ = int(np.flatnonzero(~same)[-1])  # the last group may go on in the next batch
+        if open_:
+            repeats(order[:open_], same[:open_])
+        rest = order[open_:]
+    if len(rest):
+        repeats(rest, np.r_[False, np.ones(len(rest) - 1, bool)])
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _sort_shards(segments: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -349,8 +358,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _cut(docs: DataFrame, length: int) -> DataFrame:
-    small_batches(docs.sparkSession)
-    windows, buckets = find_repeats(docs, length)
+    with small_batches(docs.sparkSession):
+        windows, buckets = find_repeats(docs, length)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, size = [], 0
