@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,20 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there, so that lost executors cost no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and the master is local (tests) a temporary one is made.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hands Python workers so many rows at a time, where the session has the default of ten thousand: texts can be long."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Jobs that run inside hand Python workers so many rows at a time at most, since texts can be long; the session's own setting holds again behind it."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, str(rows))
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(own)) if int(own) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
 
 
 def whole_id(name: str) -> tuple[Column, Column]:
@@ -42,7 +51,10 @@ def whole_id(name: str) -> tuple[Column, Column]:
 
 def numbered_texts(docs: DataFrame) -> DataFrame | None:
     """For ``docs(doc_id, text)`` in which a doc_id has several texts: ``(doc_id, t, seq)``, a number for each text (hash t) in the order of doc_id and hash. None if no doc_id has; that is one thin aggregation."""
-    names = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"))
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not named.groupBy("doc_id").count().where("count > 1").limit(1).count():  # reads the ids alone
+        return None
+    names = named.select("doc_id", F.xxhash64("text").alias("t"))
     if not names.groupBy("doc_id").agg((F.min("t") != F.max("t")).alias("several")).where("several").limit(1).count():
         return None
     # partitions by range, sorted, and written before they are numbered
@@ -54,6 +66,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Edges of a task of a round of :func:`connected_components`, at least: rounds over few edges take few tasks and files.
+ROUND_ROWS = 100_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(id, component)`` for every node of ``edges(a, b)``: component is the smallest id reachable.
 
@@ -62,14 +78,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     row count and a checksum per round. Nulls and self-loops are ignored; an empty input gives an empty result.
     """
     e = checkpointed(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    seen, parts = None, max(1, -(-e.count() // ROUND_ROWS))
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        e = checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
+        e = checkpointed(small.select("e.u", "e.v").where("u <> v").distinct().coalesce(parts))
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
@@ -80,6 +96,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
+def with_least(rows: DataFrame, by: str, value: str, name: str, salts: int = 32) -> DataFrame:
+    """``rows`` with ``name``: the least ``value`` of the rows that agree in ``by``. Minima are combined before their shuffle; the join deals a group over ``salts`` keys, since one group may hold a third of all rows."""
+    least = rows.groupBy(by).agg(F.min(value).alias(name)).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).join(least, [by, "__salt"]).drop("__salt")
+
+
 def runs(batches, keys: list[str]):
     """Pandas frames of the runs of equal ``keys`` in a sorted stream of batches; only the open run is held. Keys are never null."""
     import numpy as np

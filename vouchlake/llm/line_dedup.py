@@ -3,7 +3,7 @@
 Lines are normalised (lower case, white space collapsed) and equal ones counted as one class. A class has a
 64-bit SimHash of its runs of four letters, of which a small edit moves few. Two hashes that differ in at most 3 bits
 agree in at least 2 of 5 blocks, so the classes meet on every pair of blocks (10 keys of 25 or 26 bits). Pairs that meet
-are linked if their hashes differ in at most 8 bits, a short sketch of their runs of eight letters and their lengths
+are linked if their hashes differ in at most 7 bits, a short sketch of their runs of eight letters and their lengths
 don't tell them apart, and the edit similarity of the normalised lines is high enough. Of each connected group of lines
 the first occurrence (smallest document, then line) stays.
 """
@@ -19,37 +19,35 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_runs, checkpointed, connected_components, numbered_texts, table
+from .common import by_runs, checkpointed, connected_components, numbered_texts, small_batches, table, with_least
 from .minhash_dedup import _forest
 
 SIMILARITY = 0.8
 #: All pairs within so many bits meet in a key; pairs that meet are followed up to REACH bits, and SKETCH of 32 bits of the second hash.
 DISTANCE, BLOCKS = 3, 5
-REACH, SKETCH = 8, 9
+REACH, SKETCH = 7, 8
 #: Letters of a run that counts as one feature of a line: of the SimHash, and of the sketch.
 GRAM, LONG = 4, 8
 #: Lengths of one class differ by less than this share.
 LENGTHS = 0.12
-#: Members of a key that are compared pair by pair in bulk; larger keys are compared in blocks.
+#: Members of a key of which all near pairs are followed; of larger keys those that span them.
 SMALL = 16
 #: So many candidate lines at most are broadcast when their texts are fetched; more are joined by shuffle.
 BROADCAST_LINES = 500_000
 #: Letters of normalised lines that are hashed at once.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normalise(line: str) -> str:
+    """Lower case, white space collapsed. (Of white space only the space is printable.)"""
+    if line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " ":
+        return line.lower()
     return " ".join(line.lower().split())
 
 
-def _spread() -> np.ndarray:
-    """For each byte, its bits in the lowest bits of eight bytes, so that eight counters are added at once."""
-    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
-    return np.ascontiguousarray(bits).view(np.uint64).ravel()
-
-
-_SPREAD = _spread()
+#: The lowest bit of each byte: eight counters that are added at once.
+_ONES = np.uint64(0x0101010101010101)
 
 
 def simhashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +55,7 @@ def simhashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     A bit of the SimHash is the majority of that bit in the hashes of the line's runs of GRAM letters (half of them, chosen
     by their hashes; all, if that is none); on a tie, the bit of the first. A shorter line is one run. The sketch has 32 such
-    bits of the runs of LONG letters, and above them the class of the line's length.
+    bits of the runs of LONG letters that begin with the same, and above them the class of the line's length.
     """
     sim, sketch = np.zeros(len(lines), np.uint64), np.zeros(len(lines), np.int64)
     i = 0
@@ -85,49 +83,47 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def _tally(pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """The majorities of both kinds of runs, packed, for each line that isn't empty; of one line, if it comes in pieces."""
-    parts: list[list] = [[], []]
+    found, whole = [], []
     for k, lines in enumerate(pieces):
         c = np.frombuffer(("\n" * LONG).join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         size = np.array([len(x) for x in lines])
         start = np.r_[0, np.cumsum(size + LONG)[:-1]]
         start, size = start[size > 0], size[size > 0]
+        if k and size[0] < GRAM:  # no run begins in the rest
+            continue
         with np.errstate(over="ignore"):
-            four = ((c[:-3] * _STEP + c[1:-2]) * _STEP + c[2:-1]) * _STEP + c[3:]  # what follows a short line is line ends
-            eight = four[:-4] * _STEP + four[4:]
-        for which, (h, gram, width) in enumerate(((four, GRAM, 8), (eight, LONG, 4))):
-            if k and size[0] < gram:  # no run begins in the rest
-                continue
-            runs = np.minimum(np.maximum(size - gram + 1, 1), CHUNK if len(pieces) > 1 else 1 << 62)
-            inside = np.zeros(len(h) + 1, np.int8)
-            inside[start], inside[start + runs] = 1, -1
-            h = _mixed(h[np.cumsum(inside[:-1], dtype=np.int8).view(bool)])
-            first, keep = np.cumsum(runs) - runs, h >> np.uint64(63) == 0
-            kept = np.add.reduceat(keep, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
-            if len(pieces) == 1:
-                keep |= np.repeat(kept == 0, runs)
-                parts[which].append((*_count(h[keep], np.where(kept == 0, runs, kept), width), np.where(kept == 0, runs, kept)))
-            else:  # whether any run is chosen shows at the end
-                parts[which].append([(*_count(x, np.array([len(x)]), width), np.array([len(x)])) if len(x) else None for x in (h[keep], h)])
-    out = []
-    for found in parts:
-        if len(pieces) > 1:
-            chosen = [f[0] for f in found if f[0] is not None] or [f[1] for f in found]
-            found = [(sum(f[0] for f in chosen), chosen[0][1], sum(f[2] for f in chosen))]
-        votes, tie, runs = found[0]
-        out.append(np.packbits(2 * votes + tie > runs[:, None], axis=1))
-    return tuple(out)
-
-
-def _count(h: np.ndarray, runs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each line, of which ``runs`` rows of ``h`` are (one at least), how many have each of the lowest bits, and those of its first."""
+            four = ((c[:-3] * _STEP + c[1:-2]) * _STEP + c[2:-1]) * _STEP + c[3:]  # what follows a line is line ends
+        runs = np.minimum(np.maximum(size - GRAM + 1, 1), CHUNK if len(pieces) > 1 else 1 << 62)
+        inside = np.zeros(len(four) + 1, np.int8)
+        inside[start], inside[start + runs] = 1, -1
+        at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+        h = _mixed(four[at])
+        first, keep = np.cumsum(runs) - runs, h >> np.uint64(63) == 0
+        kept = np.add.reduceat(keep, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+        if len(pieces) == 1:
+            keep |= np.repeat(kept == 0, runs)
+            found.append(_count(h[keep], four, at[keep], np.where(kept == 0, runs, kept)))
+        else:  # whether any run is chosen shows at the end
+            found += [_count(h[keep], four, at[keep], kept)] if kept[0] else []
+            whole.append(_count(h, four, at, runs))
+    found = found or whole
+    votes, runs = sum(f[0] for f in found), sum(f[1] for f in found)
+    out = np.packbits(2 * votes + found[0][2] > runs[:, None], axis=1)
+    return np.ascontiguousarray(out[:, :8]), np.ascontiguousarray(out[:, 8:])
+
+
+def _count(h: np.ndarray, four: np.ndarray, at: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each line, of which ``runs`` of the rows are (one at least), how many have each of 64 bits of ``h`` and 32 of the long runs' hashes; their number; the bits of its first."""
     if not len(runs):
-        return np.zeros((0, 8 * width), np.int64), np.zeros((0, 8 * width), np.uint8)
+        return np.zeros((0, 96), np.int64), runs, np.zeros((0, 96), np.uint8)
+    with np.errstate(over="ignore"):
+        long = _mixed(four[at] * _STEP + four[np.minimum(at + GRAM, len(four) - 1)])
     first, parts = np.cumsum(runs) - runs, -(-runs // 255)  # counters of one byte: parts of 255 runs at most
     part = np.repeat(first, parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
-    spread = h.view(np.uint8).reshape(-1, 8)
-    votes = np.stack([np.add.reduceat(_SPREAD[spread[:, k]], part) for k in range(width)], axis=1).view(np.uint8)
+    planes = [x >> np.uint64(k) & _ONES for x, n in ((h, 8), (long, 4)) for k in range(n)]
+    votes = np.stack([np.add.reduceat(x, part) for x in planes], axis=1).view(np.uint8)
     whole = np.add.reduceat(votes, np.cumsum(parts) - parts, axis=0, dtype=np.int64) if len(part) > len(runs) else votes.astype(np.int64)
-    return whole, np.unpackbits(np.ascontiguousarray(spread[first, :width]), axis=1)
+    return whole, runs, np.stack([x[first] for x in planes], axis=1).view(np.uint8)
 
 
 def line_features(docs: DataFrame) -> DataFrame:
@@ -197,52 +193,54 @@ def _met(sim: np.ndarray, sketch: np.ndarray, reach: int, classes: int, step: in
     return np.flatnonzero(out)
 
 
-def _spanning(key: int, sim: np.ndarray, sketch: np.ndarray, node: np.ndarray, reach: int, similarity: float, norm: list[str] | None = None) -> list[tuple]:
-    """Rows (a, b, key) that span what the members of a key have near. With ``norm``, the lines, pairs have to be similar enough too."""
+def _spanning(sim: np.ndarray, sketch: np.ndarray, norm: list[str], reach: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that span what the members of a key have near and similar enough."""
     classes = _apart(similarity)
-    some = _met(sim, sketch, reach, classes)
 
     def linked(i: int, others: np.ndarray) -> np.ndarray:
-        x, y = some[i], some[others]
-        hit = _near(sim[x], sketch[x], sim[y], sketch[y], reach, classes)
-        if norm is not None:
-            hit[hit] = [similar(norm[x], norm[j], similarity) for j in y[hit].tolist()]
+        hit = _near(sim[i], sketch[i], sim[others], sketch[others], reach, classes)
+        hit[hit] = [similar(norm[i], norm[j], similarity) for j in others[hit].tolist()]
         return hit
 
-    return [(int(node[some[i]]), int(node[some[j]]), key) for i, j in _forest(linked, len(some))]
+    return _forest(linked, len(sim))
 
 
 def near_links(classes: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE, blocks: int = BLOCKS, reach: int = REACH) -> DataFrame:
-    """``(a, b, key)``: links that span, within each key, all pairs of ``classes(h1, sim, sketch)`` that are near (see :func:`_near`).
+    """``(a, b, key, sim, sketch)``: the pairs of ``classes(h1, sim, sketch)`` that are near (see :func:`_near`) in a key of up to SMALL members (key 0);
+    and of larger keys the members that have another one near, as (a, a, key, ...): all pairs of these would be too many. Their
+    key is a hash of the members, so that a group that meets in several keys is one.
 
     Pairs that differ in at most ``distance`` bits meet in a key for sure; more ``blocks`` make longer keys, with fewer
     chance meetings (for larger corpora). Streams over sorted partitions; keys in which nothing is near, nearly all, are
-    passed over without a loop. A key's links lead away from its smallest member, so that keys repeat each other's.
+    passed over without a loop.
     """
     apart = _apart(similarity)
 
-    def work(k: np.ndarray, s: np.ndarray, t: np.ndarray, n: np.ndarray) -> list[tuple]:
+    names = ["a", "b", "key", "sim", "sketch"]
+
+    def work(k: np.ndarray, s: np.ndarray, t: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         size = np.diff(np.r_[cut, len(k)])
         own, at, out = np.repeat(size, size), np.arange(len(k)) - np.repeat(cut, size), []
-        few, met = np.flatnonzero((own > 1) & (own <= SMALL)), []
+        few = np.flatnonzero((own > 1) & (own <= SMALL))
         for off in range(1, SMALL):  # all pairs of small keys, by how far they are apart
             few = few[at[few] + off < own[few]]
             if not len(few):
                 break
-            met.append(few[_near(s[few], t[few], s[few + off], t[few + off], reach, apart)])
-        two = np.concatenate(met)[own[np.concatenate(met)] == 2] if met else np.zeros(0, int)
-        out += [(x, y, None) for x, y in zip(n[two].tolist(), n[two + 1].tolist(), strict=True)]
-        more = np.unique(np.concatenate([x - at[x] for x in met])) if met else np.zeros(0, int)
-        more = np.union1d(more[size[np.searchsorted(cut, more)] > 2], cut[size > SMALL])
-        for i, m in zip(more.tolist(), size[np.searchsorted(cut, more)].tolist(), strict=True):
-            out += _spanning(int(k[i]), s[i : i + m], t[i : i + m], n[i : i + m], reach, similarity)
-        return out
+            i = few[_near(s[few], t[few], s[few + off], t[few + off], reach, apart)]
+            none = np.zeros(len(i), np.int64)
+            out.append(np.stack([np.minimum(n[i], n[i + off]), np.maximum(n[i], n[i + off]), none, none, none], axis=1))
+        for i, m in zip(cut[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            some = i + _met(s[i : i + m], t[i : i + m], reach, apart)
+            some = some[np.argsort(n[some], kind="stable")]
+            group = np.full(len(some), xxhash.xxh3_64_intdigest(n[some].tobytes()), np.uint64).view(np.int64)
+            out.append(np.stack([n[some], n[some], group, s[some].view(np.int64), t[some]], axis=1))
+        return [x for x in out if len(x)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kinds = {"key": np.int64, "sim": np.uint64, "sketch": np.int64, "node": np.int64}
         rest = [np.zeros(0, x) for x in kinds.values()]
-        frame = lambda rows: pd.DataFrame(rows, columns=["a", "b", "key"]).astype({"a": "int64", "b": "int64", "key": "Int64"})
+        frame = lambda parts: pd.DataFrame(np.concatenate(parts), columns=names)
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -257,7 +255,7 @@ def near_links(classes: DataFrame, similarity: float = SIMILARITY, distance: int
             if got:
                 yield frame(got)
 
-    return _keyed(classes, distance, blocks).repartition("key").sortWithinPartitions("key", "node").mapInPandas(run, "a long, b long, key long")
+    return _keyed(classes, distance, blocks).repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, key long, sim long, sketch long")
 
 
 def _differing(a: str, b: str) -> tuple[str, str]:
@@ -317,7 +315,7 @@ def _bound(x: str, y: str, most: int) -> int:
                 i, j = min(i + step, m), min(j + step, n)
         if i >= m or j >= n:
             break
-        for skip in (1, 2, 3, 5, 8, 12, 18, 27, 40):
+        for skip in (1, 2, 3, 5, 8, 12, 18, 27, 40, 60, 90):
             probe = x[i + skip : i + skip + 8]
             at = y.find(probe, j, j + 2 * skip + 16) if len(probe) == 8 else -1
             if at >= 0:
@@ -338,44 +336,35 @@ def similar(x: str, y: str, similarity: float) -> bool:
 
 def _norms(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``(h1, norm)`` of the classes named."""
-    wanted = checkpointed(nodes.distinct().join(classes.select("h1", "first"), "h1"))
-    texts = _texts(wanted.select("first.*"), docs).select(F.struct("doc_id", "line_no").alias("first"), "norm")
-    return checkpointed(wanted.join(texts, "first").select("h1", "norm"))
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """``pairs(a, b, key)`` with ``ok``: whether the lines are similar enough."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok = [similar(x, y, similarity) for x, y in zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True)]
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "key": pdf["key"].astype("Int64"), "ok": ok})
-
-    pairs = checkpointed(pairs.distinct())
-    texts = _norms(pairs.select(F.explode(F.array("a", "b")).alias("h1")), classes, docs)
-    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("norm").alias("y")), "b")
-    return checkpointed(both.mapInPandas(run, "a long, b long, key long, ok boolean"))
+    wanted = checkpointed(nodes.distinct().join(classes.select("h1", *_of_place(F.col("first"))), "h1"))
+    texts = _texts(wanted.select("doc_id", "line_no"), docs)
+    with small_batches(docs.sparkSession):
+        return checkpointed(wanted.join(texts, ["doc_id", "line_no"]).select("h1", "norm"))
 
 
 def line_links(classes: DataFrame, docs: DataFrame, similarity: float, distance: int, blocks: int, reach: int) -> DataFrame:
     """``(a, b)``: links that connect what all links between ``classes(h1, sim, sketch, first)`` connect.
 
-    A key's spanning links may fail the edit similarity where others would not: the members of such keys meet once
-    more, with their texts. So no pair inside a large group is listed without need, and none is lost.
+    Texts are fetched once, of the classes that have another one near. Pairs of small keys are compared one by one;
+    a larger key's members meet with their texts and give the links that span their groups.
     """
-    done = _verified(near_links(classes, similarity, distance, blocks, reach), classes, docs, similarity)
-    links = done.where("ok").select("a", "b")
-    failed = checkpointed(done.where("not ok and key is not null").select("key").distinct())
-    if not failed.limit(1).count():
-        return links
-    again = checkpointed(_keyed(classes, distance, blocks).join(failed, "key"))
-    norms = _norms(again.select(F.col("node").alias("h1")), classes, docs).withColumnRenamed("h1", "node")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.loc[[similar(x, y, similarity) for x, y in zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True)], ["a", "b"]]
 
     def span(g: pd.DataFrame) -> pd.DataFrame | None:
-        rows = _spanning(int(g["key"].iloc[0]), g["sim"].to_numpy().view(np.uint64), g["sketch"].to_numpy(), g["node"].to_numpy(), reach, similarity, g["norm"].tolist())
-        return pd.DataFrame(rows, columns=["a", "b", "key"]) if rows else None
+        node = g["a"].to_numpy()
+        rows = _spanning(g["sim"].to_numpy().view(np.uint64), g["sketch"].to_numpy(), g["norm"].tolist(), reach, similarity)
+        return pd.DataFrame({"a": node[[i for i, _ in rows]], "b": node[[j for _, j in rows]]}) if rows else None
 
-    return links.unionByName(by_runs(again.join(norms, "node").select("key", "sim", "sketch", "node", "norm"), ["key"], span, "a long, b long, key long").select("a", "b"))
+    found = checkpointed(near_links(classes, similarity, distance, blocks, reach))
+    norms = _norms(found.select(F.explode(F.array("a", "b")).alias("h1")), classes, docs)
+    pairs = found.where("a <> b").select("a", "b").distinct()
+    pairs = pairs.join(norms.select(F.col("h1").alias("a"), F.col("norm").alias("x")), "a").join(norms.select(F.col("h1").alias("b"), F.col("norm").alias("y")), "b")
+    members = found.where("a = b").distinct().join(norms.withColumnRenamed("h1", "a"), "a").select("key", "a", "sim", "sketch", "norm")
+    with small_batches(docs.sparkSession, 500):
+        return checkpointed(pairs.mapInPandas(verify, "a long, b long").unionByName(by_runs(members, ["key"], span, "a long, b long")))
 
 
 def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -402,17 +391,38 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, distance: i
     differ in at most ``reach`` bits, their sketches are near and 1 - edits / longer length is at least ``similarity``. Lines without words are never duplicates; rows
     without doc_id or text have no lines. Rows that repeat a doc_id are one document.
     """
-    lines = checkpointed(line_features(docs))
-    place = F.struct("doc_id", "line_no")
-    classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("sketch").alias("sketch"))
+    lines, root = _lines_and_roots(docs, similarity, distance, blocks, reach)
+    first = _of_place(F.col("root"))
+    return _gone(lines, root).select("doc_id", "line_no", first[0].alias("first_doc"), first[1].cast("int").alias("first_line")).distinct()
+
+
+def _place() -> Column:
+    """Document and line in one number, whose minimum is found by hashing (that of a struct needs a sort)."""
+    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")).cast("decimal(32,0)")
+
+
+def _of_place(place: Column) -> tuple[Column, Column]:
+    line = F.pmod(place, F.lit(1 << 32).cast("decimal(10,0)"))
+    return ((place - line) / F.lit(1 << 32).cast("decimal(10,0)")).cast("long").alias("doc_id"), line.cast("int").alias("line_no")
+
+
+def _gone(lines: DataFrame, settled: DataFrame) -> DataFrame:
+    """The lines that go, with the place of the one that stays; as often as their rows."""
+    return lines.join(settled, ["h1", "h2"]).where(_place() != F.col("root"))
+
+
+def _lines_and_roots(docs: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE, blocks: int = BLOCKS, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
+    """All lines, and ``(h1, h2, root)`` for the classes of which a line goes: the place of the line that stays."""
+    with small_batches(docs.sparkSession):
+        lines = checkpointed(line_features(docs))
+    classes = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes)
     links = line_links(classes, docs, similarity, distance, blocks, reach)
     groups = connected_components(links).join(classes.select(F.col("h1").alias("id"), "first"), "id")
-    roots = groups.groupBy("component").agg(F.min("first").alias("lowest"))
-    groups = groups.join(roots, "component").groupBy("first").agg(F.min("lowest").alias("component"))
+    groups = with_least(groups, "component", "first", "lowest").groupBy("first").agg(F.min("lowest").alias("component"))
     root = F.coalesce("component", "first")
     settled = classes.join(groups, "first", "left").where((F.col("n") > 1) | (root != F.col("first"))).select("h1", "h2", root.alias("root"))
-    return lines.join(settled, ["h1", "h2"]).where(place != F.col("root")).select("doc_id", "line_no", F.col("root.doc_id").alias("first_doc"), F.col("root.line_no").alias("first_line")).distinct()
+    return lines, settled
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", prefix: str = "", **options) -> DataFrame:
@@ -432,10 +442,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", prefix: str = "", **options
 
 
 def _dedup(docs: DataFrame, text: str, prefix: str, options: dict) -> DataFrame:
-    gone = duplicate_lines(docs.select("doc_id", F.col(text).alias("text")), **options)
+    gone = _gone(*_lines_and_roots(docs.select("doc_id", F.col(text).alias("text")), **options))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("line_no", F.lit(64)))
-    words = gone.groupBy("doc_id", F.floor(F.col("line_no") / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("x"), F.count("*").alias("n"))
-    masks = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("__gone"), F.sum("n").alias("__removed")).withColumnRenamed("doc_id", "__doc")
+    words = gone.groupBy("doc_id", F.floor(F.col("line_no") / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("x"))
+    masks = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("__gone"), F.sum(F.bit_count("x")).alias("__removed")).withColumnRenamed("doc_id", "__doc")
     both = docs.join(masks, F.col("doc_id") == F.col("__doc"), "left")
     out = lambda i: F.call_function("shiftright", F.coalesce(F.try_element_at("__gone", F.floor(i / 64).cast("int")), F.lit(0).cast("bigint")), F.pmod(i, F.lit(64))).bitwiseAND(F.lit(1)) == 0
     lines = F.split(F.col(text), "\n", -1)

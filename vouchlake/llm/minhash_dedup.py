@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_runs, checkpointed, connected_components, table, whole_id
+from .common import by_runs, checkpointed, connected_components, table, whole_id, with_least
 
 #: Signature length; trees; the first depth at which nodes are compared, the last at which they branch; the largest node that is compared at once.
 SIGNATURE, TREES, FIRST_DEPTH, LAST_DEPTH, NODE = 64, 10, 3, 12, 2000
@@ -325,8 +325,7 @@ def _near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees
         both = ours.select("cluster", "own", "block", "rep", "blocks", "members").unionByName(theirs.select("cluster", "own", "block", "rep", "blocks", "members"))
         links = links.unionByName(by_runs(both, ["cluster", "own", "block"], lambda g: _link(g, percent, True), "a long, b long, loose boolean").select("a", "b"))
     groups = connected_components(links).withColumnRenamed("id", "rep").join(clusters.select("rep", "doc", "h1", "h2"), "rep")
-    lowest = groups.groupBy("component").agg(F.min("doc").alias("root"))
-    rooted = groups.join(lowest, "component").select("h1", "h2", "root")
+    rooted = with_least(groups, "component", "doc", "root").select("h1", "h2", "root")
     settled = classes.select("h1", "h2", "doc").join(rooted, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("root", "doc").alias("component"), F.lit(False).alias("no_id"))
     out = rows.drop("sig").join(settled, ["h1", "h2", "no_id"], "left")
     own = F.when(~F.col("no_id"), F.col("doc_id"))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_runs, checkpointed, connected_components, table
+from .common import by_runs, checkpointed, connected_components, table, with_least
 from .minhash_dedup import _forest
 
 THRESHOLD = 0.9
@@ -199,7 +199,7 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
     found = checkpointed(found if found is not None else vectors.sparkSession.createDataFrame([], "a long, b long, n long"))
     counts = found.where("b < 0").groupBy("a").agg(F.sum("n").alias("others"))
     groups = connected_components(found.where("b >= 0").select("a", "b")).join(classes.select(F.col("class").alias("id"), "rep"), "id")
-    groups = groups.join(groups.groupBy("component").agg(F.min("rep").alias("root")), "component").select(F.col("id").alias("c"), "root")
+    groups = with_least(groups, "component", "rep", "root").select(F.col("id").alias("c"), "root")
     facts = classes.select("h1", "h2", "class", "rep", "n").join(counts, F.col("class") == F.col("a"), "left").join(groups, F.col("class") == F.col("c"), "left")
     facts = facts.select("h1", "h2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component"), F.lit(True).alias("sound"))
     out = keys.drop("v").join(facts, ["sound", "h1", "h2"], "left")
