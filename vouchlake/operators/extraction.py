@@ -66,12 +66,9 @@ QUANTITY_WORDS = ("数量", "qty")
 
 
 def first_match(text: Column, patterns: tuple[str, ...], dot_all: bool = False) -> Column:
-    """Group 1, cleaned, of the first pattern that matches; empty if none does. Text has to be in NFC."""
-    flags, out = "(?Us)" if dot_all else "(?U)", None
-    for p in patterns:
-        hit, value = text.rlike(flags + p), clean_composed(F.regexp_extract(text, flags + p, 1))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise("")
+    """Group 1, cleaned, of the first pattern that matches; empty if none does. Text has to be in NFC. No group can match empty text, so each pattern is tried once."""
+    flags = "(?Us)" if dot_all else "(?U)"
+    return clean_composed(F.coalesce(*[F.nullif(F.regexp_extract(text, flags + p, 1), F.lit("")) for p in patterns]))
 
 
 def _field(text: Column, name: str) -> Column:
