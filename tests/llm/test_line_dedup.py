@@ -22,7 +22,7 @@ def _brute(docs):
     lines = [x for x in lines if x[2]]
     sims, sketches = ld.simhashes([x[2] for x in lines])
     masks = [sum(((1 << e) - 1) << b for b, e in part) for part in itertools.combinations([(round(12.8 * k), round(12.8 * (k + 1)) - round(12.8 * k)) for k in range(5)], 2)]
-    near = lambda i, j: any((int(sims[i]) ^ int(sims[j])) & m == 0 for m in masks) and _bits(sims[i] ^ sims[j]) <= ld.REACH and _bits((sketches[i] ^ sketches[j]) & 0xFFFFFFFF) <= ld.SKETCH
+    near = lambda i, j: any((int(sims[i]) ^ int(sims[j])) & m == 0 for m in masks) and _bits(sims[i] ^ sims[j]) <= ld.REACH and _bits((sketches[i] ^ sketches[j]) & 0xFFFFFFFF) <= min(ld.SKETCH, ld.BOTH - _bits(sims[i] ^ sims[j]))
     group = list(range(len(lines)))
 
     def root(i):

@@ -23,9 +23,9 @@ from .common import by_runs, checkpointed, connected_components, numbered_texts,
 from .minhash_dedup import _forest
 
 SIMILARITY = 0.8
-#: All pairs within so many bits meet in a key; pairs that meet are followed up to REACH bits, and SKETCH of 32 bits of the second hash.
+#: All pairs within so many bits meet in a key; pairs that meet are followed up to REACH bits, SKETCH of 32 bits of the second hash, and BOTH together.
 DISTANCE, BLOCKS = 3, 5
-REACH, SKETCH = 7, 8
+REACH, SKETCH, BOTH = 7, 8, 12
 #: Letters of a run that counts as one feature of a line: of the SimHash, and of the sketch.
 GRAM, LONG = 4, 8
 #: Lengths of one class differ by less than this share.
@@ -170,8 +170,8 @@ def _keyed(classes: DataFrame, distance: int, blocks: int) -> DataFrame:
 
 def _near(sim: np.ndarray, sketch: np.ndarray, sim2: np.ndarray, sketch2: np.ndarray, reach: int, classes: int) -> np.ndarray:
     """Whether hashes, sketches and lengths let the lines be similar."""
-    low = np.int64(0xFFFFFFFF)
-    return (np.bitwise_count(sim ^ sim2) <= reach) & (np.bitwise_count((sketch ^ sketch2) & low) <= SKETCH) & (np.abs((sketch >> 32) - (sketch2 >> 32)) <= classes)
+    a, b = np.bitwise_count(sim ^ sim2), np.bitwise_count((sketch ^ sketch2) & np.int64(0xFFFFFFFF))
+    return (a <= reach) & (b <= SKETCH) & (a + b <= BOTH) & (np.abs((sketch >> 32) - (sketch2 >> 32)) <= classes)
 
 
 def _apart(similarity: float) -> int:
@@ -286,18 +286,19 @@ def edits(a: str, b: str, most: int | None = None) -> int:
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    full, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
-    up, down = full, 0
-    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
-        same = where.get(c, 0)
-        step = same | down
-        across = (((same & up) + up) ^ up) | same
-        plus, minus = down | ~(across | up) & full, up & across
-        score += 1 if plus & last else -1 if minus & last else 0
-        if score - left > enough:  # each letter that is left saves one at most
+    full, n = (1 << len(a)) - 1, len(b)
+    up, down = full, 0  # where the column of distances rises and falls
+    for done in range(0, n, 32):
+        for c in b[done : done + 32]:
+            same = where.get(c, 0)
+            step = same | down
+            across = (((same & up) + up) ^ up) | same
+            plus = (down | ~(across | up) & full) << 1 | 1
+            up, down = ((up & across) << 1 | ~(step | plus)) & full, plus & step & full
+        now = min(done + 32, n)
+        score = now + up.bit_count() - down.bit_count()
+        if score - (n - now) > enough:  # each letter that is left saves one at most
             return score
-        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
-        up, down = minus | ~(step | plus) & full, plus & step
     return score
 
 
@@ -334,15 +335,15 @@ def similar(x: str, y: str, similarity: float) -> bool:
     return abs(len(x) - len(y)) <= most and (_bound(x, y, most) <= most or edits(x, y, most) <= most)
 
 
-def _norms(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _norms(nodes: DataFrame, classes: DataFrame, docs: DataFrame, places: _Places) -> DataFrame:
     """``(h1, norm)`` of the classes named."""
-    wanted = checkpointed(nodes.distinct().join(classes.select("h1", *_of_place(F.col("first"))), "h1"))
+    wanted = checkpointed(nodes.distinct().join(classes.select("h1", *places.back(F.col("first"))), "h1"))
     texts = _texts(wanted.select("doc_id", "line_no"), docs)
     with small_batches(docs.sparkSession):
         return checkpointed(wanted.join(texts, ["doc_id", "line_no"]).select("h1", "norm"))
 
 
-def line_links(classes: DataFrame, docs: DataFrame, similarity: float, distance: int, blocks: int, reach: int) -> DataFrame:
+def line_links(classes: DataFrame, docs: DataFrame, places: _Places, similarity: float, distance: int, blocks: int, reach: int) -> DataFrame:
     """``(a, b)``: links that connect what all links between ``classes(h1, sim, sketch, first)`` connect.
 
     Texts are fetched once, of the classes that have another one near. Pairs of small keys are compared one by one;
@@ -359,11 +360,11 @@ def line_links(classes: DataFrame, docs: DataFrame, similarity: float, distance:
         return pd.DataFrame({"a": node[[i for i, _ in rows]], "b": node[[j for _, j in rows]]}) if rows else None
 
     found = checkpointed(near_links(classes, similarity, distance, blocks, reach))
-    norms = _norms(found.select(F.explode(F.array("a", "b")).alias("h1")), classes, docs)
+    norms = _norms(found.select(F.explode(F.array("a", "b")).alias("h1")), classes, docs, places)
     pairs = found.where("a <> b").select("a", "b").distinct()
     pairs = pairs.join(norms.select(F.col("h1").alias("a"), F.col("norm").alias("x")), "a").join(norms.select(F.col("h1").alias("b"), F.col("norm").alias("y")), "b")
     members = found.where("a = b").distinct().join(norms.withColumnRenamed("h1", "a"), "a").select("key", "a", "sim", "sketch", "norm")
-    with small_batches(docs.sparkSession, 500):
+    with small_batches(docs.sparkSession):
         return checkpointed(pairs.mapInPandas(verify, "a long, b long").unionByName(by_runs(members, ["key"], span, "a long, b long")))
 
 
@@ -391,38 +392,49 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, distance: i
     differ in at most ``reach`` bits, their sketches are near and 1 - edits / longer length is at least ``similarity``. Lines without words are never duplicates; rows
     without doc_id or text have no lines. Rows that repeat a doc_id are one document.
     """
-    lines, root = _lines_and_roots(docs, similarity, distance, blocks, reach)
-    first = _of_place(F.col("root"))
-    return _gone(lines, root).select("doc_id", "line_no", first[0].alias("first_doc"), first[1].cast("int").alias("first_line")).distinct()
+    lines, roots, places = _lines_and_roots(docs, similarity, distance, blocks, reach)
+    first = places.back(F.col("root"))
+    return _gone(lines, roots, places).select("doc_id", "line_no", first[0].alias("first_doc"), first[1].cast("int").alias("first_line")).distinct()
+
 
+class _Places:
+    """Document and line in one number, whose minimum is found by hashing (that of a struct needs a sort): a long where all ids and lines fit, else a decimal."""
 
-def _place() -> Column:
-    """Document and line in one number, whose minimum is found by hashing (that of a struct needs a sort)."""
-    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")).cast("decimal(32,0)")
+    def __init__(self, lines: DataFrame):
+        r = lines.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("line_no").alias("line")).first()
+        self.bits = max(1, (r.line or 0).bit_length())
+        self.long = (r.low or 0) >= 0 and (r.high or 0) < 1 << 62 - self.bits
 
+    def of(self, doc: Column, line: Column) -> Column:
+        if self.long:
+            return F.call_function("shiftleft", doc, F.lit(self.bits)).bitwiseOR(line.cast("long"))
+        return (doc.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + line.cast("decimal(10,0)")).cast("decimal(32,0)")
 
-def _of_place(place: Column) -> tuple[Column, Column]:
-    line = F.pmod(place, F.lit(1 << 32).cast("decimal(10,0)"))
-    return ((place - line) / F.lit(1 << 32).cast("decimal(10,0)")).cast("long").alias("doc_id"), line.cast("int").alias("line_no")
+    def back(self, place: Column) -> tuple[Column, Column]:
+        if self.long:
+            return F.call_function("shiftright", place, F.lit(self.bits)).alias("doc_id"), place.bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int").alias("line_no")
+        line = F.pmod(place, F.lit(1 << 32).cast("decimal(10,0)"))
+        return ((place - line) / F.lit(1 << 32).cast("decimal(10,0)")).cast("long").alias("doc_id"), line.cast("int").alias("line_no")
 
 
-def _gone(lines: DataFrame, settled: DataFrame) -> DataFrame:
+def _gone(lines: DataFrame, roots: DataFrame, places: _Places) -> DataFrame:
     """The lines that go, with the place of the one that stays; as often as their rows."""
-    return lines.join(settled, ["h1", "h2"]).where(_place() != F.col("root"))
+    return lines.join(roots, ["h1", "h2"]).where(places.of(F.col("doc_id"), F.col("line_no")) != F.col("root"))
 
 
-def _lines_and_roots(docs: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE, blocks: int = BLOCKS, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
-    """All lines, and ``(h1, h2, root)`` for the classes of which a line goes: the place of the line that stays."""
+def _lines_and_roots(docs: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE, blocks: int = BLOCKS, reach: int = REACH) -> tuple[DataFrame, DataFrame, _Places]:
+    """All lines; ``(h1, h2, root)`` for the classes of which a line goes: the place of the line that stays; how places are written."""
     with small_batches(docs.sparkSession):
         lines = checkpointed(line_features(docs))
-    classes = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("sketch").alias("sketch"))
+    places = _Places(lines)
+    classes = lines.groupBy("h1", "h2").agg(F.min(places.of(F.col("doc_id"), F.col("line_no"))).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes)
-    links = line_links(classes, docs, similarity, distance, blocks, reach)
+    links = line_links(classes, docs, places, similarity, distance, blocks, reach)
     groups = connected_components(links).join(classes.select(F.col("h1").alias("id"), "first"), "id")
     groups = with_least(groups, "component", "first", "lowest").groupBy("first").agg(F.min("lowest").alias("component"))
     root = F.coalesce("component", "first")
     settled = classes.join(groups, "first", "left").where((F.col("n") > 1) | (root != F.col("first"))).select("h1", "h2", root.alias("root"))
-    return lines, settled
+    return lines, settled, places
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", prefix: str = "", **options) -> DataFrame:
