@@ -62,6 +62,7 @@ def test_suffixes_are_sorted_to_the_depth_with_their_common_prefixes(monkeypatch
         t = bytes(rng.choice(b"ab" if trial % 2 else b"abcdefgh") for _ in range(rng.randrange(1, 400)))
         t = (t[:40] * 10)[: len(t)] if trial % 3 == 0 else t + b"\xff" + t[:50] + b"\xff" if trial % 7 == 0 else t
         monkeypatch.setattr(suffix_array, "STEP", rng.choice([5, 64, 1 << 18]))
+        monkeypatch.setattr(suffix_array, "FEW", rng.choice([0, 3, 12]))
         got = list(suffix_array.sort_suffixes(np.frombuffer(t, np.uint8), 100, memory=rng.choice([4, 16, 60, 1 << 20])))
         order, common = (np.concatenate(x).tolist() for x in zip(*got, strict=True))
         assert sorted(order) == list(range(len(t)))

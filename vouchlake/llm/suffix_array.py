@@ -20,7 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Tuples that are worked on at once, and that queues, text and names keep in memory each.
-STEP, MEMORY = 1 << 18, 1 << 20
+STEP, MEMORY = 1 << 18, 1 << 21
+#: Tuples of a batch that are taken one by one.
+FEW = 12
 
 
 def _scratch():
@@ -164,6 +166,14 @@ class _Carry:
     def __init__(self, depth: int):
         self.depth, self.since = depth, np.full(256, -1)  # -1: the bucket is empty
 
+    def one(self, common: int, bucket: int | None) -> int:
+        """As :meth:`take`, for one tuple that is scanned, and the bucket of what it induces, if it does."""
+        np.minimum(self.since, common, out=self.since)  # an empty bucket's -1 stays
+        if bucket is None:
+            return 0
+        before, self.since[bucket] = int(self.since[bucket]), self.depth
+        return 0 if before < 0 else min(before + 1, self.depth)
+
     def take(self, common: np.ndarray, at: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """For a batch of scanned tuples, of which those ``at`` induce one in ``bucket``: the common prefixes of these."""
         rows, k = [common], 1
@@ -190,7 +200,7 @@ class _Carry:
         from_start = least(np.zeros(len(head), np.int64), place[head])
         new[head] = np.where(self.since[own[head]] < 0, 0, np.minimum(self.since[own[head]], from_start) + 1)
         whole = int(common.min())
-        self.since = np.where(self.since < 0, -1, np.minimum(self.since, whole))
+        np.minimum(self.since, whole, out=self.since)
         last = np.r_[head[1:] - 1, len(own) - 1] if len(head) else head
         behind = place[last] + 1 < len(common)
         self.since[own[last]] = self.depth
@@ -212,6 +222,14 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, memory: int,
     one = lambda a, b: _common(text, np.array([a]), np.array([b]), depth)[0] if carry and a is not None else np.uint8(0)
 
     def pull(p: np.ndarray, c: np.ndarray, queue: _Queues, kind: bool, carried: _Carry) -> None:
+        if len(p) <= FEW:  # runs of one byte come in many small batches
+            for place, lcp in zip(p.tolist(), c.tolist(), strict=True):
+                fits = place > 0 and small[place - 1] == kind
+                byte = int(text[place - 1]) if fits else None
+                new = carried.one(lcp, byte) if carry else 0
+                if fits:
+                    queue.push(byte, np.array([place - 1]), np.array([new], np.uint8))
+            return
         at = np.flatnonzero(p > 0)
         q = p[at] - 1
         fits = small[q] == kind
