@@ -87,9 +87,9 @@ def classified(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None)
 
 def assigned(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     rows = sample(spark, sf_dir) if rows is None else rows
-    g, d = groups(spark, sf_dir, rows), classified(spark, sf_dir, rows)
-    bridge = match_documents(documents(spark, sf_dir, rows).select("file_name"), g.select("delivery_no"))
-    return assign_first(g, bridge, d.drop("full_text"))
+    # groups and the documents' fields are written once: matching reads them several times
+    g, d = materialized(groups(spark, sf_dir, rows)), materialized(classified(spark, sf_dir, rows).drop("full_text"))
+    return assign_first(g, match_documents(d.select("file_name"), g.select("delivery_no")), d)
 
 
 def verified(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date, parse_short_date
 from ..operators import extraction, grouping, layout, matching, report
 from ..sources.files import list_files
-from ..tables import read_table
+from ..tables import materialized, read_table
 from . import demo, oracle
 
 KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -73,13 +73,13 @@ def contract_fields(s, d):
 
 def match_suffix(s, d):
     rows = demo.sample(s, d)
-    f, g = demo.documents(s, d, rows).select("file_name"), demo.groups(s, d, rows).select("delivery_no")
+    f, g = demo.documents(s, d, rows).select("file_name"), materialized(demo.groups(s, d, rows).select("delivery_no"))
     return matching.match_suffix(f, g, matching.match_direct(f, g))
 
 
 def match_direct(s, d):
     rows = demo.sample(s, d)
-    return matching.match_direct(demo.documents(s, d, rows).select("file_name"), demo.groups(s, d, rows))
+    return matching.match_direct(demo.documents(s, d, rows).select("file_name"), materialized(demo.groups(s, d, rows).select("delivery_no")))
 
 
 def assign_first_doc(s, d):
