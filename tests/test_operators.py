@@ -2,6 +2,7 @@
 
 import io
 import random
+import time
 import zipfile
 
 from pyspark.sql import functions as F
@@ -110,6 +111,19 @@ def test_headers_and_columns(spark):
     assert got.h == ["a", "Column", "a_1", "Column_1", "a_2"] and got.c == [0.0, 30.0, 60.0] and got.r == ["x", "", ""] and got.n is None and got.t == 0
 
 
+def test_headers_of_a_very_wide_table(spark):
+    n, began = 100_000, time.time()
+    heads = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("h"), (i % 3).cast("string"))))
+    got = spark.range(1).select(layout.unique_headers(heads).alias("h")).first().h
+    seen: dict[str, int] = {}
+    for i, h in enumerate(got, 1):
+        name = "Column" if i % 4 == 0 else f"h{i % 3}"
+        assert h == (f"{name}_{seen[name]}" if name in seen else name)
+        seen[name] = seen.get(name, 0) + 1
+    assert len(got) == n and time.time() - began < 60  # comparing each with all before it takes minutes
+    assert spark.range(1).select(layout.unique_headers(F.array().cast("array<string>")).alias("h")).first().h == []
+
+
 def test_ocr(spark):
     words = [("p", i, t, c) for i, (t, c) in enumerate([("a", 90.0), ("b", 0.0), ("c", 70.0), ("", -1.0), ("", -1.0), ("d", 40.0)])]
     df = spark.createDataFrame(words, "page string, seq int, text string, conf double")

@@ -93,10 +93,20 @@ def positional_tables(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def unique_headers(headers: Column) -> Column:
-    """Blank headers become ``Column``; the n-th repetition of a name gets ``_n``."""
+    """Blank headers become ``Column``; the n-th repetition of a name gets ``_n``.
+
+    Names are sorted with their places, so that equal ones are neighbours and a run's places count up: n log n in a
+    table's width.
+    """
     named = F.transform(headers, lambda h: F.when(F.coalesce(strip(h), F.lit("")) == "", "Column").otherwise(strip(h)))
-    number = lambda a: F.transform(a, lambda h, i: let(F.size(F.filter(F.slice(a, 1, i + 1), lambda x: x == h)) - 1, lambda n: F.when(n > 0, F.concat(h, F.lit("_"), n.cast("string"))).otherwise(h)))
-    return let(named, number)
+    placed = F.sort_array(F.transform(named, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def numbered(s: Column) -> Column:
+        begins = F.filter(F.transform(s, lambda x, j: j), lambda j: (j == 0) | (F.element_at(s, F.greatest(j, F.lit(1)))["h"] != F.element_at(s, j + 1)["h"]))
+        return let(begins, lambda b: F.flatten(F.transform(b, lambda j, r: run(F.slice(s, j + 1, F.coalesce(F.try_element_at(b, r + 2), F.size(s)) - j)))))
+
+    run = lambda same: F.transform(same, lambda x, n: F.struct(x["i"].alias("i"), F.when(n > 0, F.concat(x["h"], F.lit("_"), n.cast("string"))).otherwise(x["h"]).alias("h")))
+    return F.transform(F.sort_array(let(placed, numbered)), lambda x: x["h"])
 
 
 def fit_row(row: Column, width: Column) -> Column:
