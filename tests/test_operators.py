@@ -57,6 +57,37 @@ def test_first_document_of_each_type(spark):
     assert out["K"].contract.file_name == "b.pdf" and out["K"].receipt is None and out["L"].receipt.doc_seq == 5 and out["M"].contract is None
 
 
+def _choices(assigned):
+    return _rows(assigned.select("delivery_no", *[F.col(f"{t}.doc_seq").alias(t) for t in matching.TYPES]))
+
+
+def test_documents_are_assigned_as_over_the_bridge(spark):
+    rng = random.Random(2)
+    keys = ["".join(rng.choice("ZB01 ") for _ in range(rng.randrange(0, 8))) for _ in range(80)] + ["ZB1000123", "ZB2000123", "q" * 20, "𠀀b1", "zb1000123"]
+    names = ["".join(rng.choice("zb01 _") for _ in range(rng.randrange(3, 16))) for _ in range(120)] + ["x000123", "x_ZB2000123", "y" + "q" * 20, "?b1", "𠀀b1.pdf"]
+    g = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "delivery_no string, n long")
+    docs = spark.createDataFrame([(n, rng.choice((*matching.TYPES, "unknown")), i) for i, n in enumerate(names)], "file_name string, doc_type string, doc_seq long")
+    assert _choices(matching.assign_documents(g, docs)) == _choices(matching.assign_first(g, matching.match_documents(docs.select("file_name"), g), docs))
+    assert _choices(matching.assign_documents(g.where("n < 0"), docs)) == [] and len(_choices(matching.assign_documents(g, docs.limit(0)))) == len(keys)
+
+
+def test_common_suffixes_do_not_multiply(spark):
+    """30,000 numbers and 3,000 files with the same last six characters: 90 million pairs, which no assignment needs."""
+    g = spark.range(30_000).select(F.concat(F.lpad(F.col("id").cast("string"), 6, "0"), F.lit("777777")).alias("delivery_no"))
+    docs = spark.range(3_000).select(F.concat(F.lit("合同_777777_"), F.col("id").cast("string")).alias("file_name"), F.lit("contract").alias("doc_type"), (F.col("id") + 5).alias("doc_seq"))
+    began = time.time()
+    assert [tuple(r) for r in matching.assign_documents(g, docs).groupBy("contract.doc_seq").count().collect()] == [(5, 30_000)]
+    assert time.time() - began < 40
+
+
+def test_only_pieces_that_look_like_a_number_meet_numbers(spark):
+    g = spark.createDataFrame([("ZB000000001",), ("ZB123456789",)], "delivery_no string")
+    patterns, whole = matching._places(g.select(F.col("delivery_no").alias("anchor")))
+    pieces = spark.createDataFrame([("回签联_ZB123456782.PDF",)], "n string").select(F.regexp_extract_all("n", F.lit(patterns[0]), F.lit(1)).alias("p")).first().p
+    assert whole and pieces == []  # no number ends in 2
+    assert matching.match_direct(spark.createDataFrame([("回签联_ZB123456789.PDF",)], "file_name string"), g).count() == 1
+
+
 def test_types(spark):
     names = ["合同.pdf", "销售出库单.pdf", "送货单1.PDF", "授权.pdf", "对账单.pdf", "x.pdf"]
     df = spark.createDataFrame([(n,) for n in names], "n string")

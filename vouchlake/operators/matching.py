@@ -6,36 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
-from ..tables import materialized
+from ..tables import materialized, stored
 
 TYPES = ("contract", "receipt", "reconciliation", "authorization")
 #: Keys meet names by their last so many characters (all, if they have fewer); the whole key is compared then.
 ANCHOR = 16
+#: So many characters are written out for a place of a key.
+CLASS = 256
 
 
 def normal_name(name: Column) -> Column:
     return F.upper(F.replace(name, F.lit(" ")))
 
 
+def _places(keys: DataFrame) -> tuple[list[str], bool]:
+    """Patterns of the places where one of ``keys(anchor)`` may stand, one for each length: a class of characters for each of its characters; and whether a piece that equals an anchor settles the match (no anchor is cut, no class is open).
+
+    At most ANCHOR lengths of ANCHOR characters come to the driver; where a character has more than CLASS values any will do.
+    """
+    sets = keys.groupBy(F.length("anchor").alias("n")).agg(*[F.collect_set(F.substring("anchor", i, 1)).alias(f"c{i}") for i in range(1, ANCHOR + 1)]).collect()
+    classes = [[r[f"c{i}"] for i in range(1, r["n"] + 1)] for r in sorted(sets, key=lambda r: r["n"])]
+    one = lambda c: "[" + "".join(f"\\x{{{ord(x):x}}}" for x in sorted(c)) + "]" if len(c) <= CLASS else r"[\s\S]"
+    whole = all(len(cs) < ANCHOR and all(len(c) <= CLASS for c in cs) for cs in classes)
+    return ["(?=(" + "".join(map(one, cs)) + "))" for cs in classes], whole
+
+
 def _contains_join(files: DataFrame, keys: DataFrame) -> DataFrame:
-    """``files(file, hay)`` with the ``keys(delivery_no, needle)`` that they contain: an equi-join on the keys' last characters, of ANCHOR lengths at most, and a comparison of the whole key where it is longer."""
+    """``files(file, hay)``, each once, with the ``keys(needle, ...)`` that they contain: an equi-join on the keys' last characters, of ANCHOR lengths at most, and a comparison of the whole key where it is longer.
+
+    Of a name only those pieces meet keys that have a character of some key at each place.
+    """
     keys = keys.where("needle <> ''").withColumn("anchor", F.right("needle", F.lit(ANCHOR)))
-    lengths = sorted(r[0] for r in keys.select(F.length("anchor")).distinct().collect())  # ANCHOR rows at most
-    if not lengths:
-        return files.select("file", F.lit("").alias("delivery_no")).limit(0)
-    whole = lengths[-1] < ANCHOR  # then the names are left behind before they meet
-    sized = files.select("file", "hay", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.length("hay") >= F.col("n"))
-    placed = sized.select("file", "hay", "n", F.explode(F.sequence(F.lit(1), F.length("hay") - F.col("n") + 1)).alias("at"))
-    pieces = placed.select("file", *([] if whole else ["hay"]), F.substring(F.col("hay"), F.col("at"), F.col("n")).alias("anchor"))
+    patterns, whole = _places(keys)  # if whole, the names are left behind before they meet
+    rest = [c for c in keys.columns if c != "anchor"]
+    if not patterns:
+        return files.select("file").crossJoin(keys.select(*rest)).limit(0)
+    pieces = files.select("file", *([] if whole else ["hay"]), F.explode(F.array_distinct(F.concat(*[F.regexp_extract_all("hay", F.lit(p), F.lit(1)) for p in patterns]))).alias("anchor"))
     met = pieces.join(keys, "anchor")
-    return (met if whole else met.where(F.contains("hay", F.col("needle")))).select("file", "delivery_no").distinct()
+    return (met if whole else met.where(F.contains("hay", F.col("needle")))).select("file", *rest)
 
 
 def match_direct(files: DataFrame, groups: DataFrame) -> DataFrame:
     """``(file_name, delivery_no)``: names that contain the delivery number, in any case and without spaces."""
     hay = files.select(F.col("file_name").alias("file"), normal_name(F.col("file_name")).alias("hay")).distinct()
     keys = groups.select("delivery_no", normal_name(F.col("delivery_no")).alias("needle")).distinct()
-    return _contains_join(hay, keys).withColumnRenamed("file", "file_name")
+    return _contains_join(hay, keys).select(F.col("file").alias("file_name"), "delivery_no")
 
 
 def match_direct_theta(files: DataFrame, groups: DataFrame) -> DataFrame:
@@ -49,7 +64,7 @@ def match_suffix(files: DataFrame, groups: DataFrame, direct: DataFrame) -> Data
     rest = files.select("file_name").distinct().join(direct.select("file_name").distinct(), "file_name", "left_anti")
     hay = rest.select(F.col("file_name").alias("file"), F.col("file_name").alias("hay"))
     keys = groups.where(F.length("delivery_no") > 4).select("delivery_no", F.right("delivery_no", F.lit(6)).alias("needle")).distinct()
-    return _contains_join(hay, keys).withColumnRenamed("file", "file_name")
+    return _contains_join(hay, keys).select(F.col("file").alias("file_name"), "delivery_no")
 
 
 def match_documents(files: DataFrame, groups: DataFrame, longest_only: bool = False) -> DataFrame:
@@ -89,6 +104,28 @@ def assign_first(groups: DataFrame, bridge: DataFrame, documents: DataFrame) ->
     return groups.join(found, "delivery_no", "left")
 
 
+def assign_documents(groups: DataFrame, documents: DataFrame) -> DataFrame:
+    """What :func:`assign_first` gives over :func:`match_documents`, without the pairs of files and groups.
+
+    Six last characters may be those of very many numbers, and a file that has them belongs to each. So documents meet
+    the distinct needles, of which each keeps its earliest document of a type, and groups look up their two needles.
+    """
+    numbers = stored(groups.select("delivery_no").distinct())
+    tails, names = F.right("delivery_no", F.lit(6)), documents.select(F.col("file_name").alias("file")).distinct()
+    whole = numbers.select(normal_name(F.col("delivery_no")).alias("needle")).distinct()
+    ends = numbers.where(F.length("delivery_no") > 4).select(tails.alias("needle")).distinct()
+    direct = stored(_contains_join(names.withColumn("hay", normal_name(F.col("file"))), whole))
+    rest = names.join(direct.select("file").distinct(), "file", "left_anti").withColumn("hay", F.col("file"))
+    held = documents.where(F.col("doc_type").isin(*TYPES)).select(F.col("file_name").alias("file"), F.struct(*documents.columns).alias("d"))
+    mine = lambda t: F.col("d.doc_type") == t
+    picks = [F.min_by(F.when(mine(t), F.col("d")), F.when(mine(t), F.col("d.doc_seq"))).alias(t) for t in TYPES]
+    found = lambda pairs, name: pairs.join(held, "file").groupBy("needle").agg(*picks).select(F.col("needle").alias(f"__{name}_key"), *[F.col(t).alias(f"__{name}_{t}") for t in TYPES])
+    keyed = groups.withColumns({"__direct_key": normal_name(F.col("delivery_no")), "__suffix_key": F.when(F.length("delivery_no") > 4, tails)})
+    both = keyed.join(found(direct, "direct"), "__direct_key", "left").join(found(_contains_join(rest, ends), "suffix"), "__suffix_key", "left")
+    first = lambda t: F.when(F.coalesce(F.col(f"__suffix_{t}.doc_seq") < F.col(f"__direct_{t}.doc_seq"), F.col(f"__direct_{t}").isNull()), F.col(f"__suffix_{t}")).otherwise(F.col(f"__direct_{t}"))
+    return both.select("delivery_no", *[c for c in groups.columns if c != "delivery_no"], *[first(t).alias(t) for t in TYPES])
+
+
 def match_status(assigned: DataFrame) -> DataFrame:
     """``(delivery_no, files, status)`` as the match list shows them."""
     labels = dict(CONFIG.type_labels)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..operators.checks import verify
 from ..operators.extraction import classify_documents
 from ..operators.grouping import delivery_groups
-from ..operators.matching import assign_first, match_documents
-from ..tables import materialized, read_table
+from ..operators.matching import assign_documents
+from ..tables import read_table, stored
 
 DATE_LAYOUTS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd", "yyyy年M月d日")
 PEOPLE = ("张三", "李四", "王五", "赵六")
@@ -51,7 +51,7 @@ def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sheet's rows, joined once for groups, documents and results."""
-    return materialized(sales_rows(spark, sf_dir))
+    return stored(sales_rows(spark, sf_dir))
 
 
 def groups(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
@@ -88,8 +88,8 @@ def classified(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None)
 def assigned(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     rows = sample(spark, sf_dir) if rows is None else rows
     # groups and the documents' fields are written once: matching reads them several times
-    g, d = materialized(groups(spark, sf_dir, rows)), materialized(classified(spark, sf_dir, rows).drop("full_text"))
-    return assign_first(g, match_documents(d.select("file_name"), g.select("delivery_no")), d)
+    g, d = stored(groups(spark, sf_dir, rows)), stored(classified(spark, sf_dir, rows).drop("full_text"))
+    return assign_documents(g, d)
 
 
 def verified(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
