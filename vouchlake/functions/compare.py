@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .amounts import parse_amount
@@ -24,21 +24,33 @@ def safe_decimal_compare(a: Column, b: Column, tolerance) -> Column:
     return F.abs(a - b) <= F.lit(tolerance)
 
 
+def _parsed(text: Column) -> Column:
+    return parse_amount(text, 4).cast("decimal(20,4)")
+
+
+def _amounts(a: Column, e: Column, extracted: Column, expected: Column, tolerance: Decimal, tolerance_pct: Decimal) -> Column:
+    """The result for both amounts, field by field, so that a plan computes only those that are used."""
+    gap = F.abs(a - e)
+    share = F.when(e == 0, F.lit(0.0)).otherwise(gap.cast("double") / F.abs(e).cast("double") * 100)
+    matches = (gap <= F.lit(tolerance)) | ((e != 0) & (gap <= F.lit(tolerance_pct) * F.abs(e)))
+    notes = F.concat(F.lit("Abs diff: "), render_decimal(gap), F.lit(", Pct diff: "), F.format_string("%.2f", share), F.lit("%"))
+    known = lambda unread, unknown, right: F.when(a.isNull(), unread).when(e.isNull(), unknown).otherwise(right)
+    return _result(
+        known(False, False, matches), known(0.0, 0.0, F.when(matches, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - share / 100))), known(extracted, render_decimal(a), render_decimal(a)), known(expected, expected, render_decimal(e)),
+        known("N/A - cannot parse extracted amount", "N/A - cannot parse expected amount", render_decimal(a - e)), known("Failed to parse extracted amount as a number", "Failed to parse expected amount as a number", notes),
+    )
+
+
 def compare_amounts(extracted: Column, expected: Column, tolerance: Decimal = Decimal("0.01"), tolerance_pct: Decimal = Decimal("0.01")) -> Column:
     """Equal within an absolute tolerance or a share of the expected amount (only the first, if that is 0)."""
+    return let(F.struct(_parsed(extracted).alias("a"), _parsed(expected).alias("e")), lambda p: _amounts(p["a"], p["e"], extracted, expected, tolerance, tolerance_pct))
 
-    def both(p: Column) -> Column:
-        a, e = p["a"], p["e"]
-        gap = F.abs(a - e)
-        share = F.when(e == 0, F.lit(0.0)).otherwise(gap.cast("double") / F.abs(e).cast("double") * 100)
-        matches = (gap <= F.lit(tolerance)) | ((e != 0) & (gap <= F.lit(tolerance_pct) * F.abs(e)))
-        notes = F.concat(F.lit("Abs diff: "), render_decimal(gap), F.lit(", Pct diff: "), F.format_string("%.2f", share), F.lit("%"))
-        right = _result(matches, F.when(matches, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - share / 100)), render_decimal(a), render_decimal(e), render_decimal(a - e), notes)
-        unread = _result(False, 0.0, extracted, expected, "N/A - cannot parse extracted amount", "Failed to parse extracted amount as a number")
-        unknown = _result(False, 0.0, render_decimal(a), expected, "N/A - cannot parse expected amount", "Failed to parse expected amount as a number")
-        return F.when(a.isNull(), unread).when(e.isNull(), unknown).otherwise(right)
-
-    return let(F.struct(parse_amount(extracted, 4).cast("decimal(20,4)").alias("a"), parse_amount(expected, 4).cast("decimal(20,4)").alias("e")), both)
+
+def with_amounts_compared(df: DataFrame, extracted: Column, expected: Column, name: str, tolerance: Decimal = Decimal("0.01"), tolerance_pct: Decimal = Decimal("0.01")) -> DataFrame:
+    """``df`` with the result of :func:`compare_amounts` as ``name``: both texts are parsed in a step of their own, and only the fields that are read are computed."""
+    texts = df.withColumns({"__x": extracted, "__y": expected})
+    parsed = texts.withColumns({"__a": _parsed(F.col("__x")), "__e": _parsed(F.col("__y"))})
+    return parsed.withColumn(name, _amounts(F.col("__a"), F.col("__e"), F.col("__x"), F.col("__y"), tolerance, tolerance_pct)).drop("__x", "__y", "__a", "__e")
 
 
 def compare_dates(extracted: Column, expected: Column, tolerance_days: int = 3) -> Column:
