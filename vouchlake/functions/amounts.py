@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .text import let, normalize_fullwidth, strip
 
+#: Digits with at most one point, behind a currency or before one character of it.
+PLAIN = r"^(?:[$¥￥]|(?:CNY|RMB|USD) ?)?([0-9]+(?:\.[0-9]+)?)元?\z"
+
 
 def parse_amount(text: Column, scale: int = 6) -> Column:
     """The amount that a text holds, as DECIMAL(38, scale); null if there is none.
@@ -41,4 +44,6 @@ def parse_amount(text: Column, scale: int = 6) -> Column:
         )
         return F.regexp_replace(plain, r"[^\p{Nd}.]", "").try_cast(f"decimal(38,{scale})")
 
-    return let(strip(normalize_fullwidth(strip(text))), body)
+    # an amount without separators of thousands needs no more than a cast; the rest goes the whole way
+    plain = F.regexp_extract(text, PLAIN, 1)
+    return F.when(plain != "", plain.try_cast(f"decimal(38,{scale})")).otherwise(let(strip(normalize_fullwidth(strip(text))), body))

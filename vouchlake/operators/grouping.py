@@ -43,14 +43,14 @@ def delivery_groups(rows: DataFrame) -> DataFrame:
     that can be read. One aggregation, combined before its shuffle; missing texts are empty.
     """
     text = lambda c: F.coalesce(strip(F.col(c)), F.lit("")).alias(c)
-    first = F.min_by(F.struct(text("customer"), text("material_name"), text("spec_model"), parse_amount(F.col("unit_price"), 4).cast(MONEY).alias("unit_price"), text("delivery_date"), text("confirm_date")), "row_idx")
+    first = F.min_by(F.struct(text("customer"), text("material_name"), text("spec_model"), "unit_price", text("delivery_date"), text("confirm_date")), "row_idx")
     total = lambda c: F.coalesce(F.sum(parse_amount(F.col(c), 4).cast(MONEY)), F.lit(0)).cast(MONEY)
     key = strip(F.col("delivery_no"))
     return (
         rows.where(F.col("delivery_no").isNotNull() & (key != "") & (key != "nan"))
         .groupBy(F.col("delivery_no").alias("raw_key"))
         .agg(first.alias("f"), F.min("row_idx").alias("first_row"), F.array_sort(F.collect_list("row_idx")).alias("row_indices"), F.count("*").alias("total_qty"), total("revenue_tax").alias("total_revenue_tax"), total("revenue_notax").alias("total_revenue_notax"))
-        .select(strip(F.col("raw_key")).alias("delivery_no"), "first_row", "row_indices", F.col("f.customer").alias("customer_name"), "f.material_name", "f.spec_model", "f.unit_price", "total_qty", "total_revenue_tax", "total_revenue_notax", "f.delivery_date", "f.confirm_date")
+        .select(strip(F.col("raw_key")).alias("delivery_no"), "first_row", "row_indices", F.col("f.customer").alias("customer_name"), "f.material_name", "f.spec_model", parse_amount(F.col("f.unit_price"), 4).cast(MONEY).alias("unit_price"), "total_qty", "total_revenue_tax", "total_revenue_notax", "f.delivery_date", "f.confirm_date")
     )
 
 
