@@ -13,11 +13,15 @@ from .text import clean_composed, let, levenshtein_ratio, render_decimal
 
 
 def _result(matches, confidence, extracted: Column, expected: Column, difference, notes) -> Column:
+    return F.struct(*_fields(matches, confidence, extracted, expected, difference, notes))
+
+
+def _fields(matches, confidence, extracted: Column, expected: Column, difference, notes) -> list[Column]:
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(
+    return [
         as_column(matches).cast("boolean").alias("matches"), as_column(confidence).cast("double").alias("confidence"), F.coalesce(extracted, F.lit("")).alias("extracted_value"),
         F.coalesce(expected, F.lit("")).alias("expected_value"), as_column(difference).cast("string").alias("difference"), as_column(notes).alias("notes"),
-    )
+    ]
 
 
 def safe_decimal_compare(a: Column, b: Column, tolerance) -> Column:
@@ -28,14 +32,14 @@ def _parsed(text: Column) -> Column:
     return parse_amount(text, 4).cast("decimal(20,4)")
 
 
-def _amounts(a: Column, e: Column, extracted: Column, expected: Column, tolerance: Decimal, tolerance_pct: Decimal) -> Column:
-    """The result for both amounts, field by field, so that a plan computes only those that are used."""
+def _amounts(a: Column, e: Column, extracted: Column, expected: Column, tolerance: Decimal, tolerance_pct: Decimal) -> list[Column]:
+    """The result's fields for both amounts."""
     gap = F.abs(a - e)
     share = F.when(e == 0, F.lit(0.0)).otherwise(gap.cast("double") / F.abs(e).cast("double") * 100)
     matches = (gap <= F.lit(tolerance)) | ((e != 0) & (gap <= F.lit(tolerance_pct) * F.abs(e)))
     notes = F.concat(F.lit("Abs diff: "), render_decimal(gap), F.lit(", Pct diff: "), F.format_string("%.2f", share), F.lit("%"))
     known = lambda unread, unknown, right: F.when(a.isNull(), unread).when(e.isNull(), unknown).otherwise(right)
-    return _result(
+    return _fields(
         known(False, False, matches), known(0.0, 0.0, F.when(matches, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - share / 100))), known(extracted, render_decimal(a), render_decimal(a)), known(expected, expected, render_decimal(e)),
         known("N/A - cannot parse extracted amount", "N/A - cannot parse expected amount", render_decimal(a - e)), known("Failed to parse extracted amount as a number", "Failed to parse expected amount as a number", notes),
     )
@@ -43,14 +47,14 @@ def _amounts(a: Column, e: Column, extracted: Column, expected: Column, toleranc
 
 def compare_amounts(extracted: Column, expected: Column, tolerance: Decimal = Decimal("0.01"), tolerance_pct: Decimal = Decimal("0.01")) -> Column:
     """Equal within an absolute tolerance or a share of the expected amount (only the first, if that is 0)."""
-    return let(F.struct(_parsed(extracted).alias("a"), _parsed(expected).alias("e")), lambda p: _amounts(p["a"], p["e"], extracted, expected, tolerance, tolerance_pct))
+    return let(F.struct(_parsed(extracted).alias("a"), _parsed(expected).alias("e")), lambda p: F.struct(*_amounts(p["a"], p["e"], extracted, expected, tolerance, tolerance_pct)))
 
 
-def with_amounts_compared(df: DataFrame, extracted: Column, expected: Column, name: str, tolerance: Decimal = Decimal("0.01"), tolerance_pct: Decimal = Decimal("0.01")) -> DataFrame:
-    """``df`` with the result of :func:`compare_amounts` as ``name``: both texts are parsed in a step of their own, and only the fields that are read are computed."""
+def with_amounts_compared(df: DataFrame, extracted: Column, expected: Column, tolerance: Decimal = Decimal("0.01"), tolerance_pct: Decimal = Decimal("0.01")) -> DataFrame:
+    """``df`` with the fields of :func:`compare_amounts` as columns: both texts are parsed in a step of their own, and only the fields that are read are computed."""
     texts = df.withColumns({"__x": extracted, "__y": expected})
     parsed = texts.withColumns({"__a": _parsed(F.col("__x")), "__e": _parsed(F.col("__y"))})
-    return parsed.withColumn(name, _amounts(F.col("__a"), F.col("__e"), F.col("__x"), F.col("__y"), tolerance, tolerance_pct)).drop("__x", "__y", "__a", "__e")
+    return parsed.select(*df.columns, *_amounts(F.col("__a"), F.col("__e"), F.col("__x"), F.col("__y"), tolerance, tolerance_pct))
 
 
 def compare_dates(extracted: Column, expected: Column, tolerance_days: int = 3) -> Column:

@@ -112,7 +112,7 @@ def compare_amounts(s, d):
     k = F.col("l_orderkey") % 5
     a = e + F.when(k == 0, 0).when(k == 1, 1).when(k == 2, 2000).when(k == 3, -150000).otherwise(7)
     money = lambda x: (x.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("string")
-    return compare.with_amounts_compared(read_table(s, d, "lineitem"), money(a), money(e), "r").select(*KEYS, "r.matches", "r.difference")
+    return compare.with_amounts_compared(read_table(s, d, "lineitem"), money(a), money(e)).select(*KEYS, "matches", "difference")
 
 
 def compare_dates(s, d):
