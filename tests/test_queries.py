@@ -54,3 +54,12 @@ def test_entry_point_works_without_the_corpus_modules(spark, monkeypatch):
 def test_texts_are_compared_on_whole_rows(spark):
     rows = registry.compare_text(spark, str(DATA)).collect()
     assert len(rows) == 200 and all(0 <= r.confidence <= 1 for r in rows)
+
+
+def test_amount_check_reads_groups_only(spark, duck, monkeypatch):
+    def refuse(*a):
+        raise AssertionError("documents are not needed")
+
+    monkeypatch.setattr(registry.demo, "documents", refuse)
+    got, want = registry.queries()["check3_amount"](spark, str(DATA)).toPandas(), duck.execute(registry.oracle_sql()["check3_amount"]).fetchdf()
+    assert sorted(got.columns) == sorted(want.columns) and _rows(got) == _rows(want)
