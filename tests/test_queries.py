@@ -1,12 +1,15 @@
 """Registered queries against their DuckDB twins on the smallest tables."""
 
+import dataclasses
 import os
 import re
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from vouchlake.operators import extraction, matching
 from vouchlake.plans import registry
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
@@ -63,3 +66,17 @@ def test_amount_check_reads_groups_only(spark, duck, monkeypatch):
     monkeypatch.setattr(registry.demo, "documents", refuse)
     got, want = registry.queries()["check3_amount"](spark, str(DATA)).toPandas(), duck.execute(registry.oracle_sql()["check3_amount"]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns) and _rows(got) == _rows(want)
+
+
+def test_fields_are_sought_once(spark):
+    """Each pattern stands in the plan of the receipts once, and only names that have letters' case are lower-cased."""
+    plan = registry.receipt_fields(spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    receipt = [p for name, patterns in extraction.PATTERNS.items() if name.startswith("receipt.") for p in patterns]
+    assert [plan.count(f"){p}, 1)") for p in receipt] == [1] * len(receipt)
+    assert "lower(" not in plan and "Window" not in plan
+
+
+def test_types_of_words_with_case(spark, monkeypatch):
+    monkeypatch.setattr(matching, "CONFIG", dataclasses.replace(matching.CONFIG, type_keywords=(("contract", ("po-", "合同")), ("receipt", ("签收",)))))
+    df = spark.createDataFrame([("PO-1 签收.PDF",), ("Po-2",), ("签收.PDF",), ("合同",), ("İPO",)], "n string")
+    assert [r[0] for r in df.select(matching.document_type(F.col("n"))).collect()] == ["contract", "contract", "receipt", "contract", "unknown"]

@@ -27,9 +27,13 @@ def strip(s: Column) -> Column:
     return F.btrim(s, F.lit(WHITE))
 
 
+#: Full-width characters, and what stands for them.
+FULLWIDTH = ("，．－（）：；　", ",.-():; ")
+
+
 def normalize_fullwidth(s: Column) -> Column:
     """Full-width punctuation and the ideographic space to ASCII; null to empty."""
-    return F.translate(F.coalesce(s, F.lit("")), "，．－（）：；　", ",.-():; ")
+    return F.translate(F.coalesce(s, F.lit("")), *FULLWIDTH)
 
 
 @F.pandas_udf(StringType())
@@ -63,8 +67,8 @@ fix_ocr_common_errors = nfkc
 
 def clean_composed(s: Column) -> Column:
     """:func:`clean_text` of text that is in NFC already: native throughout."""
-    s = F.translate(F.coalesce(s, F.lit("")), "​‌‍﻿", "")
-    return strip(F.regexp_replace(normalize_fullwidth(s), r"(?U)\s+", " "))
+    s = F.translate(F.coalesce(s, F.lit("")), FULLWIDTH[0] + "\u200b\u200c\u200d\ufeff", FULLWIDTH[1])
+    return strip(F.regexp_replace(s, r"(?U)\s+", " "))
 
 
 def clean_text(s: Column) -> Column:

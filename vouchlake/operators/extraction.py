@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..functions.amounts import parse_amount
-from ..functions.text import clean_composed, normalize_fullwidth, strip
+from ..functions.text import clean_composed, let, normalize_fullwidth, strip
 from .matching import document_type
 
 # Labels in front of a field, and what the field may hold, in order of precedence.
@@ -68,7 +68,9 @@ QUANTITY_WORDS = ("数量", "qty")
 def first_match(text: Column, patterns: tuple[str, ...], dot_all: bool = False) -> Column:
     """Group 1, cleaned, of the first pattern that matches; empty if none does. Text has to be in NFC. No group can match empty text, so each pattern is tried once."""
     flags = "(?Us)" if dot_all else "(?U)"
-    return clean_composed(F.coalesce(*[F.nullif(F.regexp_extract(text, flags + p, 1), F.lit("")) for p in patterns]))
+    # not nullif: inside a condition its value would be written out, and computed, twice
+    found = [F.get(F.array_remove(F.array(F.regexp_extract(text, flags + p, 1)), ""), 0) for p in patterns]
+    return clean_composed(F.coalesce(*found))
 
 
 def _field(text: Column, name: str) -> Column:
@@ -76,10 +78,13 @@ def _field(text: Column, name: str) -> Column:
 
 
 def _person(value: Column, *without: str) -> Column:
-    fits = F.length(value).between(2, 8)
-    for w in without:
-        fits = fits & ~F.contains(value, F.lit(w))
-    return F.when(fits, value).otherwise("")
+    def checked(v: Column) -> Column:
+        fits = F.length(v).between(2, 8)
+        for w in without:
+            fits = fits & ~F.contains(v, F.lit(w))
+        return F.when(fits, v).otherwise("")
+
+    return let(value, checked)
 
 
 def contract_fields(text: Column) -> dict[str, Column]:

@@ -82,11 +82,12 @@ def match_documents(files: DataFrame, groups: DataFrame, longest_only: bool = Fa
 
 def document_type(file_name: Column) -> Column:
     """By the first word of the keyword lists that the lower-cased name contains."""
-    name, out = F.lower(file_name), None
+    lower, out = F.lower(file_name), None
     for kind, words in CONFIG.type_keywords:
         test = F.lit(False)
         for w in words:
-            test = test | F.contains(name, F.lit(w))
+            # lower case neither makes nor changes characters without case, and costs more than the search
+            test = test | F.contains(file_name if w.lower() == w.upper() else lower, F.lit(w))
         out = F.when(test, kind) if out is None else out.when(test, kind)
     return out.otherwise("unknown")
 
