@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vouchlake.operators import extraction, matching
+from vouchlake.operators import extraction, grouping, matching
 from vouchlake.plans import registry
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
@@ -80,3 +80,19 @@ def test_types_of_words_with_case(spark, monkeypatch):
     monkeypatch.setattr(matching, "CONFIG", dataclasses.replace(matching.CONFIG, type_keywords=(("contract", ("po-", "合同")), ("receipt", ("签收",)))))
     df = spark.createDataFrame([("PO-1 签收.PDF",), ("Po-2",), ("签收.PDF",), ("合同",), ("İPO",)], "n string")
     assert [r[0] for r in df.select(matching.document_type(F.col("n"))).collect()] == ["contract", "contract", "receipt", "contract", "unknown"]
+
+
+def test_matching_reads_keys_only(spark, duck, monkeypatch):
+    def refuse(*a):
+        raise AssertionError("rows of the sheet are not needed")
+
+    monkeypatch.setattr(registry.demo, "sales_rows", refuse)
+    for name in ("match_direct", "match_suffix"):
+        got, want = registry.queries()[name](spark, str(DATA)).toPandas(), duck.execute(registry.oracle_sql()[name]).fetchdf()
+        assert _rows(got) == _rows(want)
+
+
+def test_numbers_alone_are_those_of_the_groups(spark):
+    names = "row_idx long, delivery_no string, customer string, material_name string, spec_model string, unit_price string, revenue_tax string, revenue_notax string, delivery_date string, confirm_date string"
+    rows = spark.createDataFrame([(i, n, *["1"] * 8) for i, n in enumerate(["A", "A", "A ", None, " ", "nan", " nan", "B"])], names)
+    assert _rows(grouping.delivery_numbers(rows).toPandas()) == _rows(grouping.delivery_groups(rows).select("delivery_no").toPandas())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.checks import verify
 from ..operators.extraction import classify_documents
-from ..operators.grouping import delivery_groups
+from ..operators.grouping import delivery_groups, delivery_numbers
 from ..operators.matching import assign_documents
 from ..tables import read_table, stored
 
@@ -107,6 +107,12 @@ def documents(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -
     return files(order_facts(spark, sf_dir, rows)).select("k", "doc_seq", "file_name", text.alias("full_text"))
 
 
+def names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """File names and delivery numbers, which is what matching reads: of the joins only the orders' keys are written, once for both."""
+    orders = stored(_lines(spark, sf_dir).select("k").distinct())
+    return files(orders).select("file_name"), delivery_numbers(orders.select(_number(F.col("k")).alias("delivery_no")))
+
+
 def classified(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     return classify_documents(documents(spark, sf_dir, rows).drop("k"))
 
