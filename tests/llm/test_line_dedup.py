@@ -189,3 +189,47 @@ def test_nulls_ties_repeats_and_other_columns(spark):
     null = next(r for r in out.collect() if r.text is None)
     assert (null.n_lines, null.n_removed) == (0, 0)
     assert ld.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_class_is_sent_once_for_each_block_that_can_be_first(spark):
+    """Not once for each choice of blocks (10 of two of five): what grows with the lines is sent four times."""
+    frame = spark.createDataFrame([(i, (i * 0x9E3779B97F4A7C15) % 2**63 - 2**62, 0) for i in range(50)], "h1 long, sim long, sketch long")
+    for blocks in (4, 5, 6):
+        rows = ld._keyed(frame, 3, blocks).collect()
+        assert len(rows) == 4 * 50 and len({(r.node, r.key) for r in rows}) == 200
+
+
+def test_keys_larger_than_a_batch_are_whole(spark):
+    """One first block holds all, in several batches, and pairs meet on its other blocks."""
+    rng = random.Random(4)
+    high = [rng.getrandbits(50) << 13 for _ in range(300)]
+    frame = spark.createDataFrame([(2 * i + k, x ^ k << 30, 0) for i, x in enumerate(high) for k in (0, 1)], "h1 long, sim long, sketch long")
+    with ld.small_batches(spark, 7):
+        got = {(r.a, r.b) for r in ld.near_links(frame, reach=1).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(300)}
+
+
+def test_hopeless_pairs_are_given_up_early(monkeypatch):
+    """Lines with no more than letters in common are told apart by part of them, without the distances of any column."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    lines = [" ".join(word() for _ in range(110)) for _ in range(40)]
+    seen = []
+    alone = ld._alone
+    monkeypatch.setattr(ld, "_alone", lambda where, size, b: seen.append((alone(where, size, b), len(b))) or seen[-1][0])
+    for x, y in zip(lines[::2], lines[1::2], strict=True):
+        most = int(0.2 * max(len(x), len(y)))
+        assert _edits(x, y) > most and ld.edits(x, y, most) > most
+        assert seen[-1][0] <= _edits(x, y) and seen[-1][1] <= 0.6 * len(y)
+    assert len(seen) == 20 and sum(least > 0.2 * 550 for least, _ in seen) >= 5
+
+
+def test_bounds_of_a_column_and_of_letters_hold():
+    rng = random.Random(10)
+    for k in range(150):
+        a = "".join(rng.choice("abcdefgh\u65e5" if k % 2 else "ab") for _ in range(rng.randrange(1, 400)))
+        b = "".join(c if rng.random() < 0.7 else rng.choice(["", "x", "ab"]) for c in a) if k % 3 else a[::-1] + "ab"
+        true = _edits(a, b)
+        assert ld._where(a) == {c: sum(1 << i for i, x in enumerate(a) if x == c) for c in set(a)}
+        for most in {0, true // 3, true - 1, true, true + 5} - {-1}:
+            assert (ld.edits(a, b, most) == true) if true <= most else ld.edits(a, b, most) > most

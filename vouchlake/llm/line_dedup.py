@@ -2,7 +2,8 @@
 
 Lines are normalised (lower case, white space collapsed) and equal ones counted as one class. A class has a
 64-bit SimHash of its runs of four letters, of which a small edit moves few. Two hashes that differ in at most 3 bits
-agree in at least 2 of 5 blocks, so the classes meet on every pair of blocks (10 keys of 25 or 26 bits). Pairs that meet
+agree in at least 2 of 5 blocks, so the classes meet on every pair of blocks (10 keys of 25 or 26 bits). A class is sent
+once for each of the four blocks that can be a pair's first; pairs' second blocks are told apart where it arrives. Pairs that meet
 are linked if their hashes differ in at most 7 bits, a short sketch of their runs of eight letters and their lengths
 don't tell them apart, and the edit similarity of the normalised lines is high enough. Of each connected group of lines
 the first occurrence (smallest document, then line) stays.
@@ -37,6 +38,7 @@ BROADCAST_LINES = 500_000
 #: Letters of normalised lines that are hashed at once.
 CHUNK = 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP2 = np.uint64(0x9E3779B97F4A7C15**2 % 2**64)
 
 
 def normalise(line: str) -> str:
@@ -76,9 +78,10 @@ def simhashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ h >> np.uint64(29)
+    h = h ^ h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def _tally(pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,47 +92,96 @@ def _tally(pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(x) for x in lines])
         start = np.r_[0, np.cumsum(size + LONG)[:-1]]
         start, size = start[size > 0], size[size > 0]
-        if k and size[0] < GRAM:  # no run begins in the rest
+        if not len(size) or k and size[0] < GRAM:  # no run begins in the rest
             continue
-        with np.errstate(over="ignore"):
-            four = ((c[:-3] * _STEP + c[1:-2]) * _STEP + c[2:-1]) * _STEP + c[3:]  # what follows a line is line ends
+        two = c[:-1] * _STEP
+        two += c[1:]
+        four = two[:-2] * _STEP2
+        four += two[2:]  # what follows a line is line ends
         runs = np.minimum(np.maximum(size - GRAM + 1, 1), CHUNK if len(pieces) > 1 else 1 << 62)
-        inside = np.zeros(len(four) + 1, np.int8)
+        inside = np.zeros(len(four), np.int8)
         inside[start], inside[start + runs] = 1, -1
-        at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
-        h = _mixed(four[at])
-        first, keep = np.cumsum(runs) - runs, h >> np.uint64(63) == 0
-        kept = np.add.reduceat(keep, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+        inside = np.cumsum(inside, dtype=np.int8).view(bool)
+        h = _mixed(four)
+        keep = h.view(np.int64) >= 0
+        keep &= inside
+        at = np.flatnonzero(keep)
+        kept = np.diff(np.searchsorted(at, start), append=len(at))
         if len(pieces) == 1:
-            keep |= np.repeat(kept == 0, runs)
-            found.append(_count(h[keep], four, at[keep], np.where(kept == 0, runs, kept)))
+            if not kept.all():
+                none = runs * (kept == 0)
+                keep[_within(start, none)] = True
+                at, kept = np.flatnonzero(keep), kept + none
+            found.append(_count(h, four, at, kept))
         else:  # whether any run is chosen shows at the end
-            found += [_count(h[keep], four, at[keep], kept)] if kept[0] else []
-            whole.append(_count(h, four, at, runs))
+            found += [_count(h, four, at, kept)] if kept[0] else []
+            whole.append(_count(h, four, np.flatnonzero(inside), runs))
     found = found or whole
+    if not found:
+        return np.zeros((0, 8), np.uint8), np.zeros((0, 4), np.uint8)
     votes, runs = sum(f[0] for f in found), sum(f[1] for f in found)
     out = np.packbits(2 * votes + found[0][2] > runs[:, None], axis=1)
     return np.ascontiguousarray(out[:, :8]), np.ascontiguousarray(out[:, 8:])
 
 
+def _within(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many each."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def _count(h: np.ndarray, four: np.ndarray, at: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each line, of which ``runs`` of the rows are (one at least), how many have each of 64 bits of ``h`` and 32 of the long runs' hashes; their number; the bits of its first."""
-    if not len(runs):
-        return np.zeros((0, 96), np.int64), runs, np.zeros((0, 96), np.uint8)
-    with np.errstate(over="ignore"):
-        long = _mixed(four[at] * _STEP + four[np.minimum(at + GRAM, len(four) - 1)])
-    first, parts = np.cumsum(runs) - runs, -(-runs // 255)  # counters of one byte: parts of 255 runs at most
-    part = np.repeat(first, parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
-    planes = [x >> np.uint64(k) & _ONES for x, n in ((h, 8), (long, 4)) for k in range(n)]
-    votes = np.stack([np.add.reduceat(x, part) for x in planes], axis=1).view(np.uint8)
+    """For each line, of which ``runs`` of the places ``at`` are (one at least), how many have each of 64 bits of ``h`` and 32 of the long runs' hashes; their number; the bits of its first."""
+    long = four.take(at)
+    long *= _STEP
+    long += four.take(at + GRAM)  # the line ends behind the last line are enough
+    hashes = (h.take(at), 8), (_mixed(long), 4)
+    # seven runs in a column, short of which are zeros: three numbers say how many of them have a bit
+    columns = -(-runs // SEVEN)
+    n, first = int(columns.sum()), np.cumsum(columns) - columns
+    own = np.cumsum(runs) - runs
+    parts = -(-columns // 36)  # counters of one byte: parts of 36 columns at most
+    part = _within(np.zeros(len(parts), np.int64), parts) * 36 + np.repeat(first, parts)
+    to = np.repeat(first * SEVEN - own, runs) + np.arange(len(at))
+    votes, bits = [], []
+    for x, planes in hashes:
+        cells = np.zeros(SEVEN * n, np.uint64)
+        cells[to] = x
+        ones, twos, fours = _added(*np.ascontiguousarray(cells.reshape(n, SEVEN).T))
+        for k in range(planes):
+            k = np.uint64(k)
+            votes.append(np.add.reduceat((ones >> k & _ONES) + ((twos >> k & _ONES) << np.uint64(1)) + ((fours >> k & _ONES) << np.uint64(2)), part))
+            bits.append(x[own] >> k & _ONES)
+    votes = np.stack(votes, axis=1).view(np.uint8)
     whole = np.add.reduceat(votes, np.cumsum(parts) - parts, axis=0, dtype=np.int64) if len(part) > len(runs) else votes.astype(np.int64)
-    return whole, runs, np.stack([x[first] for x in planes], axis=1).view(np.uint8)
+    return whole, runs, np.stack(bits, axis=1).view(np.uint8)
+
+
+#: Numbers that three bits can count.
+SEVEN = 7
+
+
+def _added(a, b, c, d, e, f, g):  # noqa: ANN001, ANN202
+    """The three bits of how many of seven arrays have each bit."""
+
+    def full(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        odd = x ^ y
+        return odd ^ z, x & y | odd & z
+
+    (s, i), (t, j) = full(a, b, c), full(d, e, f)
+    ones, k = full(s, t, g)
+    return ones, *full(i, j, k)
+
+
+def _keep_freed() -> None:
+    """Has this process keep up to 60 MB of what it frees: else each round of arrays is given back and comes anew, page by page, a third of the time. (glibc raises its limits to the size of the largest block freed, which is never touched; others may ignore it.)"""
+    np.empty(30 << 20, np.uint8)
 
 
 def line_features(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, h1, h2, sim, sketch)`` for every line of ``docs(doc_id, text)`` whose normalised form is not empty; h1 and h2 are its 128-bit hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _keep_freed()
         for pdf in batches:
             ids, nos, lines, size = [], [], [], 0
             for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
@@ -154,18 +206,23 @@ def line_features(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, line_no int, h1 long, h2 long, sim long, sketch long")
 
 
-def _keys(sim: Column, distance: int, blocks: int) -> Column:
-    """A key for each choice of ``blocks - distance`` blocks: the choice and the bits in it."""
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    keys = []
-    for n, choice in enumerate(combinations(range(blocks), blocks - distance)):
-        mask = sum(((1 << (edges[c + 1] - edges[c])) - 1) << edges[c] for c in choice)
-        keys.append(F.xxhash64(F.lit(n), sim.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
-    return F.array(*keys)
+def _edges(blocks: int) -> list[int]:
+    return [round(64 * i / blocks) for i in range(blocks + 1)]
+
+
+def _masks(distance: int, blocks: int) -> list[list[np.uint64]]:
+    """The bits of each choice of ``blocks - distance`` blocks, by its first block."""
+    edges, out = _edges(blocks), [[] for _ in range(distance + 1)]
+    for choice in combinations(range(blocks), blocks - distance):
+        out[choice[0]].append(np.uint64(sum((1 << edges[c + 1]) - (1 << edges[c]) for c in choice)))
+    return out
 
 
 def _keyed(classes: DataFrame, distance: int, blocks: int) -> DataFrame:
-    return classes.select("sim", "sketch", F.col("h1").alias("node"), F.explode(_keys(F.col("sim"), distance, blocks)).alias("key"))
+    """A row of each class for each block that can be the first of a choice: the block's number and its bits (32 at most) are the key. Classes that agree in a choice have its first block's key in common."""
+    edges = _edges(blocks)
+    keys = [F.shiftrightunsigned("sim", edges[i]).bitwiseAND(F.lit((1 << min(32, edges[i + 1] - edges[i])) - 1)).bitwiseOR(F.lit(i << 32)) for i in range(distance + 1)]
+    return classes.select("sim", "sketch", F.col("h1").alias("node"), F.explode(F.array(*keys)).alias("key"))
 
 
 def _near(sim: np.ndarray, sketch: np.ndarray, sim2: np.ndarray, sketch2: np.ndarray, reach: int, classes: int) -> np.ndarray:
@@ -211,18 +268,18 @@ def near_links(classes: DataFrame, similarity: float = SIMILARITY, distance: int
     key is a hash of the members, so that a group that meets in several keys is one.
 
     Pairs that differ in at most ``distance`` bits meet in a key for sure; more ``blocks`` make longer keys, with fewer
-    chance meetings (for larger corpora). Streams over sorted partitions; keys in which nothing is near, nearly all, are
-    passed over without a loop.
+    chance meetings (for larger corpora). Streams over partitions sorted by the first block's
+    bits; keys in which nothing is near, nearly all, are passed over without a loop.
     """
     apart = _apart(similarity)
-
+    masks = _masks(distance, blocks)
     names = ["a", "b", "key", "sim", "sketch"]
 
-    def work(k: np.ndarray, s: np.ndarray, t: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    def meet(k: np.ndarray, s: np.ndarray, t: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         size = np.diff(np.r_[cut, len(k)])
         own, at, out = np.repeat(size, size), np.arange(len(k)) - np.repeat(cut, size), []
-        few = np.flatnonzero((own > 1) & (own <= SMALL))
+        few = np.flatnonzero(own <= SMALL)
         for off in range(1, SMALL):  # all pairs of small keys, by how far they are apart
             few = few[at[few] + off < own[few]]
             if not len(few):
@@ -235,23 +292,43 @@ def near_links(classes: DataFrame, similarity: float = SIMILARITY, distance: int
             some = some[np.argsort(n[some], kind="stable")]
             group = np.full(len(some), xxhash.xxh3_64_intdigest(n[some].tobytes()), np.uint64).view(np.int64)
             out.append(np.stack([n[some], n[some], group, s[some].view(np.int64), t[some]], axis=1))
+        return out
+
+    def work(k: np.ndarray, s: np.ndarray, t: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        """Rows with whole blocks' keys, sorted: of each choice that begins with the block, those that meet."""
+        out, ends = [], np.searchsorted(k, np.arange(distance + 2) << 32)
+        for own, i, j in zip(masks, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            for mask in own if j > i + 1 else []:
+                bits = s[i:j] & mask
+                order = np.argsort(bits)
+                bits = bits[order]
+                same = bits[1:] == bits[:-1]
+                met = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+                if len(met):
+                    at = i + order[met]
+                    out += meet(bits[met], s[at], t[at], n[at])
         return [x for x in out if len(x)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _keep_freed()
         kinds = {"key": np.int64, "sim": np.uint64, "sketch": np.int64, "node": np.int64}
-        rest = [np.zeros(0, x) for x in kinds.values()]
+        held: list[list[np.ndarray]] = []  # the last key's rows, and none of another key but in front
         frame = lambda parts: pd.DataFrame(np.concatenate(parts), columns=names)
         for pdf in batches:
             if not len(pdf):
                 continue
-            whole = [np.concatenate([x, pdf[c].to_numpy().view(kind)]) for x, (c, kind) in zip(rest, kinds.items(), strict=True)]
-            open_ = int(np.searchsorted(whole[0], whole[0][-1]))
-            rest = [x[open_:] for x in whole]
-            got = work(*[x[:open_] for x in whole]) if open_ else []
+            new = [pdf[c].to_numpy().view(kind) for c, kind in kinds.items()]
+            if held and held[-1][0][-1] == new[0][-1]:  # a large key is put together once
+                held.append(new)
+                continue
+            open_ = int(np.searchsorted(new[0], new[0][-1]))
+            held.append([x[:open_] for x in new])
+            got = work(*map(np.concatenate, zip(*held, strict=True)))
+            held = [[x[open_:] for x in new]]
             if got:
                 yield frame(got)
-        if len(rest[0]):
-            got = work(*rest)
+        if held:
+            got = work(*map(np.concatenate, zip(*held, strict=True)))
             if got:
                 yield frame(got)
 
@@ -283,10 +360,10 @@ def edits(a: str, b: str, most: int | None = None) -> int:
     if not a or not b:
         return len(a) + len(b)
     enough = len(a) + len(b) if most is None else most
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full, n = (1 << len(a)) - 1, len(b)
+    where, n, half = _where(a), len(b), 5 * enough // 2
+    if half < n and (least := _alone(where, min(len(a), half + enough), b[:half])) > enough:
+        return least
+    full = (1 << len(a)) - 1
     up, down = full, 0  # where the column of distances rises and falls
     for done in range(0, n, 32):
         for c in b[done : done + 32]:
@@ -299,9 +376,44 @@ def edits(a: str, b: str, most: int | None = None) -> int:
         score = now + up.bit_count() - down.bit_count()
         if score - (n - now) > enough:  # each letter that is left saves one at most
             return score
+        if enough < now < n and done & 32 and (least := _least(up, down, len(a), now, n)) > enough:
+            return least
     return score
 
 
+def _where(a: str) -> dict[str, int]:
+    """The places of each letter as bits."""
+    where: dict[str, int] = {}
+    if len(a) < 128:
+        for i, c in enumerate(a):
+            where[c] = where.get(c, 0) | 1 << i
+        return where
+    c = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = np.unique(c)
+    step = max(1, (1 << 18) // len(c))
+    for i in range(0, len(own), step):
+        rows = np.packbits(c == own[i : i + step, None], axis=1, bitorder="little")
+        where |= {chr(x): int.from_bytes(row.tobytes(), "little") for x, row in zip(own[i : i + step].tolist(), rows, strict=True)}
+    return where
+
+
+def _alone(where: dict[str, int], size: int, b: str) -> int:
+    """How many letters of ``b`` have no partner in the longest common subsequence with the first ``size`` letters of the other line: each is an edit. Four steps a letter, where the distance takes many."""
+    full = free = (1 << size) - 1
+    for c in b:
+        same = free & where.get(c, 0)
+        free = free + same | free - same
+    return len(b) - size + (free & full).bit_count()
+
+
+def _least(up: int, down: int, m: int, now: int, n: int) -> int:
+    """No more edits than any way through a column of distances costs: the distance there, and by how much what is left of one line is longer."""
+    bits = lambda x: np.unpackbits(np.frombuffer(x.to_bytes(m + 7 >> 3, "little"), np.uint8), count=m, bitorder="little").view(np.int8)
+    column = np.zeros(m + 1, np.int64)
+    np.cumsum(bits(up) - bits(down), out=column[1:])
+    return now + int((column + np.abs(np.arange(m - n + now, now - n - 1, -1))).min())
+
+
 def _bound(x: str, y: str, most: int) -> int:
     """No fewer edits than turn one line into the other: from each difference on, the next place where eight letters agree again, found after a short skip; what is skipped counts in full. Ends early above ``most``."""
     i = j = cost = 0
@@ -458,11 +570,12 @@ def _dedup(docs: DataFrame, text: str, prefix: str, options: dict) -> DataFrame:
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("line_no", F.lit(64)))
     words = gone.groupBy("doc_id", F.floor(F.col("line_no") / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("x"))
     masks = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("__gone"), F.sum(F.bit_count("x")).alias("__removed")).withColumnRenamed("doc_id", "__doc")
-    both = docs.join(masks, F.col("doc_id") == F.col("__doc"), "left")
+    both = docs.join(masks.hint("shuffle_hash"), F.col("doc_id") == F.col("__doc"), "left")  # texts are not sorted; a partition's masks are small
     out = lambda i: F.call_function("shiftright", F.coalesce(F.try_element_at("__gone", F.floor(i / 64).cast("int")), F.lit(0).cast("bigint")), F.pmod(i, F.lit(64))).bitwiseAND(F.lit(1)) == 0
-    lines = F.split(F.col(text), "\n", -1)
+    lines = F.split(F.col(text), "\n", -1)  # for texts of which lines go; the others' are counted
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
     kept = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: out(i)), "\n"))
-    return both.withColumns({f"{prefix}n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"), f"{prefix}n_removed": F.coalesce("__removed", F.lit(0)).cast("long"), text: kept}).drop("__doc", "__gone", "__removed")
+    return both.withColumns({f"{prefix}n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(n_lines).cast("long"), f"{prefix}n_removed": F.coalesce("__removed", F.lit(0)).cast("long"), text: kept}).drop("__doc", "__gone", "__removed")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
