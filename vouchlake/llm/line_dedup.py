@@ -3,7 +3,7 @@
 Lines are normalised (lower case, white space collapsed) and equal ones counted as one class. A class has a
 64-bit SimHash of its runs of four letters, of which a small edit moves few. Two hashes that differ in at most 3 bits
 agree in at least 2 of 5 blocks, so the classes meet on every pair of blocks (10 keys of 25 or 26 bits). A class is sent
-once for each of the four blocks that can be a pair's first; pairs' second blocks are told apart where it arrives. Pairs that meet
+once for each of the four blocks that can be a pair's first; the second blocks are told apart where it arrives. Pairs that meet
 are linked if their hashes differ in at most 7 bits, a short sketch of their runs of eight letters and their lengths
 don't tell them apart, and the edit similarity of the normalised lines is high enough. Of each connected group of lines
 the first occurrence (smallest document, then line) stays.
@@ -33,6 +33,8 @@ GRAM, LONG = 4, 8
 LENGTHS = 0.12
 #: Members of a key of which all near pairs are followed; of larger keys those that span them.
 SMALL = 16
+#: Bits of a block by which classes are dealt out: one worker holds at a time those that agree in them (a 256th of all, 24 bytes each). So many classes are dealt at once.
+SLICE, DEALT = 8, 200_000
 #: So many candidate lines at most are broadcast when their texts are fetched; more are joined by shuffle.
 BROADCAST_LINES = 500_000
 #: Letters of normalised lines that are hashed at once.
@@ -60,21 +62,19 @@ def simhashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     bits of the runs of LONG letters that begin with the same, and above them the class of the line's length.
     """
     sim, sketch = np.zeros(len(lines), np.uint64), np.zeros(len(lines), np.int64)
-    i = 0
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    ends, i = np.cumsum(size + LONG), 0
     while i < len(lines):
-        j, size = i, 0
-        while j < len(lines) and (j == i or size + len(lines[j]) < CHUNK):
-            size, j = size + len(lines[j]) + LONG, j + 1
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CHUNK)))
         own = lines[i:j]
         # a line above CHUNK alone comes in pieces; each run begins in one piece
         pieces = [own] if j > i + 1 or len(own[0]) <= CHUNK else [[own[0][k : k + CHUNK + LONG - 1]] for k in range(0, len(own[0]), CHUNK)]
         a, b = _tally(pieces)
-        some = np.array([len(x) > 0 for x in own])
+        some = size[i:j] > 0
         sim[i:j][some] = a.view(np.uint64).ravel()
         sketch[i:j][some] = b.view(np.uint32).ravel()
         i = j
-    size = np.array([len(x) for x in lines], np.float64)
-    return sim, sketch | np.floor(np.log(np.maximum(size, 1)) / np.log1p(LENGTHS)).astype(np.int64) << 32
+    return sim, sketch | np.floor(np.log(np.maximum(size, 1).astype(np.float64)) / np.log1p(LENGTHS)).astype(np.int64) << 32
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -218,11 +218,35 @@ def _masks(distance: int, blocks: int) -> list[list[np.uint64]]:
     return out
 
 
-def _keyed(classes: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """A row of each class for each block that can be the first of a choice: the block's number and its bits (32 at most) are the key. Classes that agree in a choice have its first block's key in common."""
+def _dealt(classes: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """``(key, cells)``: each class once for each block that can be the first of a choice. The key is the block's number and its first SLICE bits;
+    many classes of one key are one row of packed numbers (sim, sketch, h1), which Spark moves and sorts at no cost for each."""
     edges = _edges(blocks)
-    keys = [F.shiftrightunsigned("sim", edges[i]).bitwiseAND(F.lit((1 << min(32, edges[i + 1] - edges[i])) - 1)).bitwiseOR(F.lit(i << 32)) for i in range(distance + 1)]
-    return classes.select("sim", "sketch", F.col("h1").alias("node"), F.explode(F.array(*keys)).alias("key"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _keep_freed()
+        held, n = [], 0
+        for pdf in batches:
+            held.append(np.stack([pdf[c].to_numpy() for c in ("sim", "sketch", "h1")]))
+            n += len(pdf)
+            if n >= DEALT:
+                yield frame(np.concatenate(held, axis=1))
+                held, n = [], 0
+        if n:
+            yield frame(np.concatenate(held, axis=1))
+
+    def frame(rows: np.ndarray) -> pd.DataFrame:
+        keys, cells = [], []
+        for i in range(distance + 1):
+            own = (rows[0].view(np.uint64) >> np.uint64(edges[i]) & np.uint64((1 << min(SLICE, edges[i + 1] - edges[i])) - 1)).astype(np.int16)
+            order = np.argsort(own, kind="stable")
+            own, laid = own[order], rows[:, order]
+            cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            keys += (own[cut] + (i << SLICE)).tolist()
+            cells += [laid[:, a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(own)], strict=True)]
+        return pd.DataFrame({"key": np.array(keys, np.int64), "cells": cells})
+
+    return classes.select("sim", "sketch", "h1").mapInPandas(run, "key long, cells binary")
 
 
 def _near(sim: np.ndarray, sketch: np.ndarray, sim2: np.ndarray, sketch2: np.ndarray, reach: int, classes: int) -> np.ndarray:
@@ -268,8 +292,8 @@ def near_links(classes: DataFrame, similarity: float = SIMILARITY, distance: int
     key is a hash of the members, so that a group that meets in several keys is one.
 
     Pairs that differ in at most ``distance`` bits meet in a key for sure; more ``blocks`` make longer keys, with fewer
-    chance meetings (for larger corpora). Streams over partitions sorted by the first block's
-    bits; keys in which nothing is near, nearly all, are passed over without a loop.
+    chance meetings (for larger corpora). Streams over partitions sorted by bits of the
+    first block; keys in which nothing is near, nearly all, are passed over without a loop.
     """
     apart = _apart(similarity)
     masks = _masks(distance, blocks)
@@ -294,45 +318,38 @@ def near_links(classes: DataFrame, similarity: float = SIMILARITY, distance: int
             out.append(np.stack([n[some], n[some], group, s[some].view(np.int64), t[some]], axis=1))
         return out
 
-    def work(k: np.ndarray, s: np.ndarray, t: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-        """Rows with whole blocks' keys, sorted: of each choice that begins with the block, those that meet."""
-        out, ends = [], np.searchsorted(k, np.arange(distance + 2) << 32)
-        for own, i, j in zip(masks, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            for mask in own if j > i + 1 else []:
-                bits = s[i:j] & mask
-                order = np.argsort(bits)
-                bits = bits[order]
-                same = bits[1:] == bits[:-1]
-                met = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
-                if len(met):
-                    at = i + order[met]
-                    out += meet(bits[met], s[at], t[at], n[at])
+    def work(block: int, held: list[np.ndarray]) -> list[np.ndarray]:
+        """Of each choice that begins with the block, the classes of a key that meet."""
+        s, t, n = np.concatenate(held, axis=1)
+        s, out = s.view(np.uint64), []
+        for mask in masks[block]:
+            bits = s & mask
+            order = np.argsort(bits)
+            bits = bits[order]
+            same = bits[1:] == bits[:-1]
+            met = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+            if len(met):
+                at = order[met]
+                out += meet(bits[met], s[at], t[at], n[at])
         return [x for x in out if len(x)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _keep_freed()
-        kinds = {"key": np.int64, "sim": np.uint64, "sketch": np.int64, "node": np.int64}
-        held: list[list[np.ndarray]] = []  # the last key's rows, and none of another key but in front
-        frame = lambda parts: pd.DataFrame(np.concatenate(parts), columns=names)
+        held: list[np.ndarray] = []
+        last = None
         for pdf in batches:
-            if not len(pdf):
-                continue
-            new = [pdf[c].to_numpy().view(kind) for c, kind in kinds.items()]
-            if held and held[-1][0][-1] == new[0][-1]:  # a large key is put together once
-                held.append(new)
-                continue
-            open_ = int(np.searchsorted(new[0], new[0][-1]))
-            held.append([x[:open_] for x in new])
-            got = work(*map(np.concatenate, zip(*held, strict=True)))
-            held = [[x[open_:] for x in new]]
-            if got:
-                yield frame(got)
-        if held:
-            got = work(*map(np.concatenate, zip(*held, strict=True)))
-            if got:
-                yield frame(got)
-
-    return _keyed(classes, distance, blocks).repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, key long, sim long, sketch long")
+            for key, cells in zip(pdf["key"].tolist(), pdf["cells"].tolist(), strict=True):
+                if key != last and held:
+                    got, held = work(last >> SLICE, held), []
+                    if got:
+                        yield pd.DataFrame(np.concatenate(got), columns=names)
+                last = key
+                held.append(np.frombuffer(cells, np.int64).reshape(3, -1))
+        got = work(last >> SLICE, held) if held else []
+        if got:
+            yield pd.DataFrame(np.concatenate(got), columns=names)
+
+    return _dealt(classes, distance, blocks).repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, key long, sim long, sketch long")
 
 
 def _differing(a: str, b: str) -> tuple[str, str]:
@@ -471,7 +488,8 @@ def line_links(classes: DataFrame, docs: DataFrame, places: _Places, similarity:
         rows = _spanning(g["sim"].to_numpy().view(np.uint64), g["sketch"].to_numpy(), g["norm"].tolist(), reach, similarity)
         return pd.DataFrame({"a": node[[i for i, _ in rows]], "b": node[[j for _, j in rows]]}) if rows else None
 
-    found = checkpointed(near_links(classes, similarity, distance, blocks, reach))
+    with small_batches(docs.sparkSession):
+        found = checkpointed(near_links(classes, similarity, distance, blocks, reach))
     norms = _norms(found.select(F.explode(F.array("a", "b")).alias("h1")), classes, docs, places)
     pairs = found.where("a <> b").select("a", "b").distinct()
     pairs = pairs.join(norms.select(F.col("h1").alias("a"), F.col("norm").alias("x")), "a").join(norms.select(F.col("h1").alias("b"), F.col("norm").alias("y")), "b")
